@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from findweave.llm import quality_classifier, quality_rules, sharding, toxicity
+from findweave.llm import packing, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_sharding": sharding.op2_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
