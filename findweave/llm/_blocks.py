@@ -70,7 +70,7 @@ def unpack_codes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1) if len(raw) else np.zeros(0, np.uint32)
 
 
-def word_rows(docs: DataFrame, cut: Callable[[bytes], list[bytes]], limit: int = BLOCK_BYTES, held: Callable[[int], bool] | None = None) -> DataFrame:
+def word_rows(docs: DataFrame, cut: Callable[[bytes], list], limit: int = BLOCK_BYTES, held: Callable[[int], bool] | None = None, kind: str = "binary") -> DataFrame:
     """(block, idx, word, uses) for each distinct word of each block.
 
     ``uses`` counts occurrences in documents for which ``held`` is false (all, if not given).
@@ -80,16 +80,17 @@ def word_rows(docs: DataFrame, cut: Callable[[bytes], list[bytes]], limit: int =
         for block, ids, words, codes in block_stream(batches, cut, limit):
             if not words:
                 continue
+            typed = pa.binary() if kind == "binary" else pa.string()
             counted = [c for d, c in zip(ids, codes, strict=True) if held is None or not held(d)]
             uses = np.bincount(np.concatenate(counted), minlength=len(words)) if counted else np.zeros(len(words), np.int64)
             for s in range(0, len(words), 50_000):
                 part = words[s : s + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), block), pa.int64()), pa.array(np.arange(s, s + len(part)), pa.int32()), pa.array(part, pa.binary()), pa.array(uses[s : s + 50_000], pa.int64())],
+                    [pa.array(np.full(len(part), block), pa.int64()), pa.array(np.arange(s, s + len(part)), pa.int32()), pa.array(part, typed), pa.array(uses[s : s + 50_000], pa.int64())],
                     names=["block", "idx", "word", "uses"],
                 )
 
-    return docs.mapInArrow(run, "block long, idx int, word binary, uses long")
+    return docs.mapInArrow(run, f"block long, idx int, word {kind}, uses long")
 
 
 def payload_rows(docs: DataFrame, cut: Callable[[bytes], list[bytes]], limit: int = BLOCK_BYTES) -> DataFrame:
