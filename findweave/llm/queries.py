@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from findweave.llm import bpe, packing, quality_classifier, quality_rules, sharding, toxicity
+from findweave.llm import bpe, hmm_lm, packing, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_sharding": sharding.op2_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_hmm_lm": hmm_lm.op5_hmm_lm,
     "op6_bpe": bpe.op6_bpe,
     "op10_packing": packing.op10_packing,
 }
