@@ -5,17 +5,16 @@ from __future__ import annotations
 import base64
 import json
 import re
-import sys
-import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 #: Default vocabulary of the public tokenizers package.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens (fixed values of the vocabulary): contractions, letters, numbers, other, white space.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+PATTERN = rf"{CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
 
 
 def default_path() -> str:
@@ -24,39 +23,6 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def _ranges(test) -> str:
-    """A character class body of the code points for which ``test`` holds."""
-    out, start = [], None
-    for code in range(sys.maxunicode + 2):
-        held = code <= sys.maxunicode and not 0xD800 <= code < 0xE000 and test(chr(code))
-        if held and start is None:
-            start = code
-        elif not held and start is not None:
-            out.append(f"\\U{start:08x}-\\U{code - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-@lru_cache(1)
-def _classes() -> tuple[str, str, str]:
-    letters = _ranges(lambda c: unicodedata.category(c)[0] == "L")
-    numbers = _ranges(lambda c: unicodedata.category(c)[0] == "N")
-    # White_Space of Unicode
-    spaces = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return letters, numbers, spaces
-
-
-@lru_cache(1)
-def splitter() -> re.Pattern:
-    """The pre-token pattern. Runs of ASCII letters have a branch of their own, for speed; the
-    general branch takes those that another letter follows."""
-    letters, numbers, spaces = _classes()
-    wide = _ranges(lambda c: c > "\x7f" and unicodedata.category(c)[0] == "L")
-    return re.compile(
-        rf" ?[A-Za-z]++(?![{wide}])|{CONTRACTIONS}| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
-    )
-
-
 class Vocabulary:
     """Ranks, special tokens and pieces of a byte-level BPE file of the tokenizers library."""
 
@@ -73,7 +39,9 @@ class Vocabulary:
         ranks = {b: i for i, b in self.pieces.items() if b.decode("utf-8", "replace") not in self.specials}
         # without white space a pre-token is one match, so ids come for it as a whole
         self.encoding = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self._cut = splitter().findall
+        #: Splits and merges whole texts; its ids equal those of ``ids`` over ``split``.
+        self.whole = tiktoken.Encoding("text", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
+        self._cut = regex.compile(PATTERN).findall
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
 
     def split(self, text: str) -> list[str]:
@@ -85,6 +53,10 @@ class Vocabulary:
             out += [part] if part in self.specials else self._cut(part)
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text, special tokens in it included."""
+        return np.asarray(self.whole.encode_to_numpy(text, allowed_special="all", disallowed_special=()), "<u4")
+
     def ids(self, pretoken: str) -> list[int]:
         special = self.specials.get(pretoken)
         return [special] if special is not None else self.encoding.encode_ordinary(pretoken)
@@ -100,25 +72,3 @@ def byte_alphabet() -> dict[str, int]:
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
-
-
-class Encoder(dict):
-    """Pre-token -> ids as little-endian unsigned 32-bit bytes, remembered up to a bound."""
-
-    def __init__(self, path: str, bound: int = 300_000):
-        super().__init__()
-        self.vocabulary, self.bound = vocabulary(path), bound
-
-    def __missing__(self, pretoken: str) -> bytes:
-        if len(self) >= self.bound:
-            self.clear()
-        self[pretoken] = out = np.array(self.vocabulary.ids(pretoken), "<u4").tobytes()
-        return out
-
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.vocabulary.split(text)))
-
-
-def encode_all(texts: Iterator[str], path: str) -> Iterator[bytes]:
-    encoder = Encoder(path)
-    return (encoder(t) for t in texts)

@@ -100,10 +100,10 @@ def _fill_room(windows: list[list[tuple[int, int, int]]], capacity: int) -> list
 
 def pieces_of(batches: Iterable[pa.RecordBatch], path: str, end_id: int, window: int) -> Iterator[tuple[int, int, int, memoryview]]:
     """(doc_id, start, doc tokens, ids as bytes) of each piece, whole windows first."""
-    encoder, end = _tokens.Encoder(path), np.array([end_id], "<u4").tobytes()
+    encode, end = _tokens.vocabulary(path).encode, np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for doc_id, text in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
-            data = memoryview(encoder(text.decode("utf-8", "replace")) + end)
+            data = memoryview(encode(text.decode("utf-8", "replace")).tobytes() + end)
             n, doc_id = len(data) // 4, doc_id.as_py()
             for start in range(0, n, window):
                 yield doc_id, start, n, data[4 * start : 4 * (start + window)]
