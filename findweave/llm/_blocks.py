@@ -33,6 +33,14 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
             yield item.as_py() or b""
 
 
+class Numbers(dict):
+    """Numbers its keys in the order of first use."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names: other columns never travel."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -46,15 +54,14 @@ def block_stream(batches: Iterable[pa.RecordBatch], cut: Callable[[bytes], list[
     """
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 24
-    number, ids, codes, size, table = 0, [], [], 0, {}
+    number, ids, codes, size, table = 0, [], [], 0, Numbers()
     for batch in batches:
         for doc_id, text in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
             if ids and size + len(text) > limit:
                 yield base + number, ids, list(table), codes
-                number, ids, codes, size, table = number + 1, [], [], 0, {}
+                number, ids, codes, size, table = number + 1, [], [], 0, Numbers()
             words = cut(text)
-            code = table.setdefault
-            codes.append(np.fromiter((code(w, len(table)) for w in words), np.uint32, len(words)))
+            codes.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)))
             ids.append(doc_id.as_py())
             size += len(text)
     if ids:
@@ -70,6 +77,54 @@ def unpack_codes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1) if len(raw) else np.zeros(0, np.uint32)
 
 
+def shrink(values: np.ndarray) -> bytes:
+    """Non-negative numbers under 2**32, byte planes apart, compressed."""
+    return zlib.compress(np.asarray(values).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def grow(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def shrink_strings(items: list[bytes]) -> bytes:
+    sizes = shrink(np.fromiter(map(len, items), np.int64, len(items)))
+    return len(sizes).to_bytes(4, "little") + sizes + zlib.compress(b"".join(items), 1)
+
+
+def grow_strings(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:4], "little")
+    ends, blob = np.cumsum(grow(data[4 : 4 + n])).tolist(), zlib.decompress(data[4 + n :])
+    return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def bucket_count(rows: DataFrame, text_bytes: int = 8 << 20) -> int:
+    """Buckets so that each gets the distinct words of about ``text_bytes`` of text."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4, total // text_bytes)
+
+
+def bucket_rows(rows: DataFrame, cut: Callable[[bytes], list[bytes]], buckets: int, limit: int = BLOCK_BYTES) -> DataFrame:
+    """The distinct words of each block, packed by the bucket of their hash: (bucket, block, idx, words)."""
+
+    def run(batches):
+        for block, _, words, _ in block_stream(batches, cut, limit):
+            if not words:
+                continue
+            of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(of, kind="stable")
+            edges = np.flatnonzero(np.diff(of[order], prepend=-1))
+            rows_out = []
+            for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
+                idx = order[lo:hi]
+                rows_out.append((int(of[idx[0]]), block, shrink(np.diff(idx, prepend=0)), shrink_strings([words[i] for i in idx])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows_out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "idx", "words"]
+            )
+
+    return rows.mapInArrow(run, "bucket int, block long, idx binary, words binary")
+
+
 def word_rows(docs: DataFrame, cut: Callable[[bytes], list], limit: int = BLOCK_BYTES, held: Callable[[int], bool] | None = None, kind: str = "binary") -> DataFrame:
     """(block, idx, word, uses) for each distinct word of each block.
 

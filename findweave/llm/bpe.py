@@ -1,14 +1,14 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are split into pre-tokens ("words") block by block; each block keeps its texts as numbers
-of its own distinct words. The distinct words of all blocks make one table, in which each word is
-encoded once and decoded through a join of its ids with the id-to-piece table. Each block then
-joins ids and pieces back by position: only distinct words and packed numbers are shuffled,
-never the texts.
+Texts are split into pre-tokens ("words") block by block; each block keeps its texts as numbers of
+its own distinct words. The distinct words of all blocks are dealt out by their hash, so that the
+rows of a word meet in one bucket, where it is encoded once; each block then joins the ids back by
+position. Only distinct words, their ids and packed numbers are shuffled, never the texts. Ids are
+decoded through a join with the id-to-piece table, whose size is that of the vocabulary.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; special tokens in
-a text are their own ids; repeated rows are encoded alike; a word in every block has one row per
-block; an empty table gives an empty result; other columns never take part.
+a text are their own ids; repeated rows are encoded alike; an empty table gives an empty result;
+other columns never take part. A word that every block uses costs one row per block.
 """
 
 from __future__ import annotations
@@ -21,86 +21,105 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findweave.llm import _tokens
-from findweave.llm._blocks import BLOCK_BYTES, narrow, payload_rows, unpack_codes, word_rows
+from findweave.llm._blocks import BLOCK_BYTES, bucket_count, bucket_rows, grow, grow_strings, narrow, payload_rows, shrink, unpack_codes
 
 
 def id_to_piece(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece): one row per vocabulary entry, so its size is that of the vocabulary file."""
+    """(id, piece): one row per vocabulary entry."""
     pieces = _tokens.vocabulary(path).pieces
     return spark.createDataFrame(pa.table({"id": pa.array(pieces.keys(), pa.int32()), "piece": pa.array(pieces.values(), pa.binary())}))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words; each is encoded once."""
+def decode(ids: DataFrame, path: str, key: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(key, text) of rows with id arrays and distinct keys, by a join with the id-to-piece table."""
+    spread = ids.select(F.col(key).alias("key"), F.posexplode(ids_col).alias("pos", "id"))
+    joined = spread.join(F.broadcast(id_to_piece(ids.sparkSession, path)), "id")
+    at = F.sort_array(F.collect_list(F.struct("pos", "piece")))
+    text = joined.groupBy("key").agg(at.alias("at")).select(F.col("key").alias(key), F.decode(F.unhex(F.array_join(F.transform("at.piece", F.hex), "")), "utf-8").alias("text"))
+    return ids.select(key).join(text, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
-    @F.pandas_udf("array<int>")
-    def ids(batch):
-        v = _tokens.vocabulary(path)
-        return batch.map(lambda w: np.array(v.ids(w), np.int32))
 
-    # not to be evaluated again in a filter below the aggregate, where words are not yet distinct
-    return words.distinct().select("word", ids.asNondeterministic()("word").alias("ids"))
+class Pieces:
+    """The id-to-piece table as arrays: ids join to the bytes of their pieces by position."""
 
+    def __init__(self, path: str):
+        pieces = _tokens.vocabulary(path).pieces
+        ordered = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        self.sizes = np.fromiter(map(len, ordered), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(ordered), np.uint8)
 
-def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, ids, piece): the bytes of each row's ids, through a join on the id."""
-    spread = encoded.select("word", F.posexplode("ids").alias("pos", "id"))
-    joined = spread.join(F.broadcast(pieces), "id")  # as many rows as the vocabulary has entries
-    at = F.sort_array(F.collect_list(F.struct("pos", "id", "piece")))
-    return joined.groupBy("word").agg(at.alias("at")).select("word", F.col("at.id").alias("ids"), F.unhex(F.array_join(F.transform("at.piece", F.hex), "")).alias("piece"))
+    def join(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return self.blob[at + np.arange(len(at))].tobytes()
 
 
-def decode(ids: DataFrame, path: str, key: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(key, text) of rows with id arrays, through the id-to-piece join. Keys are distinct."""
-    spread = ids.select(F.col(key).alias("word"), F.col(ids_col).alias("ids"))
-    text = decode_words(spread, id_to_piece(ids.sparkSession, path)).select(F.col("word").alias(key), F.decode("piece", "utf-8").alias("text"))
-    return ids.select(key).join(text, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+def encode_buckets(words: DataFrame, path: str) -> DataFrame:
+    """(block, idx, sizes, ids) of each bucket's rows; every distinct word is encoded once."""
+
+    def run(group: pa.Table) -> pa.Table:
+        known: dict[bytes, list[int]] = {}
+        encode, out = _tokens.vocabulary(path).ids, []
+        for packed in group["words"]:
+            flat, sizes = [], []
+            for word in grow_strings(packed.as_py()):
+                ids = known.get(word)
+                if ids is None:
+                    known[word] = ids = encode(word.decode())
+                flat += ids
+                sizes.append(len(ids))
+            out.append((shrink(np.array(sizes, np.int64)), shrink(np.array(flat, np.int64))))
+        return pa.table({"block": group["block"], "idx": group["idx"], "sizes": pa.array([o[0] for o in out], pa.binary()), "ids": pa.array([o[1] for o in out], pa.binary())})
+
+    return words.groupBy("bucket").applyInArrow(run, "block long, idx binary, sizes binary, ids binary")
+
 
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
 
-def by_position(payload: DataFrame, table: DataFrame, each, schema: str) -> DataFrame:
-    """``each(doc_id, ids bytes, piece bytes)`` for every document, from blocks and their words."""
-    names = [f.split()[0] for f in schema.split(", ")]
+
+def join_back(payload: DataFrame, encoded: DataFrame, path: str, each, schema: str) -> DataFrame:
+    """``each(doc_id, ids, decoded bytes)`` for every document, from blocks and their words' ids."""
+    typed = _arrow(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
+        pieces, rows = Pieces(path), []
         for block in left.to_pylist():
-            if right.num_rows != block["n_words"]:
-                raise RuntimeError(f"block {block['block']} has {block['n_words']} words, its table {right.num_rows}")
-            order = np.argsort(right["idx"].to_numpy()) if right.num_rows else []
-            lists = right["ids"].combine_chunks() if right.num_rows else None
-            ids, pieces = [], []
-            if lists is not None:
-                flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) * 4
-                ids = [flat[ends[i] : ends[i + 1]] for i in order]
-                raw = right["piece"].to_pylist()
-                pieces = [raw[i] for i in order]
+            n = block["n_words"]
+            sizes, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            flat, size, seen = [], 0, 0
+            for part in right.to_pylist():
+                at, own, ids = np.cumsum(grow(part["idx"])), grow(part["sizes"]), grow(part["ids"])
+                sizes[at], starts[at] = own, size + np.cumsum(own) - own
+                flat.append(ids.astype("<u4"))
+                size, seen = size + len(ids), seen + len(at)
+            if seen != n:
+                raise RuntimeError(f"block {block['block']} has {n} words, but ids of {seen}")
+            raw = np.concatenate([*flat, np.zeros(0, "<u4")]).astype("<u4").tobytes()
+            ids_of = [raw[4 * a : 4 * (a + k)] for a, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
             codes, start = unpack_codes(block["codes"]).tolist(), 0
-            for doc_id, n in zip(block["ids"], block["counts"], strict=True):
-                mine = codes[start : start + n]
-                rows.append(each(doc_id, b"".join([ids[c] for c in mine]), b"".join([pieces[c] for c in mine])))
-                start += n
-        return pa.table(dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}, schema=_arrow(schema))
-
-    return payload.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(run, schema)
+            for doc_id, k in zip(block["ids"], block["counts"], strict=True):
+                ids = b"".join([ids_of[c] for c in codes[start : start + k]])
+                rows.append(each(doc_id, ids, pieces.join(np.frombuffer(ids, "<u4"))))
+                start += k
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(typed), typed, strict=True)], schema=typed)
 
-
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
-    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+    return payload.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, each, schema: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Encode and decode every document; ``each`` makes the output row from ids and pieces."""
+    """Encode and decode every document; ``each`` makes the output row from ids and decoded bytes."""
     path = vocabulary or _tokens.default_path()
 
-    def cut(text: bytes) -> list[str]:
-        return _tokens.vocabulary(path).split(text.decode("utf-8", "replace"))
+    def cut(text: bytes) -> list[bytes]:
+        return [w.encode() for w in _tokens.vocabulary(path).split(text.decode("utf-8", "replace"))]
 
     rows = narrow(docs, id_col, text_col)
-    used = word_rows(rows, cut, limit, kind="string").select("block", "idx", "word")
-    table = decode_words(encode_words(used.select("word"), path), id_to_piece(docs.sparkSession, path))
-    placed = used.join(table, "word").select("block", "idx", "ids", "piece")
-    return by_position(payload_rows(rows, cut, limit), placed, each, schema)
+    encoded = encode_buckets(bucket_rows(rows, cut, bucket_count(rows), limit), path)
+    return join_back(payload_rows(rows, cut, limit), encoded, path, each, schema)
 
 
 def token_ids(docs: DataFrame, **options) -> DataFrame:
