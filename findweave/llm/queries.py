@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findweave.llm import bpe, hmm_lm, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
+from findweave.llm import bpe, hmm_lm, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_hmm_lm": hmm_lm.op5_hmm_lm,
     "op6_bpe": bpe.op6_bpe,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_pii": pii.op9_pii,
     "op10_packing": packing.op10_packing,
 }
 
