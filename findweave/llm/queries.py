@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findweave.llm import bpe, hmm_lm, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, toxicity
+from findweave.llm import ann, bpe, hmm_lm, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_hmm_lm": hmm_lm.op5_hmm_lm,
     "op6_bpe": bpe.op6_bpe,
+    "op7_ann": ann.op7_ann,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_pii": pii.op9_pii,
     "op10_packing": packing.op10_packing,
