@@ -11,9 +11,10 @@ work for a text is about M log M points, however long it is.
 
 Signatures are banded. Exact copies are folded into one representative first. In every bucket each
 text is compared with the bucket's smallest id, by the exact overlap of both bags; then, where a
-bucket still spans several components, its texts outside the largest of them are compared with all
-texts of other components. So a pair that shares a bucket is either compared or already in one
-class, and no bucket is expanded into all its pairs. Components come from the large-star and
+bucket still spans several components, its texts outside the largest of them are compared with
+those texts of other components that a count of the shingles shared between components leaves
+possible. So a pair that shares a bucket is compared, already in one class, or proved no link, and
+no bucket is expanded into all its pairs. Components come from the large-star and
 small-star iteration on tables; nothing of the corpus is collected.
 
 Defined results: texts with one to four words have one shingle of all their words; texts without
@@ -28,7 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findweave.llm._blocks import narrow, texts_of
@@ -40,6 +41,8 @@ BANDS, ROWS = 25, 6
 REGISTERS = BANDS * ROWS
 #: Shingles of one vectorised batch.
 BATCH = 500_000
+#: Documents of a bucket from which on it is compared in blocks, and documents of a block.
+CROWD, BLOCK_DOCS = 64, 512
 CACHE = 300_000
 
 _U = np.uint64
@@ -152,20 +155,23 @@ def bag_overlap(a: np.ndarray, b: np.ndarray) -> float:
     return float(both / max(1, len(a) + len(b) - both))
 
 
-def verify(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, overlap) of the pairs whose bags overlap by ``threshold`` or more.
+_BAG = "doc_id long, size int, bag binary"
 
-    Texts of the documents in pairs become sorted shingle hashes once; pairs then meet these.
-    """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+def bags_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, size, bag) of the documents in ``ids``: sorted shingle hashes, repeats included."""
 
     def hashed(batches):
         table = _WordHashes()
         for batch in batches:
-            bags = [np.sort(shingles(t.split(), table)).tobytes() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], names=["doc_id", "bag"])
+            bags = [np.sort(shingles(t.split(), table)) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, bags), pa.int32()), pa.array([b.tobytes() for b in bags], pa.binary())], names=["doc_id", "size", "bag"])
+
+    return rows.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(hashed, _BAG)
+
 
-    bags = materialize(rows.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(hashed, "doc_id long, bag binary"), "bags")
+def verify(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, overlap) of the pairs whose bags overlap by ``threshold`` or more."""
     left, right = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
 
     def compare(batches):
@@ -173,10 +179,34 @@ def verify(pairs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD) -> D
             out = [bag_overlap(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "overlap"])
 
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "bag_a", "bag_b")
     return met.mapInArrow(compare, "a long, b long, overlap double").where(F.col("overlap") >= threshold)
 
 
+def shareable(bags: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, size, shared): how many of a document's shingles documents of other components have too.
+
+    ``roots``: (doc_id, root) of the documents that are compared. A document of ``size`` shingles
+    can't overlap one of another component by more than its ``shared`` ones.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            for doc_id, size, root, bag in zip(*batch.columns, strict=True):
+                values, counts = np.unique(np.frombuffer(bag.as_py(), _U), return_counts=True)
+                n = len(values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values.view(np.int64)), pa.array(counts, pa.int32()), *(pa.array(np.full(n, x.as_py()), k) for x, k in ((doc_id, pa.int64()), (size, pa.int32()), (root, pa.int64())))],
+                    names=["shingle", "n", "doc_id", "size", "root"],
+                )
+
+    each = bags.join(roots.hint("merge"), "doc_id").select("doc_id", "size", "root", "bag").mapInArrow(spread, "shingle long, n int, doc_id long, size int, root long")
+    each = materialize(each, "shingles")
+    common = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    # documents without such shingles can't be linked and drop out
+    return each.join(common.hint("merge"), "shingle", "left_semi").groupBy("doc_id", "size").agg(F.sum("n").alias("shared"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node with an edge; root is the smallest node of its component.
 
@@ -199,6 +229,101 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _mixed(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """``members`` of buckets that span several components, with ``root`` and the largest (``most``)."""
+    labelled = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    sizes = labelled.groupBy("band", "hash", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "hash").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    return labelled.join(mixed, ["band", "hash"])
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("band", "hash", *[F.col(c).alias(f"{name}_{c}") for c in ("rep", "root", "size", "shared")], *(["most"] if name == "y" else []))
+
+
+def _may_link(threshold: float) -> Column:
+    """The components differ, and as many shingles as both share with others could be enough."""
+    most = F.least("x_shared", "y_shared")
+    return (F.col("x_root") != F.col("y_root")) & (most >= threshold * (F.col("x_size") + F.col("y_size") - most) - 1e-6)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
+def links_between(members: DataFrame, links: DataFrame, tried: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Further links (a, b) between documents that share a bucket and are in different components.
+
+    Documents that share too few shingles with other components to be linked drop out. In what is
+    left, each bucket's least particular document is compared with the others first, which joins
+    most components; then the documents outside the largest component of a bucket that is still
+    mixed are compared with all that they may be linked to, in pairs or, where a bucket is
+    crowded, in blocks.
+    """
+    spread = materialize(_mixed(members.select("band", "hash", "rep"), components(links)), "mixed")
+    room = shareable(bags, spread.select(F.col("rep").alias("doc_id"), "root").distinct()).where(F.col("shared") >= threshold * F.col("size"))
+    able = materialize(spread.join(room.withColumnRenamed("doc_id", "rep").hint("merge"), "rep"), "able")
+    center = able.groupBy("band", "hash").agg(F.max_by(F.struct("rep", "root", "size", "shared", "most"), F.struct(F.col("shared") / F.col("size"), -F.col("rep"))).alias("c")).select("band", "hash", "c.*")
+    stars = materialize(_pairs(_side(able, "x").join(_side(center, "y"), ["band", "hash"]).where(_may_link(threshold))).join(tried, ["a", "b"], "left_anti"), "stars")
+    found = materialize(verify(stars, bags, threshold).select("a", "b"), "links")
+    again = materialize(_mixed(able.select("band", "hash", "rep", "size", "shared"), components(links.union(found))), "mixed")
+    again = again.join(again.groupBy("band", "hash").agg(F.count("*").alias("crowd")), ["band", "hash"])
+    few = again.where(F.col("crowd") <= CROWD)
+    one, two = _side(few.where("root <> most"), "x"), _side(few, "y")
+    once = (F.col("y_root") == F.col("most")) | (F.col("x_rep") < F.col("y_rep"))
+    crossed = _pairs(one.join(two, ["band", "hash"]).where(_may_link(threshold) & once))
+    crossed = materialize(crossed.join(tried.union(stars), ["a", "b"], "left_anti"), "crossed")
+    return found.union(verify(crossed, bags, threshold).select("a", "b")).union(crowded_links(again.where(F.col("crowd") > CROWD), bags, threshold))
+
+
+def overlaps(bags: list[np.ndarray]) -> np.ndarray:
+    """Shared shingles, repeats included, of every two of the bags (sorted arrays of hashes)."""
+    sizes = [len(b) for b in bags]
+    values, doc = np.concatenate(bags), np.repeat(np.arange(len(bags)), sizes)
+    # the n-th copy of a shingle in a bag is an element of its own
+    first = np.concatenate([np.searchsorted(b, b) for b in bags])
+    nth = np.concatenate([np.arange(n) for n in sizes]) - first
+    elements, column = np.unique(_mix(values + nth.astype(_U) * _STEP), return_inverse=True)
+    used = np.bincount(column) > 1
+    keep = used[column]
+    column, doc = (np.cumsum(used) - 1)[column[keep]], doc[keep]
+    order = np.argsort(column, kind="stable")
+    column, doc = column[order], doc[order]
+    out, width = np.zeros((len(bags), len(bags)), np.float32), 2048
+    for start in range(0, int(used.sum()), width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        part = np.zeros((len(bags), width), np.float32)
+        part[doc[lo:hi], column[lo:hi] - start] = 1
+        out += part @ part.T
+    return out
+
+
+def crowded_links(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components in crowded buckets, which are compared block by block.
+
+    A block's documents are compared in one task by the exact overlaps of their bags; only links
+    leave it, so a large group of copies that are not quite links isn't expanded into pairs.
+    """
+    blocks = F.ceil(F.col("crowd") / BLOCK_DOCS).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    dealt = rows.select("band", "hash", "rep", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root", "own")
+    dealt = dealt.join(bags.select(F.col("doc_id").alias("rep"), "size", "bag").hint("merge"), "rep")
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, root, own, size = (group[c].to_numpy() for c in ("rep", "root", "own", "size"))
+        both = overlaps([np.frombuffer(b.as_py(), _U) for b in group["bag"]])
+        linked = (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-3) & (root[:, None] != root[None, :])
+        if group["i"][0].as_py() != group["j"][0].as_py():
+            linked &= own[:, None] != own[None, :]
+        x, y = np.nonzero(np.triu(linked, 1))
+        sure = both[x, y].astype(float) / (size[x] + size[y] - both[x, y]) >= threshold
+        x, y = x[sure], y[sure]
+        return pa.table({"a": pa.array(np.minimum(rep[x], rep[y])), "b": pa.array(np.maximum(rep[x], rep[y]))})
+
+    return dealt.groupBy("band", "hash", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest id of its class), kept (it is that id) of each row."""
     rows = narrow(docs, id_col, text_col)
@@ -208,20 +333,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     reps = known.join(copies.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "hash"))
     hubs = reps.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").drop("last")
     members = materialize(reps.join(hubs, ["band", "hash"]).select("band", "hash", "rep", "hub"), "buckets")
+    bags = materialize(bags_of(rows, members.select(F.col("rep").alias("doc_id")).distinct()), "bags")
     stars = materialize(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = materialize(verify(stars, rows, threshold).select("a", "b"), "links")
-    linked = components(links)
-    # buckets that span several components: their smaller components meet the others
-    labelled = members.join(linked, members["rep"] == linked["node"], "left").select("band", "hash", "rep", F.coalesce("root", "rep").alias("root"))
-    sizes = labelled.groupBy("band", "hash", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band", "hash").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    spread = materialize(labelled.join(mixed, ["band", "hash"]), "mixed")
-    one = spread.where("root <> most").select("band", "hash", F.col("rep").alias("x"), F.col("root").alias("x_root"))
-    two = spread.select("band", "hash", F.col("rep").alias("y"), F.col("root").alias("y_root"), "most")
-    crossed = one.join(two, ["band", "hash"]).where("x_root <> y_root AND (y_root = most OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    crossed = materialize(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
-    more = verify(crossed, rows, threshold).select("a", "b")
-    final = components(links.union(more))
+    links = materialize(verify(stars, bags, threshold).select("a", "b"), "links")
+    final = components(links.union(links_between(members, links, stars, bags, threshold)))
     rep_class = copies.join(final, copies["rep"] == final["node"], "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     out = signed.select("doc_id", "key").join(rep_class, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
