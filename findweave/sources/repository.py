@@ -104,5 +104,5 @@ def c_functions(files: DataFrame) -> DataFrame:
     """
     text = F.decode("content", "utf-8")
     found = files.select("relative_path", text.alias("text")).select("relative_path", "text", F.posexplode(F.regexp_extract_all("text", F.lit(_C_FUNCTION), F.lit(0))).alias("pos", "head"))
-    line = F.size(F.split(F.substring_index("text", F.col("head"), 1), "\n"))
+    line = F.size(F.split(F.expr("substring(text, 1, locate(head, text))"), "\n"))
     return found.select("relative_path", F.regexp_extract("head", _C_FUNCTION, 1).alias("qualified_name"), line.alias("start_line"))
