@@ -1,0 +1,439 @@
+"""Text operators against brute force, held-out labels and exact round trips, and on odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from duck import connect, rows_of, sql_rows
+from pyspark.sql import functions as F
+
+from findweave.llm import _tokens, ann, bpe, hmm_lm, near_dedup, packing, pii, quality_classifier, quality_rules, queries, sharding, toxicity
+
+LONG = "lorem ipsum dolor " * 4000
+ODD = [
+    (1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "a b c a b c a b c"), (5, "a b c a b c a b c"), (6, "x\n\nx\ny\nx"), (7, LONG), (8, "é 中 <|endoftext|> 𝔸 'll  "), (9, LONG), (None, "no id here at all"),
+    (10, "mail a.b@c.example.org or +1 (555) 123-4567, 10.1.2.3 and 4111 1111 1111 1111."),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "s", 0, "k", 1, 2.0) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, block int, score double")
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("false")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, sf_dir, name):
+    con = connect(sf_dir)
+    assert rows_of(queries.QUERIES[name](spark, sf_dir)) == sql_rows(con, queries.ORACLES[name])
+
+
+# 2 sharding
+
+
+def _split(rows, limit, prefix=""):
+    total = sum(n for _, n in rows)
+    if total <= limit or len(prefix) == 60:
+        return {prefix: total}
+    out = {}
+    for bit in "01":
+        part = [(h, n) for h, n in rows if h[len(prefix)] == bit]
+        if part:
+            out |= _split(part, limit, prefix + bit)
+    return out
+
+
+def test_sharding_splits_only_what_is_too_large(docs):
+    rows = [(bin(int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16))[2:].zfill(60), len(r["text"].encode())) for r in docs.collect()]
+    for limit in (20_000, 300_000):
+        got = sharding.assign_shards(docs, limit=limit).collect()
+        shards = {r["shard"]: r["shard_bytes"] for r in got if r["fits"]}
+        want = {k: v for k, v in _split(rows, limit).items() if v <= limit}
+        assert shards == {**shards, **want} and set(want) <= set(shards)
+        assert all(r["n_bytes"] > limit for r in got if not r["fits"])
+
+
+def test_sharding_hot_key_and_odd_rows(spark, odd, none, tmp_path):
+    hot = spark.range(400).select(F.lit(7).alias("doc_id"), F.lit("x" * 100).alias("text"))
+    got = sharding.assign_shards(hot, limit=2000).groupBy("shard").agg(F.sum("n_bytes").alias("n"), F.max("shard_bytes").alias("m"), F.min("fits").alias("fits")).collect()
+    assert sum(r["n"] for r in got) == 40_000 and all(r["fits"] and r["n"] == r["m"] <= 2000 for r in got)
+    rows = sharding.assign_shards(odd, limit=1000).collect()
+    assert len(rows) == len(ODD) and {r["doc_id"] for r in rows if not r["fits"]} == {7, 9}
+    assert sharding.assign_shards(none).count() == 0
+    sharding.write_shards(odd.where("doc_id IN (4, 6, 8)"), f"{tmp_path}/s")
+    assert spark.read.parquet(f"{tmp_path}/s").count() == 3
+
+
+# 4 rules
+
+
+def test_rules_on_odd_rows(odd, none):
+    got = quality_rules.apply_policy(quality_rules.ledger(odd)).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: r for r in got}
+    for i, t in ODD:
+        w, t, r = words(t), t or "", by[i]
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        many = {g for g, n in Counter(grams).items() if n > 1}
+        covered = {k + j for k, g in enumerate(grams) if g in many for j in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
+    assert quality_rules.ledger(none).count() == 0
+    assert quality_rules.reject(odd).columns == odd.columns
+
+
+def test_rule_ablations_follow_the_bits(docs):
+    ledger = quality_rules.ledger(docs).cache()
+    masks = [r["failed_mask"] for r in ledger.collect()]
+    policy = quality_rules.policy_mask("v2")
+    for r in quality_rules.ablations(ledger, "v2").collect():
+        bit = quality_rules.policy_mask((r["rule"],))
+        assert r["n_failed"] == sum(bool(m & bit) for m in masks) and r["n_failed_alone"] == sum(m & policy == bit for m in masks)
+        assert r["n_kept_without"] == sum(not m & policy & ~bit for m in masks)
+
+
+# 1 and 3 classifiers
+
+
+def test_quality_classifier_held_out(spark, sf_dir, labels):
+    got = {r["doc_id"]: r for r in quality_classifier.op1_quality_classifier(spark, sf_dir).collect()}
+    held = [(r["quality"], got[r["doc_id"]]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert np.mean([y == r["predicted"] for y, r in held]) > 0.95
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for i, r in got.items())
+
+
+def test_classifiers_on_odd_rows(spark, odd, none, docs, labels):
+    model = quality_classifier.fit(docs, labels)
+    rows = quality_classifier.score(odd, model).collect()
+    assert len(rows) == len(ODD) and len({r["score"] for r in rows if r["doc_id"] in (1, 2, 3)}) == 1
+    assert quality_classifier.score(none, model).count() == 0
+    assert quality_classifier.keep_good(odd, model, 0.0).count() == len(ODD)
+    assert quality_classifier.fit(docs, labels.where("false")).bias == 0
+    tox = toxicity.fit(docs, labels)
+    rows = toxicity.score(odd, tox).collect()
+    assert len(rows) == len(ODD) and len({r["score"] for r in rows if r["doc_id"] in (1, 2, 3)}) == 1
+    assert toxicity.score(none, tox).count() == 0
+    assert toxicity.score(odd, toxicity.fit(docs, labels.where("false"))).first()["score"] == 0.5
+
+
+def test_toxicity_learns_planted_words():
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{k}" for k in range(300)]
+
+    def text(bad):
+        out = [vocabulary[i] for i in rng.integers(0, 300, 60)]
+        if bad:
+            out[rng.integers(0, 60)] = f"awful{rng.integers(0, 40)}"
+        return " ".join(out).encode()
+
+    y = [k % 2 for k in range(600)]
+    texts = [text(v) for v in y]
+    model = toxicity.train(texts[:400], y[:400])
+    scores = toxicity.Scorer(model)(texts[400:])
+    assert np.mean((scores >= 0.5) == np.array(y[400:])) > 0.95
+    one_by_one = np.concatenate([toxicity.Scorer(model, 1)([t]) for t in texts[400:420]])
+    assert np.allclose(one_by_one, scores[:20], atol=1e-6)
+    calibrated = toxicity.calibrate(model, [(t, v, "en" if k % 2 else "de") for k, (t, v) in enumerate(zip(texts[400:], y[400:], strict=True))])
+    assert set(calibrated.thresholds) <= {"en", "de"}
+
+
+# 5 language model
+
+
+def test_forward_is_exact():
+    rng = np.random.default_rng(0)
+    model = hmm_lm.Hmm.random(np.full(5, 0.2), 3)
+    model.start = np.array([0.5, 0.3, 0.2])
+    seqs = [rng.integers(0, 5, n) for n in (1, 4, 6, 4)]
+    got = hmm_lm.forward(model, seqs)
+    for seq, value in zip(seqs, got, strict=True):
+        total = 0.0
+        for path in itertools.product(range(3), repeat=len(seq)):
+            p = model.start[path[0]] * model.emit[path[0], seq[0]]
+            for a, b, o in zip(path, path[1:], seq[1:], strict=False):
+                p *= model.move[a, b] * model.emit[b, o]
+            total += p
+        assert abs(value - np.log10(total)) < 1e-9
+    starts, moves, emits, _ = hmm_lm.expected_counts(model, seqs)
+    assert np.isclose(starts.sum(), 4) and np.isclose(moves.sum(), sum(len(s) - 1 for s in seqs), rtol=1e-4) and np.isclose(emits.sum(), sum(map(len, seqs)), rtol=1e-4)
+    better = hmm_lm.update(starts, moves, emits, np.full(5, 1e-9))
+    assert hmm_lm.forward(better, seqs).sum() > got.sum()
+
+
+def test_language_model_scores(spark, docs, odd, none):
+    small = docs.where("doc_id < 150").select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id IS NULL OR doc_id < 9").withColumn("doc_id", F.col("doc_id") + 10_000))
+    rows = small.collect()
+    got = hmm_lm.fit_and_score(small).collect()
+    assert len(got) == len(rows)
+    cut = lambda t: words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter()
+    for r in rows:
+        if r["doc_id"] is not None and not out(r["doc_id"]):
+            counts.update([*cut(r["text"]), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r["doc_id"]].append(r["text"])
+    for r in got:
+        w = [*cut(texts[r["doc_id"]][0]), "\n"]
+        base = sum(np.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(counts[x] > 0 for x in w), n, out(r["doc_id"]))
+        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert hmm_lm.fit_and_score(none).count() == 0
+
+
+def test_class_shares_sum_to_one(spark):
+    rows = [(f"w{k}", 1 + (k % 7) * (k % 3)) for k in range(3000)]
+    counts = spark.createDataFrame([(w.encode(), c) for w, c in rows], "word binary, c long")
+    total = defaultdict(float)
+    for r in hmm_lm.classify(counts).collect():
+        total[r["cls"]] += 10 ** r["share"]
+    assert all(abs(v - (0.5 if k == hmm_lm.RARE else 1.0)) < 1e-9 for k, v in total.items())
+
+
+# 6 and 10 tokens
+
+
+def test_round_trip(spark, odd, none, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(_tokens.default_path())
+    for df in (odd, docs.where("doc_id < 120")):
+        texts = defaultdict(list)
+        for r in df.collect():
+            texts[r["doc_id"]].append(r["text"] or "")
+        got = bpe.token_ids(df, limit=30_000).collect()
+        assert len(got) == sum(map(len, texts.values()))
+        for r in got:
+            ids = tok.encode(texts[r["doc_id"]][0], add_special_tokens=False).ids
+            assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["text"] == tok.decode(ids, skip_special_tokens=False)
+    assert bpe.token_ids(none).count() == 0
+    ids = spark.createDataFrame([(1, tok.encode("héllo wörld").ids), (2, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(ids, _tokens.default_path()).collect()} == {1: "héllo wörld", 2: ""}
+
+
+def test_packing_covers_every_id_once(odd, none, docs):
+    v = _tokens.vocabulary(_tokens.default_path())
+    for df in (odd.where("doc_id <> 5"), docs.where("doc_id < 200")):
+        pieces = defaultdict(list)
+        sequences = defaultdict(list)
+        for r in packing.pack_documents(df, group=32).collect():
+            pieces[r["doc_id"]].append(r)
+            sequences[r["sequence_id"]].append(r)
+        texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+        assert set(pieces) == set(texts)
+        for doc, parts in pieces.items():
+            ids, at = np.append(v.encode(texts[doc]), 1).astype("<u4"), 0
+            for p in sorted(parts, key=lambda p: p["start"]):
+                assert p["start"] == at and p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+                at += p["length"]
+            assert at == len(ids)
+        for parts in sequences.values():
+            at = 0
+            for p in sorted(parts, key=lambda p: p["offset"]):
+                assert p["offset"] == at
+                at += p["length"]
+            assert at <= packing.WINDOW
+    assert packing.pack_documents(none).count() == 0
+    assert packing.pack_documents(odd).where("doc_id = 5").count() == 2
+
+
+def test_differencing():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 40, 200):
+        sizes = rng.integers(1, 2048, n).tolist()
+        for cut in (False, True):
+            windows = packing.pack(sizes, 2048, cut)
+            seen = Counter()
+            for w in windows:
+                assert 0 < sum(x[2] for x in w) <= 2048
+                for item, _, length in w:
+                    seen[item] += length
+            assert [seen[i] for i in range(n)] == sizes and (cut or sum(map(len, windows)) == n)
+        k = -(-sum(sizes) // 1024)
+        loads = [sum(sizes[i] for i in w) for w in packing.difference(sizes, k)]
+        assert sum(loads) == sum(sizes) and len(loads) == k
+
+
+# 7 neighbours
+
+
+def test_search_recall_ties_and_odd_vectors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = defaultdict(list)
+    for r in ann.op7_ann(spark, sf_dir).collect():
+        got[r["query_id"]].append(r)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        kth = np.sort(s)[-20]
+        mine = sorted(got[ids[q]], key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 21)) and all(abs(r["score"] - s[np.flatnonzero(ids == r["vec_id"])[0]]) < 1e-9 for r in mine)
+        hits, total = hits + sum(r["score"] >= kth - 1e-9 for r in mine), total + 20
+    assert hits / total >= 0.9
+    nan = float("nan")
+    odd = [(0, [1.0, 0.0]), (20, [3.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [-1.0, 5.0]), (0, [1.0, 0.0])]
+    df = spark.createDataFrame(odd, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).withColumn("score", F.lit(0))
+    out = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 20 == 0, k=3).collect()}
+    assert out == {(0, 1): (20, 3.0), (0, 2): (1, 1.0), (0, 3): (2, 1.0), (20, 1): (0, 3.0), (20, 2): (1, 3.0), (20, 3): (2, 3.0)}
+    assert ann.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+# 8 near duplicates
+
+
+def test_signatures_are_unbiased():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 2**63, 300).astype(np.uint64)
+    a = rng.integers(1, 20, 300)
+    b = np.where(rng.random(300) < 0.6, a, rng.integers(1, 20, 300))
+    agree = []
+    for s in range(20):
+        sig = near_dedup.signatures([(near_dedup._mix(h + np.uint64(s)), a), (near_dedup._mix(h + np.uint64(s)), b)])
+        agree.append((sig[0] == sig[1]).mean())
+    assert abs(np.mean(agree) - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
+
+
+def _brute_classes(rows):
+    bag = lambda t: Counter(tuple(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4))) if words(t) else Counter()
+    items = [(i, bag(t)) for i, t in rows if i is not None]
+    root = {i: i for i, _ in items}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations(items, 2):
+        both = sum((a & b).values())
+        if (not a and not b) or (a and b and both / (sum(a.values()) + sum(b.values()) - both) >= 0.8):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_near_duplicate_classes(spark, odd, none, docs, monkeypatch, crowd):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    rng = np.random.default_rng(5)
+    base = [f"word{k}" for k in rng.integers(0, 500, 120)]
+    family = []
+    for k in range(40):
+        w = list(base)
+        for p in rng.integers(0, 120, rng.integers(0, 6)):
+            w[p] = f"new{rng.integers(0, 30)}"
+        family.append((1000 + k, " ".join(w)))
+    rows = [(i, t) for i, t in ODD] + family + [(r["doc_id"] + 5000, r["text"]) for r in docs.where("doc_id < 60").collect()]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    want = _brute_classes(rows)
+    assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == want
+    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["class_id"]) for r in got)
+    if crowd == 64:
+        assert near_dedup.classes(none).count() == 0
+        kept = near_dedup.keep_first(odd)
+        assert kept.columns == odd.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 8, 10, None])
+
+
+def test_block_overlaps():
+    rng = np.random.default_rng(3)
+    bags = [np.sort(rng.integers(0, 50, n).astype(np.uint64)) for n in rng.integers(1, 80, 30)]
+    got = near_dedup.overlaps(bags)
+    for i, j in itertools.combinations(range(30), 2):
+        both = sum((Counter(bags[i].tolist()) & Counter(bags[j].tolist())).values())
+        assert got[i, j] == both and abs(near_dedup.bag_overlap(bags[i], bags[j]) - both / (len(bags[i]) + len(bags[j]) - both)) < 1e-12
+
+
+# 9 personal data
+
+
+def _base(text):
+    out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 14 <= len(digits) <= 19 and pii.luhn(digits):
+            out.append((m.start(), 2, "card", m.end()))
+    out += [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_base_spans_match_the_patterns():
+    rng = np.random.default_rng(9)
+    pieces = ["a", "b.c", "@", ".", "-", "_", " ", "+1", "12", "255", "300", "4111", "1111", "(", ")", "\n", "é", "x@y.z", "..", "10.2.3.4", "+44 20 7946 0958"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.integers(1, 14)))
+        assert pii.listed(pii.base_spans(text)) == _base(text), text
+    long = "a" * 200_000 + "@" + "1" * 200_000
+    assert pii.listed(pii.base_spans(long)) == ""
+
+
+def test_personal_data(spark, odd, none):
+    contexts = ["call now {} please", "his number {} is old", "see {} there", "the account {} was used"]
+    valid = lambda head: next(head + str(d) for d in range(10) if pii.luhn(head + str(d)))
+    cards = [valid(f"41112222333{k:04d}") for k in range(40)]
+    other = ["4111111111111112", "5500005555555550"]
+    rows = [(k, contexts[k % 4].format(cards[k])) for k in range(40)] + [(100 + k, contexts[k % 4].format(other[k % 2])) for k in range(6)] + [(200, "version 2.0. of part 7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["all_spans"] for r in pii.extract(df).collect()}
+    assert all([s["kind"] for s in got[k]] == ["id"] for k in range(100, 106)) and got[200] == []
+    out = {r["doc_id"]: r for r in pii.redact(odd).collect()}
+    assert out[10]["text"] == "mail <EMAIL> or <PHONE>, <IP> and <CARD>." and out[10]["n_chars"] == len(out[10]["text"]) and out[1]["text"] is None
+    rows = pii.extract(odd).collect()
+    assert len(rows) == len(ODD) and pii.extract(none).count() == 0 and pii.redact(none).count() == 0
+    assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == len(ODD)
+
+
+# pipeline
+
+
+def test_pipeline(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_dedup", "pii", "packing"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").collect()}
+    columns, before = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.materialize(stage(spark, before, sf_dir), name)
+        assert after.columns == columns and after.count() <= before.count()
+        before = after
+    assert not good & {r["doc_id"] for r in before.collect()}
+    assert before.where("text LIKE '%@mail%'").count() == 0
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
