@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from findweave.plans import evaluation, feedback, lifecycle, review, spans
+from findweave.plans import code, evaluation, feedback, lifecycle, review, spans
 
-_MODULES = (feedback, evaluation, spans, lifecycle, review)
+_MODULES = (feedback, evaluation, spans, lifecycle, review, code)
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

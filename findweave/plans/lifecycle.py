@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findweave.functions.text import fingerprint, module_of, safe_relative_path, squeezed
-from findweave.operators import matching
+from findweave.operators import dedupe, lifecycle, matching
 from findweave.operators import snapshots as snap
 from findweave.operators.ranking import admit
 
@@ -147,3 +147,44 @@ SELECT doc_id, contains(trim(regexp_replace(t, '\s+', ' ', 'g')), trim(regexp_re
 w AS (SELECT lang, doc_id, r, tokens <= 20000 AS admitted, CASE WHEN tokens <= 20000 THEN tokens ELSE 0 END AS used FROM o WHERE r = 1 UNION ALL SELECT o.lang, o.doc_id, o.r, w.used + o.tokens <= 20000, CASE WHEN w.used + o.tokens <= 20000 THEN w.used + o.tokens ELSE w.used END FROM w JOIN o ON o.lang = w.lang AND o.r = w.r + 1)
 SELECT doc_id, admitted, used FROM w""",
 }
+
+
+def _findings(spark, d) -> DataFrame:
+    """Line items as analyzer findings: the order is the file, the line status the analyzer."""
+    from findweave.plans.review import _proposals
+
+    p = _proposals(spark, d)
+    return p.select("id", F.col("path").alias("file_path"), "category", F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.col("title").alias("source_analyzer"), (F.col("k") % 2).cast("string").alias("rule_id"), F.when(F.col("k") % 3 == 0, F.col("k") % 2).alias("symbol_id"), "severity", "confidence")
+
+
+def finding_pairs(spark, d):
+    return dedupe.duplicate_pairs(_findings(spark, d))
+
+
+def finding_groups(spark, d):
+    return dedupe.merge(_findings(spark, d)).groupBy("is_primary").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("n_groups"))
+
+
+def generation_gates(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    c = F.col("o_orderkey")
+    runs = o.select(c.alias("id"), F.when(c % 5 != 0, c).alias("previous_id"), F.when(c % 7 == 0, F.lit("failed")).otherwise(F.lit("succeeded")).alias("previous_status"), F.when(c % 3 == 0, F.lit(True)).when(c % 3 == 1, F.lit(False)).alias("ancestry"), F.lit("a").alias("fingerprint"), F.when(c % 2 == 0, F.lit("a")).alias("previous_fingerprint"))
+    return lifecycle.generation_gate(runs).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+def analysis_statuses(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 4000).alias("run"), F.when(F.col("l_returnflag") == "R", F.lit("failed")).when(F.col("l_returnflag") == "A", F.lit("succeeded")).otherwise(F.lit("skipped")).alias("status"), F.col("l_linenumber").cast("long").alias("raw_findings_count"))
+    return lifecycle.analysis_status(li, "run")
+
+
+QUERIES |= {"finding_pairs": finding_pairs, "finding_groups": finding_groups, "generation_gates": generation_gates, "analysis_statuses": analysis_statuses}
+_FINDINGS = """f AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey AS fp, l_returnflag AS cat, l_linenumber::BIGINT * 3 AS s, l_linenumber::BIGINT * 3 + l_quantity::BIGINT % 7 AS e, l_linestatus AS an, l_suppkey % 2 AS ru, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey % 2 END AS sy, l_quantity::BIGINT % 5 AS sev, l_partkey % 3 AS conf FROM lineitem),
+p AS (SELECT a.id AS a_id, b.id AS b_id FROM f a JOIN f b ON a.fp = b.fp AND a.cat = b.cat AND a.id < b.id AND a.s <= b.e AND b.s <= a.e AND NOT (a.an = b.an AND a.ru <> b.ru) AND NOT coalesce(a.sy <> b.sy, false))"""
+ORACLES |= {
+    "finding_pairs": f"WITH {_FINDINGS} SELECT * FROM p",
+    "finding_groups": f"""WITH RECURSIVE {_FINDINGS}, b AS (SELECT a_id AS x, b_id AS y FROM p UNION SELECT b_id, a_id FROM p), w AS (SELECT DISTINCT x, x AS r FROM b UNION SELECT b.y, w.r FROM w JOIN b ON b.x = w.x), g AS (SELECT x, min(r) AS root FROM w GROUP BY 1),
+n AS (SELECT f.id, coalesce(root, f.id) AS root FROM f LEFT JOIN g ON g.x = f.id), t AS (SELECT count(DISTINCT root) AS g, count(*) AS n FROM n), q AS (SELECT count(DISTINCT root) AS m FROM (SELECT root FROM n GROUP BY 1 HAVING count(*) > 1))
+SELECT true AS is_primary, g AS n, g AS n_groups FROM t UNION ALL SELECT false, t.n - g, m FROM t, q""",
+    "generation_gates": "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'full_no_previous' WHEN o_orderkey % 7 = 0 THEN 'full_previous_not_succeeded' WHEN o_orderkey % 3 = 2 THEN 'full_ancestry_unverifiable' WHEN o_orderkey % 3 = 1 THEN 'full_not_an_ancestor' WHEN o_orderkey % 2 = 1 THEN 'memory_only' ELSE 'incremental' END AS mode, count(*) AS n FROM orders GROUP BY 1",
+    "analysis_statuses": "WITH x AS (SELECT l_orderkey % 4000 AS run, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_returnflag = 'A') AS succeeded, sum(l_linenumber)::BIGINT AS raw_findings FROM lineitem GROUP BY 1) SELECT *, CASE WHEN failed = 0 THEN 'succeeded' WHEN succeeded > 0 THEN 'partial' ELSE 'failed' END AS run_status FROM x",
+}

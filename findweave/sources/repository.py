@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,3 +108,22 @@ def c_functions(files: DataFrame) -> DataFrame:
     found = files.select("relative_path", text.alias("text")).select("relative_path", "text", F.posexplode(F.regexp_extract_all("text", F.lit(_C_FUNCTION), F.lit(0))).alias("pos", "head"))
     line = F.size(F.split(F.expr("substring(text, 1, locate(head, text))"), "\n"))
     return found.select("relative_path", F.regexp_extract("head", _C_FUNCTION, 1).alias("qualified_name"), line.alias("start_line"))
+
+
+def at_commit(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The files (commit, relative_path, content) that ``wanted`` (commit, relative_path) names."""
+    return files.join(wanted.select("commit", "relative_path").distinct(), ["commit", "relative_path"], "left_semi")
+
+
+def load_cases(spark: SparkSession, root: str) -> DataFrame:
+    """Benchmark cases below a local folder: one row per sub-folder with a case.yaml; ids are unique."""
+    import yaml  # only needed here
+
+    rows = []
+    for path in sorted(Path(root).glob("*/case.yaml")):
+        case = yaml.safe_load(path.read_text(encoding="utf-8"))
+        rows.append((str(case.get("id", path.parent.name)), case.get("title"), case.get("language"), case.get("difficulty"), [str(t) for t in case.get("tags", [])], json.dumps(case.get("expected", []), sort_keys=True), json.dumps(case.get("forbidden", []), sort_keys=True)))
+    ids = [r[0] for r in rows]
+    if len(ids) != len(set(ids)):
+        raise ValueError(f"case ids occur more than once: {sorted({i for i in ids if ids.count(i) > 1})}")
+    return spark.createDataFrame(rows, "case_id string, title string, language string, difficulty string, tags array<string>, expected string, forbidden string")

@@ -98,3 +98,24 @@ def recompute_touched(events: DataFrame, history: Callable[[], DataFrame], asses
         sink(assess(history().join(batch.select(key).distinct(), key, "left_semi")))
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def reaction_changes(snapshots: DataFrame, comment: str = "comment_id") -> DataFrame:
+    """Added and removed reactions from polled snapshots of a comment's reactions; bots are left out.
+
+    ``snapshots``: comment id, polled_at, reaction_ids (all that are active), actor_types alike.
+    """
+    schema = f"{comment} long, reaction_id long, event_type string, polled_at timestamp"
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        active = set(kept.get[0]) if kept.exists else set()
+        out = []
+        for row in pd.concat(list(frames)).sort_values("polled_at").itertuples(index=False):
+            now = {int(i) for i, kind in zip(row.reaction_ids, row.actor_types, strict=True) if kind != "Bot"}
+            out += [(keys[0], i, "reaction_added", row.polled_at) for i in sorted(now - active)]
+            out += [(keys[0], i, "reaction_removed", row.polled_at) for i in sorted(active - now)]
+            active = now
+        kept.update((sorted(active),))
+        yield pd.DataFrame(out, columns=[comment, "reaction_id", "event_type", "polled_at"])
+
+    return snapshots.groupBy(comment).applyInPandasWithState(step, schema, "active array<long>", "append", GroupStateTimeout.NoTimeout)
