@@ -46,7 +46,7 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def block_stream(batches: Iterable[pa.RecordBatch], cut: Callable[[bytes], list[bytes]], limit: int) -> Iterator[tuple]:
+def block_stream(batches: Iterable[pa.RecordBatch], cut: Callable[[bytes], list], limit: int) -> Iterator[tuple]:
     """(block id, doc ids, words of the block, per document a code array) for each block.
 
     Codes number the distinct words of the block in order of first use. Block ids come from
@@ -104,13 +104,14 @@ def bucket_count(rows: DataFrame, text_bytes: int = 8 << 20) -> int:
     return max(4, total // text_bytes)
 
 
-def bucket_rows(rows: DataFrame, cut: Callable[[bytes], list[bytes]], buckets: int, limit: int = BLOCK_BYTES) -> DataFrame:
+def bucket_rows(rows: DataFrame, cut: Callable[[bytes], list], buckets: int, limit: int = BLOCK_BYTES) -> DataFrame:
     """The distinct words of each block, packed by the bucket of their hash: (bucket, block, idx, words)."""
 
     def run(batches):
         for block, _, words, _ in block_stream(batches, cut, limit):
             if not words:
                 continue
+            words = [w.encode() if isinstance(w, str) else w for w in words]
             of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
             order = np.argsort(of, kind="stable")
             edges = np.flatnonzero(np.diff(of[order], prepend=-1))
@@ -148,7 +149,7 @@ def word_rows(docs: DataFrame, cut: Callable[[bytes], list], limit: int = BLOCK_
     return docs.mapInArrow(run, f"block long, idx int, word {kind}, uses long")
 
 
-def payload_rows(docs: DataFrame, cut: Callable[[bytes], list[bytes]], limit: int = BLOCK_BYTES) -> DataFrame:
+def payload_rows(docs: DataFrame, cut: Callable[[bytes], list], limit: int = BLOCK_BYTES) -> DataFrame:
     """One row per block: its document ids, their word counts and the packed word codes."""
 
     def run(batches):
