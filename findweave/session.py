@@ -42,6 +42,8 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    written = getattr(spark.sparkContext, "_findweave_tables", [])
+    spark.sparkContext._findweave_tables = [*written, path]
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,3 +60,12 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._findweave_shipped = True
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` has written in this context; read results before."""
+    context = spark.sparkContext
+    for path in getattr(context, "_findweave_tables", []):
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    context._findweave_tables = []
