@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def overlaps(a_start, a_end, b_start, b_end) -> Column:
@@ -33,6 +34,19 @@ def overlap_pairs(df: DataFrame, keys: Sequence[str], id_col: str, start: str, e
     return a.join(b, [*keys, "bucket"]).where((c(f"a_{id_col}") < c(f"b_{id_col}")) & overlaps(c(f"a_{start}"), c(f"a_{end}"), c(f"b_{start}"), c(f"b_{end}")) & first).drop("bucket")
 
 
+def overlap_components(df: DataFrame, keys: Sequence[str], id_col: str, start: str, end: str) -> DataFrame:
+    """(id, root): the smallest id among the spans of a key that hang together by overlaps.
+
+    Spans lie on a line, so a component ends where a start passes the largest end so far: one sort
+    per key, no iteration. Where more than overlap decides, use ``graph.components`` on pairs.
+    """
+    order = Window.partitionBy(*keys).orderBy(start, end, id_col)
+    passed = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = df.select(*keys, id_col, start, end).withColumn("__new", (passed.isNull() | (F.col(start) > passed)).cast("int"))
+    grouped = opens.withColumn("__group", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.withColumn("root", F.min(id_col).over(Window.partitionBy(*keys, "__group"))).select(id_col, "root")
+
+
 def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], point_id: str, line: str, span_id: str, start: str, end: str, width: int = 64) -> DataFrame:
     """Each point with the smallest span that contains it (ties: earlier start, then id); null if none."""
     p = points.withColumn("bucket", F.floor(F.col(line) / width))
@@ -89,8 +103,6 @@ def nearest_siblings(df: DataFrame, parent: Sequence[str], id_col: str, start: s
 
     Siblings share the parent columns (nulls are one parent). Read off windows over the two ends.
     """
-    from pyspark.sql.window import Window
-
     events = df.select(*parent, id_col, F.col(start).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("ended"), F.lit(None).cast(df.schema[id_col].dataType).alias("ended_id")).unionByName(
         df.select(*parent, id_col, F.col(end).alias("at"), F.lit(2).alias("kind"), F.col(end).cast("long").alias("ended"), F.col(id_col).alias("ended_id"))
     )
@@ -99,6 +111,7 @@ def nearest_siblings(df: DataFrame, parent: Sequence[str], id_col: str, start: s
     starts = df.select(*parent, id_col, F.col(start).alias("at"), F.lit(2).alias("kind"), F.struct(F.col(start).alias("s"), F.col(id_col).alias("id")).alias("begun")).unionByName(
         df.select(*parent, id_col, F.col(end).alias("at"), F.lit(3).alias("kind"), F.lit(None).cast(f"struct<s:{df.schema[start].dataType.simpleString()},id:{df.schema[id_col].dataType.simpleString()}>").alias("begun"))
     )
-    after = Window.partitionBy(*parent).orderBy("at", "kind", id_col).rowsBetween(1, Window.unboundedFollowing)
+    # backwards, so that the frame only grows
+    after = Window.partitionBy(*parent).orderBy(F.desc("at"), F.desc("kind"), F.desc(id_col)).rowsBetween(Window.unboundedPreceding, -1)
     following = starts.withColumn("next_id", F.min("begun").over(after)["id"]).where("kind = 3").select(id_col, "next_id")
     return df.join(previous, id_col, "left").join(following, id_col, "left")

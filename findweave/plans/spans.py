@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findweave.operators import intervals as iv
-from findweave.operators.graph import components, neighbours_within_two
+from findweave.operators.graph import neighbours_within_two
 from findweave.sources.diff import all_lines_added, diff_position, name_status, patch_lines, split_files
 
 
@@ -39,8 +39,7 @@ def overlap_pairs(spark, d):
 
 
 def overlap_components(spark, d):
-    s = spans(spark, d)
-    return components(s, iv.overlap_pairs(s, ["file", "category"], "id", "start", "end").select("a_id", "b_id"))
+    return iv.overlap_components(spans(spark, d), ["file", "category"], "id", "start", "end")
 
 
 def innermost(spark, d):

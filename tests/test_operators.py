@@ -72,7 +72,7 @@ def test_components_match_union_find(spark, spans):
             for b in rows:
                 if a[0] == b[0] and a[2] <= b[3] and b[2] <= a[3]:
                     root[a[1]] = root[b[1]] = min(root[a[1]], root[b[1]])
-    assert got == root
+    assert got == root == {r["id"]: r["root"] for r in intervals.overlap_components(df, ["k"], "id", "s", "e").collect()}
 
 
 @FEW
@@ -102,6 +102,18 @@ def test_greedy_assign_matches_loop(spark, pairs):
     assert got == want
 
 
+@FEW
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.integers(0, 30), st.integers(0, 8)), min_size=1, max_size=15))
+def test_nearest_siblings_match_loop(spark, spans):
+    rows = [(p, i, s, s + n) for i, (p, s, n) in enumerate(spans)]
+    df = spark.createDataFrame(rows, "p int, id int, s long, e long")
+    got = {r["id"]: (r["previous_id"], r["next_id"]) for r in intervals.nearest_siblings(df, ["p"], "id", "s", "e").collect()}
+    for p, i, s, e in rows:
+        before = max(((o[3], o[1]) for o in rows if o[0] == p and o[3] < s), default=(0, None))[1]
+        after = min(((o[2], o[1]) for o in rows if o[0] == p and o[2] > e), default=(0, None))[1]
+        assert got[i] == (before, after)
+
+
 def test_matching(spark):
     a = spark.createDataFrame([(1, "h", None), (2, "h", "L"), (3, "g", "R"), (4, "g", "R"), (5, None, "L")], "id int, h string, s string")
     b = spark.createDataFrame([(10, "h", None), (20, "g", "R"), (30, None, "L")], "rid int, rh string, rs string")
