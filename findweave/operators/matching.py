@@ -83,3 +83,29 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, identity: Sequence[str
 def upsert(new: DataFrame, existing: DataFrame, identity: Sequence[str]) -> DataFrame:
     """``existing`` with the rows of ``new`` in place of those of the same identity."""
     return existing.join(new.select(*identity), list(identity), "left_anti").unionByName(new)
+
+
+def attributed_threads(threads: DataFrame, comments: DataFrame) -> DataFrame:
+    """Thread states of our comments: (finding_id, is_resolved), joined by the thread's first comment.
+
+    ``threads``: first_comment_id, is_resolved; ``comments``: comment_id, finding_id, published_at.
+    Of several comments on a finding the last published one speaks.
+    """
+    met = threads.where("first_comment_id IS NOT NULL").join(comments, threads["first_comment_id"] == comments["comment_id"])
+    return met.groupBy("finding_id").agg(F.max_by("is_resolved", F.struct("published_at", "comment_id")).alias("is_resolved"))
+
+
+def with_ids(rows: DataFrame, known: DataFrame, keys: Sequence[str], id_col: str, name: str) -> DataFrame:
+    """Rows with the id of the natural key (the last one of several); null where it isn't known."""
+    ids = known.groupBy(*keys).agg(F.max(id_col).alias(name))
+    return rows.join(ids, list(keys), "left")
+
+
+def current_findings(findings: DataFrame, candidates: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with their candidate's symbol and path; a missing file is the empty path.
+
+    ``findings``: id, candidate_id; ``candidates``: candidate_id, symbol_id; ``symbols``: symbol_id,
+    file_id, qualified_name; ``files``: file_id, path.
+    """
+    j = findings.join(candidates, "candidate_id", "left").join(symbols, "symbol_id", "left").join(files, "file_id", "left")
+    return j.withColumn("path", F.coalesce("path", F.lit("")))

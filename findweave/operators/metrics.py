@@ -76,3 +76,28 @@ def validation_errors(rows: DataFrame, key: str, rules: dict[str, Column]) -> Da
     """(key, error) for every rule that a row breaks; a row may break several."""
     broken = F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in rules.items()]))
     return rows.select(key, F.explode(broken).alias("error"))
+
+
+def truth_problems(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """(case_id, exp_ord, error) for labelled findings that can't be right.
+
+    ``expected``: case_id, exp_ord, id, file, symbol, category, line, line_end, line_tolerance,
+    severity, max_justified_severity; ``files``: case_id, path, line_count, text. Of repeated ids and
+    places the first stands.
+    """
+    from pyspark.sql.window import Window
+
+    from findweave.functions.ranks import SEVERITIES, rank
+
+    c = F.col
+    again = lambda *keys: F.row_number().over(Window.partitionBy("case_id", *keys).orderBy("exp_ord")) > 1
+    j = expected.withColumn("repeated_id", again("id")).withColumn("repeated_place", again("file", "symbol", "category", "line"))
+    j = j.join(files.withColumnRenamed("path", "file"), ["case_id", "file"], "left")
+    last = F.coalesce("line_end", "line")
+    rules = {
+        "repeated_id": c("repeated_id"), "repeated_place": c("repeated_place"), "missing_file": c("line_count").isNull(),
+        "bad_line_range": (c("line") < 1) | (last < c("line")) | (last > c("line_count")), "negative_tolerance": c("line_tolerance") < 0,
+        "unknown_symbol": ~F.contains(c("text"), F.substring_index("symbol", ".", -1)), "severity_over_maximum": rank(c("severity"), SEVERITIES) > rank(c("max_justified_severity"), SEVERITIES),
+    }
+    broken = F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in rules.items()]))
+    return j.select("case_id", "exp_ord", F.explode(broken).alias("error"))

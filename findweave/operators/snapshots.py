@@ -36,15 +36,23 @@ def continuity(previous: DataFrame, current: DataFrame) -> DataFrame:
     return settled.unionByName(moved).unionByName(added).select(F.col("p_id").alias("prev_id"), F.col("c_id").alias("cur_id"), "status")
 
 
-def before_review(memory: DataFrame, changes: DataFrame) -> DataFrame:
+def before_review(memory: DataFrame, changes: DataFrame, file_changes: DataFrame | None = None) -> DataFrame:
     """Disposition of remembered findings: resolved, recheck or carry_forward, with the reason.
 
-    ``memory``: symbol_id, evidence_holds, ...; ``changes``: prev_id, status from ``continuity``.
+    ``memory``: symbol_id, evidence_holds, ... (and path, if ``file_changes`` is given); ``changes``:
+    prev_id, status from ``continuity``; ``file_changes``: path, change. A finding without a symbol
+    is settled by its file alone: gone with it, else to be looked at again.
     """
     joined = memory.join(changes.select(F.col("prev_id").alias("symbol_id"), "status"), "symbol_id", "left")
     steady = F.col("status").isin("unchanged", "moved", "renamed")
     disposition = F.when(F.col("status") == "deleted", F.lit("resolved")).when(steady & F.col("evidence_holds"), F.lit("carry_forward")).otherwise(F.lit("recheck"))
     reason = F.when(F.col("status").isNull(), F.lit("no_continuity")).when(steady & ~F.col("evidence_holds"), F.lit("evidence_lost")).otherwise(F.concat(F.lit("symbol_"), F.col("status")))
+    if file_changes is not None:
+        joined = joined.join(file_changes.select("path", "change").dropDuplicates(["path"]), "path", "left")
+        module = F.col("symbol_id").isNull()
+        gone = module & F.coalesce(F.col("change") == "D", F.lit(False))
+        disposition = F.when(gone, F.lit("resolved")).when(module, F.lit("recheck")).otherwise(disposition)
+        reason = F.when(gone, F.lit("file_deleted")).when(module & (F.col("change") == "R"), F.lit("file_renamed")).when(module, F.lit("module_level")).otherwise(reason)
     return joined.withColumn("disposition", disposition).withColumn("reason", reason)
 
 

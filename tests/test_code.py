@@ -120,3 +120,50 @@ def test_cases_from_yaml(spark, tmp_path):
     (tmp_path / "c1").mkdir()
     (tmp_path / "c1" / "case.yaml").write_text("id: one\ntags: [a]\nexpected:\n- id: e\n")
     assert repository.load_cases(spark, str(tmp_path)).first()["case_id"] == "one"
+
+
+def test_small_joins_and_truth(spark):
+    from findweave.operators import matching, metrics, snapshots
+    from findweave.sources import drops
+
+    threads = spark.createDataFrame([(1, True), (2, False), (None, True)], "first_comment_id int, is_resolved boolean")
+    comments = spark.createDataFrame([(1, "f", 1), (2, "f", 2)], "comment_id int, finding_id string, published_at int")
+    assert [tuple(r) for r in matching.attributed_threads(threads, comments).collect()] == [("f", False)]
+    known = spark.createDataFrame([("a", "f", 1), ("a", "f", 2)], "path string, name string, id int")
+    rows = spark.createDataFrame([("a", "f"), ("a", "g")], "path string, name string")
+    assert {r["name"]: r["symbol"] for r in matching.with_ids(rows, known, ["path", "name"], "id", "symbol").collect()} == {"f": 2, "g": None}
+    got = matching.current_findings(spark.createDataFrame([(1, 1), (2, 9)], "id int, candidate_id int"), spark.createDataFrame([(1, "s")], "candidate_id int, symbol_id string"), spark.createDataFrame([("s", "x", "q")], "symbol_id string, file_id string, qualified_name string"), spark.createDataFrame([("x", "a.py")], "file_id string, path string"))
+    assert {r["id"]: r["path"] for r in got.collect()} == {1: "a.py", 2: ""}
+    cols = "case_id string, exp_ord int, id string, file string, symbol string, category string, line int, line_end int, line_tolerance int, severity string, max_justified_severity string"
+    expected = spark.createDataFrame([("c", 1, "a", "f", "run", "bug", 1, None, 3, "low", "high"), ("c", 2, "a", "f", "run", "bug", 1, None, 3, "low", None), ("c", 3, "b", "g", None, "bug", 5, 4, -1, "high", "low"), ("c", 4, "d", "f", "A.gone", "bug", 9, 99, 0, None, None)], cols)
+    files = spark.createDataFrame([("c", "f", 10, "def run(): pass")], "case_id string, path string, line_count int, text string")
+    got = {(r["exp_ord"], r["error"]) for r in metrics.truth_problems(expected, files).collect()}
+    assert got == {(2, "repeated_id"), (2, "repeated_place"), (3, "missing_file"), (3, "bad_line_range"), (3, "negative_tolerance"), (3, "severity_over_maximum"), (4, "bad_line_range"), (4, "unknown_symbol")}
+    memory = spark.createDataFrame([(1, None, "a", True), (2, None, "b", True), (3, "s", "a", True)], "id int, symbol_id string, path string, evidence_holds boolean")
+    changes = spark.createDataFrame([("s", "t", "moved")], "prev_id string, cur_id string, status string")
+    out = snapshots.before_review(memory, changes, spark.createDataFrame([("a", "D")], "path string, change string"))
+    assert {r["id"]: (r["disposition"], r["reason"]) for r in out.collect()} == {1: ("resolved", "file_deleted"), 2: ("recheck", "module_level"), 3: ("carry_forward", "symbol_moved")}
+    pulls = spark.createDataFrame([(1, "closed", None, "2024-01-01"), (2, "open", None, None), (3, "closed", "2024-01-02", "2024-01-02")], "id int, state string, merged_at string, closed_at string")
+    assert {r["pull_request_id"]: r["event_type"] for r in drops.lifecycle_of_pull_request(pulls).collect()} == {1: "pr_closed", 3: "pr_merged"}
+
+
+def test_pages(spark, tmp_path):
+    from findweave.sources import drops
+
+    for n in (1, 2):
+        (tmp_path / f"page-{n}.json").write_text(f'[{{"id": {n}, "path": "a", "original_line": 4, "body": "b", "actor_type": "User"}}, {{"id": {n}0, "in_reply_to_id": 1, "body": "c", "actor_type": "Bot"}}]')
+    assert drops.read_pages(spark, str(tmp_path), "comments").count() == 4
+    first = drops.read_pages(spark, str(tmp_path), "comments", 1)
+    assert first.count() == 2 and drops.human(first).count() == 1
+    assert [(r["id"], r["line"]) for r in drops.attributable(first).collect()] == [(1, 4)]
+
+
+def test_reaction_stream(spark, tmp_path):
+    from findweave.streaming import ingest
+
+    cols = "comment_id long, polled_at timestamp, reaction_ids array<long>, actor_types array<string>"
+    rows = spark.createDataFrame([(1, [5, 6], ["User", "Bot"], 0), (1, [7], ["User"], 60)], "comment_id long, reaction_ids array<long>, actor_types array<string>, s int")
+    rows.select("comment_id", F.timestamp_seconds("s").alias("polled_at"), "reaction_ids", "actor_types").coalesce(1).write.parquet(f"{tmp_path}/in")
+    q = ingest.reaction_changes(spark.readStream.schema(cols).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("reactions").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.awaitTermination(120)
+    assert [(r["reaction_id"], r["event_type"]) for r in spark.table("reactions").orderBy("polled_at", "event_type").collect()] == [(5, "reaction_added"), (7, "reaction_added"), (5, "reaction_removed")]
