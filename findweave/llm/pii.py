@@ -37,6 +37,8 @@ KINDS = (*BASE_KINDS, "secret", "id")
 ROUNDS = 4
 #: Instances from which on a pattern's mean counts half.
 HOLD = 3.0
+#: Parts that the instances of a pattern are dealt out into.
+SALT = 32
 FOUND = 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -175,7 +177,9 @@ def score_graph(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         known = edges.join(score, "value")
         confidence = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + HOLD)).alias("conf"))
-        drawn = edges.join(confidence, "pattern")
+        # a pattern that a large share of the instances have is dealt out over several tasks
+        salted = confidence.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        drawn = edges.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALT)).cast("int")).join(salted, ["pattern", "salt"])
         by_shape = F.max(F.when(F.col("pattern").startswith("shape:"), F.col("conf")))
         by_context = F.max(F.when(~F.col("pattern").startswith("shape:"), F.col("conf")))
         again = drawn.groupBy("value").agg(((by_shape * 2 + F.coalesce(by_context, F.lit(0.0))) / 3).alias("new"))
