@@ -171,15 +171,16 @@ def score_graph(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(value, score) of the instances that are no seeds, after ``rounds`` of scoring the graph."""
     seen = scanned.select(F.explode("found").alias("i")).select("i.*")
     edges = seen.select("value", (F.col("kind") != "").alias("seed"), F.explode(F.concat(F.array("shape"), "contexts")).alias("pattern"))
-    edges = materialize(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "graph")
+    # the instances of a pattern are dealt out over several tasks, as one pattern may have a third of them
+    salt = F.pmod(F.xxhash64("value"), F.lit(SALT)).cast("int").alias("salt")
+    edges = materialize(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")).select("*", salt), "graph")
     # a value that is a seed somewhere is a seed everywhere
     score = edges.groupBy("value").agg(F.max(F.col("seed").cast("int")).cast("double").alias("fixed")).withColumn("score", F.col("fixed"))
     for _ in range(rounds):
         known = edges.join(score, "value")
-        confidence = known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + HOLD)).alias("conf"))
-        # a pattern that a large share of the instances have is dealt out over several tasks
-        salted = confidence.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        drawn = edges.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALT)).cast("int")).join(salted, ["pattern", "salt"])
+        parts = known.groupBy("pattern", "salt").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
+        confidence = parts.groupBy("pattern").agg((F.sum("s") / (F.sum("n") + HOLD)).alias("conf"))
+        drawn = edges.join(parts.select("pattern", "salt").join(confidence, "pattern"), ["pattern", "salt"])
         by_shape = F.max(F.when(F.col("pattern").startswith("shape:"), F.col("conf")))
         by_context = F.max(F.when(~F.col("pattern").startswith("shape:"), F.col("conf")))
         again = drawn.groupBy("value").agg(((by_shape * 2 + F.coalesce(by_context, F.lit(0.0))) / 3).alias("new"))
