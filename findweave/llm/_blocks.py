@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most characters (bytes) of text in one block; one longer document is a block of its own.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 
 
 def crc_mod(column: str | Column, modulus: int) -> Column:
@@ -87,6 +87,17 @@ def grow(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def shrink_wide(values: np.ndarray) -> bytes:
+    """Like ``shrink``, for numbers up to 2**63."""
+    low = shrink(np.asarray(values) & 0xFFFFFFFF)
+    return len(low).to_bytes(4, "little") + low + shrink(np.asarray(values) >> 32)
+
+
+def grow_wide(data: bytes) -> np.ndarray:
+    n = 4 + int.from_bytes(data[:4], "little")
+    return grow(data[4:n]) | grow(data[n:]) << 32
+
+
 def shrink_strings(items: list[bytes]) -> bytes:
     sizes = shrink(np.fromiter(map(len, items), np.int64, len(items)))
     return len(sizes).to_bytes(4, "little") + sizes + zlib.compress(b"".join(items), 1)
@@ -95,7 +106,7 @@ def shrink_strings(items: list[bytes]) -> bytes:
 def grow_strings(data: bytes) -> list[bytes]:
     n = int.from_bytes(data[:4], "little")
     ends, blob = np.cumsum(grow(data[4 : 4 + n])).tolist(), zlib.decompress(data[4 + n :])
-    return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [blob[a:b] for a, b in zip([0, *ends][:-1], ends, strict=True)]
 
 
 def bucket_count(rows: DataFrame, text_bytes: int = 8 << 20) -> int:
@@ -104,62 +115,56 @@ def bucket_count(rows: DataFrame, text_bytes: int = 8 << 20) -> int:
     return max(4, total // text_bytes)
 
 
-def bucket_rows(rows: DataFrame, cut: Callable[[bytes], list], buckets: int, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The distinct words of each block, packed by the bucket of their hash: (bucket, block, idx, words)."""
-
-    def run(batches):
-        for block, _, words, _ in block_stream(batches, cut, limit):
-            if not words:
-                continue
-            words = [w.encode() if isinstance(w, str) else w for w in words]
-            of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-            order = np.argsort(of, kind="stable")
-            edges = np.flatnonzero(np.diff(of[order], prepend=-1))
-            rows_out = []
-            for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
-                idx = order[lo:hi]
-                rows_out.append((int(of[idx[0]]), block, shrink(np.diff(idx, prepend=0)), shrink_strings([words[i] for i in idx])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows_out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "idx", "words"]
-            )
-
-    return rows.mapInArrow(run, "bucket int, block long, idx binary, words binary")
+def checksum(words: list) -> int:
+    """Of a block's distinct words in order; tells whether two scans made the same block."""
+    return zlib.crc32(b"\n".join(w.encode() if isinstance(w, str) else w for w in words))
 
 
-def word_rows(docs: DataFrame, cut: Callable[[bytes], list], limit: int = BLOCK_BYTES, held: Callable[[int], bool] | None = None, kind: str = "binary") -> DataFrame:
-    """(block, idx, word, uses) for each distinct word of each block.
+def bucket_rows(rows: DataFrame, cut: Callable[[bytes], list], buckets: int, limit: int = BLOCK_BYTES, held: Callable[[int], bool] | None = None) -> DataFrame:
+    """The distinct words of each block, packed by the bucket of their hash.
 
-    ``uses`` counts occurrences in documents for which ``held`` is false (all, if not given).
+    (bucket, block, check, idx, words, uses); ``uses`` counts occurrences in documents for which
+    ``held`` is false (all, if not given).
     """
+    kinds = {"bucket": pa.int32(), "block": pa.int64(), "check": pa.int64(), "idx": pa.binary(), "words": pa.binary(), "uses": pa.binary()}
 
     def run(batches):
         for block, ids, words, codes in block_stream(batches, cut, limit):
             if not words:
                 continue
-            typed = pa.binary() if kind == "binary" else pa.string()
+            check = checksum(words)
+            words = [w.encode() if isinstance(w, str) else w for w in words]
             counted = [c for d, c in zip(ids, codes, strict=True) if held is None or not held(d)]
             uses = np.bincount(np.concatenate(counted), minlength=len(words)) if counted else np.zeros(len(words), np.int64)
-            for s in range(0, len(words), 50_000):
-                part = words[s : s + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), block), pa.int64()), pa.array(np.arange(s, s + len(part)), pa.int32()), pa.array(part, typed), pa.array(uses[s : s + 50_000], pa.int64())],
-                    names=["block", "idx", "word", "uses"],
-                )
+            of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(of, kind="stable")
+            edges = np.flatnonzero(np.diff(of[order], prepend=-1))
+            out = []
+            for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
+                idx = order[lo:hi]
+                out.append((int(of[idx[0]]), block, check, shrink(np.diff(idx, prepend=0)), shrink_strings([words[i] for i in idx]), shrink(uses[idx])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    return docs.mapInArrow(run, f"block long, idx int, word {kind}, uses long")
+    return rows.mapInArrow(run, "bucket int, block long, check long, idx binary, words binary, uses binary")
 
 
 def payload_rows(docs: DataFrame, cut: Callable[[bytes], list], limit: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block: its document ids, their word counts and the packed word codes."""
+    """One row per block: its document ids, their word counts, the packed word codes and the checksum of its words."""
 
     def run(batches):
         for block, ids, words, codes in block_stream(batches, cut, limit):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(c) for c in codes]], pa.list_(pa.int32())),
-                    pa.array([len(words)], pa.int32()), pa.array([pack_codes(codes)], pa.binary()),
+                    pa.array([len(words)], pa.int32()), pa.array([checksum(words)], pa.int64()), pa.array([pack_codes(codes)], pa.binary()),
                 ],
-                names=["block", "ids", "counts", "n_words", "codes"],
+                names=["block", "ids", "counts", "n_words", "check", "codes"],
             )
 
-    return docs.mapInArrow(run, "block long, ids array<long>, counts array<int>, n_words int, codes binary")
+    return docs.mapInArrow(run, "block long, ids array<long>, counts array<int>, n_words int, check long, codes binary")
+
+
+def complete(block: dict, parts: list[dict], seen: int) -> None:
+    """Stops if the words that came back aren't those that the block was coded with."""
+    if seen != block["n_words"] or any(p["check"] != block["check"] for p in parts):
+        raise RuntimeError(f"block {block['block']} was read differently: its input isn't the same in every scan")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findweave.llm import _tokens
-from findweave.llm._blocks import BLOCK_BYTES, bucket_count, bucket_rows, grow, grow_strings, narrow, payload_rows, shrink, unpack_codes
+from findweave.llm._blocks import BLOCK_BYTES, bucket_count, bucket_rows, complete, grow, grow_strings, narrow, payload_rows, shrink, unpack_codes
 
 
 def id_to_piece(spark: SparkSession, path: str) -> DataFrame:
@@ -71,9 +71,9 @@ def encode_buckets(words: DataFrame, path: str) -> DataFrame:
                 flat += ids
                 sizes.append(len(ids))
             out.append((shrink(np.array(sizes, np.int64)), shrink(np.array(flat, np.int64))))
-        return pa.table({"block": group["block"], "idx": group["idx"], "sizes": pa.array([o[0] for o in out], pa.binary()), "ids": pa.array([o[1] for o in out], pa.binary())})
+        return pa.table({"block": group["block"], "check": group["check"], "idx": group["idx"], "sizes": pa.array([o[0] for o in out], pa.binary()), "ids": pa.array([o[1] for o in out], pa.binary())})
 
-    return words.groupBy("bucket").applyInArrow(run, "block long, idx binary, sizes binary, ids binary")
+    return words.groupBy("bucket").applyInArrow(run, "block long, check long, idx binary, sizes binary, ids binary")
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -91,18 +91,18 @@ def join_back(payload: DataFrame, encoded: DataFrame, path: str, each, schema: s
             n = block["n_words"]
             sizes, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
             flat, size, seen = [], 0, 0
-            for part in right.to_pylist():
+            parts = right.to_pylist()
+            for part in parts:
                 at, own, ids = np.cumsum(grow(part["idx"])), grow(part["sizes"]), grow(part["ids"])
                 sizes[at], starts[at] = own, size + np.cumsum(own) - own
                 flat.append(ids.astype("<u4"))
                 size, seen = size + len(ids), seen + len(at)
-            if seen != n:
-                raise RuntimeError(f"block {block['block']} has {n} words, but ids of {seen}")
+            complete(block, parts, seen)
             raw = np.concatenate([*flat, np.zeros(0, "<u4")]).astype("<u4").tobytes()
             ids_of = [raw[4 * a : 4 * (a + k)] for a, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
-            codes, start = unpack_codes(block["codes"]).tolist(), 0
+            codes, start = unpack_codes(block["codes"]), 0
             for doc_id, k in zip(block["ids"], block["counts"], strict=True):
-                ids = b"".join([ids_of[c] for c in codes[start : start + k]])
+                ids = b"".join([ids_of[c] for c in codes[start : start + k].tolist()])
                 rows.append(each(doc_id, ids, pieces.join(np.frombuffer(ids, "<u4"))))
                 start += k
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(typed), typed, strict=True)], schema=typed)
@@ -118,7 +118,7 @@ def encode_documents(docs: DataFrame, each, schema: str, id_col: str = "doc_id",
         return _tokens.vocabulary(path).split(text.decode("utf-8", "replace"))
 
     rows = narrow(docs, id_col, text_col)
-    encoded = encode_buckets(bucket_rows(rows, cut, bucket_count(rows), limit), path)
+    encoded = encode_buckets(bucket_rows(rows, cut, bucket_count(rows), limit).drop("uses"), path)
     return join_back(payload_rows(rows, cut, limit), encoded, path, each, schema)
 
 

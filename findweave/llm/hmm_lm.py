@@ -9,8 +9,8 @@ only chooses where the passes start. The scaled forward recursion then gives the
 log-probability of each text: over known words, the end and one unknown word, probabilities sum
 to one in every state.
 
-Texts are never shuffled: blocks of documents send their distinct words to the count table and
-get class and count back by position.
+Texts are never shuffled: blocks of documents send their distinct words, packed by hash, to the
+count table and get class and count back by position.
 
 Defined results: a null or empty text is the end alone; repeated rows score alike; rows with a
 null id are scored but neither learned from nor held out; an empty table gives an empty result;
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findweave.llm._blocks import BLOCK_BYTES, narrow, payload_rows, unpack_codes, word_rows
+from findweave.llm._blocks import BLOCK_BYTES, bucket_count, bucket_rows, complete, grow, grow_strings, grow_wide, narrow, payload_rows, shrink, shrink_wide, unpack_codes
 from findweave.session import materialize
 
 STATES = 8
@@ -66,22 +66,56 @@ class Corpus:
     once: int
 
 
-def count_words(rows: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """(word, c): how often each word occurs in training documents."""
-    return word_rows(rows, tokens, limit, held_out).where("uses > 0").groupBy("word").agg(F.sum("uses").alias("c"))
+def count_words(packed: DataFrame) -> DataFrame:
+    """(bucket, word, c): how often each word occurs in training documents."""
 
+    def run(group: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        for words, uses in zip(group["words"], group["uses"], strict=True):
+            for word, n in zip(grow_strings(words.as_py()), grow(uses.as_py()).tolist(), strict=True):
+                if n:
+                    total[word] = total.get(word, 0) + n
+        bucket = pa.array(np.full(len(total), group["bucket"][0].as_py()), pa.int32())
+        return pa.table({"bucket": bucket, "word": pa.array(total.keys(), pa.binary()), "c": pa.array(total.values(), pa.int64())})
 
-def classify(counts: DataFrame) -> DataFrame:
-    """(word, c, cls, share): class of each counted word and log10 of its share of the class."""
+    return packed.groupBy("bucket").applyInArrow(run, "bucket int, word binary, c long")
+
+
+def classify(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``counts`` with the class of each word (cls), and the training tokens of each class."""
     top = counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).where("c > 1")
     ranked = [(bytes(r["word"]), n) for n, r in enumerate(top.collect())]  # TOP_WORDS at most
     spark = counts.sparkSession
     own = spark.createDataFrame(pa.table({"word": pa.array([w for w, _ in ranked], pa.binary()), "own": pa.array([n for _, n in ranked], pa.int32())}))
     spelled = (F.crc32(F.substring("word", -3, 3)) % SPELLED + TOP_WORDS + 2).cast("int")
-    known = counts.join(F.broadcast(own), "word", "left").withColumn("cls", F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("c") == 1, F.lit(RARE)).otherwise(spelled)).select("word", "c", "cls")
-    totals = known.groupBy("cls").agg(F.sum("c").alias("total"))  # CLASSES rows at most
-    share = F.log10(F.col("c") / F.col("total")) + F.when(F.col("cls") == RARE, F.log10(F.lit(0.5))).otherwise(0.0)
-    return known.join(F.broadcast(totals), "cls").select("word", "c", "cls", share.alias("share"))
+    known = counts.join(F.broadcast(own), "word", "left").withColumn("cls", F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("c") == 1, F.lit(RARE)).otherwise(spelled)).drop("own")
+    sums = known.groupBy("cls").agg(F.sum("c").alias("total")).toArrow()  # CLASSES rows at most
+    totals = np.ones(CLASSES)
+    totals[sums["cls"].to_numpy()] = sums["total"].to_numpy()
+    return known, totals
+
+
+def shares(c: np.ndarray, cls: np.ndarray, totals: np.ndarray, once: int) -> np.ndarray:
+    """log10 of a word's part of its class; unseen words (c = 0) have half of the rare class, or all, if nothing was seen once."""
+    known = np.log10(np.maximum(c, 1) / totals[cls]) + np.where(cls == RARE, np.log10(0.5), 0.0)
+    return np.where(c > 0, known, np.log10(0.5 if once else 1.0))
+
+
+def look_up(packed: DataFrame, classed: DataFrame) -> DataFrame:
+    """(block, check, idx, c, cls): the packed words of each block with their counts and classes."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = {w.as_py(): i for i, w in enumerate(right["word"])}
+        c, cls = np.append(right["c"].to_numpy(), 0).astype(np.int64), np.append(right["cls"].to_numpy(), RARE).astype(np.int64)
+        out_c, out_cls = [], []
+        for words in left["words"]:
+            found = np.array([at.get(w, -1) for w in grow_strings(words.as_py())], np.int64)
+            out_c.append(shrink_wide(c[found]))
+            out_cls.append(shrink(cls[found]))
+        return pa.table({"block": left["block"], "check": left["check"], "idx": left["idx"], "c": pa.array(out_c, pa.binary()), "cls": pa.array(out_cls, pa.binary())})
+
+    grouped = packed.drop("uses").groupBy("bucket").cogroup(classed.groupBy("bucket"))
+    return grouped.applyInArrow(run, "block long, check long, idx binary, c binary, cls binary")
 
 
 _CODED = "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, share double, codes binary"
@@ -95,26 +129,23 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, -1).T).view("<u2").reshape(-1)
 
 
-def code_documents(rows: DataFrame, classed: DataFrame, corpus: Corpus, limit: int = BLOCK_BYTES) -> DataFrame:
+def code_documents(payload: DataFrame, found: DataFrame, corpus: Corpus, totals: np.ndarray) -> DataFrame:
     """Per document its base score, what its words contribute within classes, and its class codes."""
-    used = word_rows(rows, tokens, limit).select("block", "idx", "word")
-    table = used.join(classed, "word", "left").select("block", "idx", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("cls", F.lit(RARE)).alias("cls"), "share")
-    unknown = np.log10(0.5 if corpus.once else 1.0)
     bottom = np.log10(corpus.tokens + 0.1 * (corpus.types + 1))
     names = [f.split()[0] for f in _CODED.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {n: [] for n in names}
         for block in left.to_pylist():
-            n = block["n_words"]
-            if right.num_rows != n:
-                raise RuntimeError(f"block {block['block']} has {n} words, its table {right.num_rows}")
-            c, cls, share = np.zeros(n + 1), np.full(n + 1, END), np.zeros(n + 1)
-            if n:
-                at = right["idx"].to_numpy()
-                c[at], cls[at] = right["c"].to_numpy(), right["cls"].to_numpy()
-                share[at] = np.where(c[at] > 0, np.nan_to_num(right["share"].to_numpy().astype(float)), unknown)
-            c[n] = corpus.docs
+            n, parts, seen = block["n_words"], right.to_pylist(), 0
+            c, cls = np.zeros(n + 1, np.int64), np.full(n + 1, END)
+            for part in parts:
+                at = np.cumsum(grow(part["idx"]))
+                c[at], cls[at] = grow_wide(part["c"]), grow(part["cls"])
+                seen += len(at)
+            complete(block, parts, seen)
+            share = shares(c, cls, totals, corpus.once)
+            c[n], share[n] = corpus.docs, 0.0
             base, known = np.log10(c + 0.1) - bottom, c > 0
             codes, start = unpack_codes(block["codes"]).astype(np.int64), 0
             for doc_id, size in zip(block["ids"], block["counts"], strict=True):
@@ -126,7 +157,7 @@ def code_documents(rows: DataFrame, classed: DataFrame, corpus: Corpus, limit: i
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         return pa.table([pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return payload_rows(rows, tokens, limit).groupBy("block").cogroup(table.groupBy("block")).applyInArrow(run, _CODED)
+    return payload.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, _CODED)
 
 
 @dataclass
@@ -285,15 +316,18 @@ def log10_scores(coded: DataFrame, model: Hmm) -> DataFrame:
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = PASSES, limit: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     rows = narrow(docs, id_col, text_col)
-    counts = materialize(count_words(rows, limit), "counts")
+    packed = materialize(bucket_rows(rows, tokens, bucket_count(rows), limit, held_out), "words")
+    counts = materialize(count_words(packed), "counts")
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     learned = rows.select("doc_id").where(remainder != 0).count()
     corpus = Corpus(n + learned, v + (learned > 0), learned, once)
-    coded = materialize(code_documents(rows, classify(counts), corpus, limit), "coded")
-    model, shares = starting_point(coded, states)
+    classed, totals = classify(counts)
+    found = look_up(packed, classed.select("bucket", "word", "c", "cls"))
+    coded = materialize(code_documents(payload_rows(rows, tokens, limit), found, corpus, totals), "coded")
+    model, parts = starting_point(coded, states)
     for _ in range(passes):
-        model = baum_welch(coded, model, shares)
+        model = baum_welch(coded, model, parts)
     return log10_scores(coded, model).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -215,12 +215,14 @@ def test_language_model_scores(spark, docs, odd, none):
 
 
 def test_class_shares_sum_to_one(spark):
-    rows = [(f"w{k}", 1 + (k % 7) * (k % 3)) for k in range(3000)]
-    counts = spark.createDataFrame([(w.encode(), c) for w, c in rows], "word binary, c long")
+    rows = [(0, f"w{k}", 1 + (k % 7) * (k % 3)) for k in range(3000)]
+    counts = spark.createDataFrame([(b, w.encode(), c) for b, w, c in rows], "bucket int, word binary, c long")
     total = defaultdict(float)
-    for r in hmm_lm.classify(counts).collect():
-        total[r["cls"]] += 10 ** r["share"]
+    known, totals = hmm_lm.classify(counts)
+    for r in known.collect():
+        total[r["cls"]] += 10 ** hmm_lm.shares(np.array([r["c"]]), np.array([r["cls"]]), totals, 1)[0]
     assert all(abs(v - (0.5 if k == hmm_lm.RARE else 1.0)) < 1e-9 for k, v in total.items())
+    assert 10 ** hmm_lm.shares(np.array([0]), np.array([hmm_lm.RARE]), totals, 1)[0] == pytest.approx(0.5)
 
 
 # 6 and 10 tokens
@@ -437,3 +439,15 @@ def test_pipeline(spark, sf_dir, tmp_path):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_packed_numbers_and_strings():
+    from findweave.llm import _blocks
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 500):
+        small, wide = rng.integers(0, 2**32, n), rng.integers(0, 2**62, n)
+        assert (_blocks.grow(_blocks.shrink(small)) == small).all() and (_blocks.grow_wide(_blocks.shrink_wide(wide)) == wide).all()
+        items = [bytes(rng.integers(0, 256, k % 9, np.uint8)) for k in range(n)]
+        assert _blocks.grow_strings(_blocks.shrink_strings(items)) == items
+        assert (_blocks.unpack_codes(_blocks.pack_codes([small[:3].astype(np.uint32), small[3:].astype(np.uint32)])) == small).all()
