@@ -332,7 +332,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     copies = known.groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = known.join(copies.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "hash"))
     hubs = reps.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").drop("last")
-    members = materialize(reps.join(hubs, ["band", "hash"]).select("band", "hash", "rep", "hub"), "buckets")
+    # repeated rows of a representative count once
+    members = materialize(reps.join(hubs, ["band", "hash"]).select("band", "hash", "rep", "hub").distinct(), "buckets")
     bags = materialize(bags_of(rows, members.select(F.col("rep").alias("doc_id")).distinct()), "bags")
     stars = materialize(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = materialize(verify(stars, bags, threshold).select("a", "b"), "links")
