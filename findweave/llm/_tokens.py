@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import base64
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -27,22 +26,30 @@ class Vocabulary:
     """Ranks, special tokens and pieces of a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         assert spec["model"]["type"] == "BPE" and spec["pre_tokenizer"]["type"] == "ByteLevel", "a byte-level BPE file is needed"
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         alphabet = byte_alphabet()
         self.pieces = {i: bytes(alphabet[c] for c in piece) for piece, i in spec["model"]["vocab"].items() if piece not in self.specials}
-        self.pieces |= {i: text.encode() for text, i in self.specials.items()}
-        ranks = {b: i for i, b in self.pieces.items() if b.decode("utf-8", "replace") not in self.specials}
-        # without white space a pre-token is one match, so ids come for it as a whole
-        self.encoding = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        #: Splits and merges whole texts; its ids equal those of ``ids`` over ``split``.
-        self.whole = tiktoken.Encoding("text", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.specials)
         self._cut = regex.compile(PATTERN).findall
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
+        self._ranks = lambda: {piece: i for i, piece in self.pieces.items() if i not in self.specials.values()}
+        self.pieces |= {i: text.encode() for text, i in self.specials.items()}
+
+    @cached_property
+    def encoding(self):
+        """Encodes single pre-tokens: its pattern takes each as a whole."""
+        import tiktoken
+
+        return tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=self._ranks(), special_tokens={})
+
+    @cached_property
+    def whole(self):
+        """Splits and merges whole texts; its ids equal those of ``ids`` over ``split``."""
+        import tiktoken
+
+        return tiktoken.Encoding("text", pat_str=PATTERN, mergeable_ranks=self._ranks(), special_tokens=self.specials)
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order. Special tokens come first: what lies between them is split on its own."""
