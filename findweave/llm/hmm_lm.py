@@ -4,10 +4,10 @@ Word counts of all training documents give each word a class: the most frequent
 of their own, words seen once (and unseen ones) share one class, the others share classes by their
 last letters; a word's probability within its class comes from the counts. Latent states emit
 classes. Baum-Welch counts are taken on each partition, summed by Spark, and turned into new
-parameters until the given number of passes over all training documents is done; a bounded sample
-only chooses where the passes start. The scaled forward recursion then gives the exact
-log-probability of each text: over known words, the end and one unknown word, probabilities sum
-to one in every state.
+parameters, from a random start around the corpus shares of the classes, pass after pass over all
+training documents until their likelihood settles. The scaled forward recursion then gives the
+exact log-probability of each text: over known words, the end and one unknown word, probabilities
+sum to one in every state.
 
 Texts are never shuffled: blocks of documents send their distinct words, packed by hash, to the
 count table and get class and count back by position.
@@ -36,10 +36,8 @@ TOP_WORDS = 2000
 SPELLED = 512
 END, RARE = TOP_WORDS, TOP_WORDS + 1
 CLASSES = TOP_WORDS + 2 + SPELLED
-#: Passes of Baum-Welch over all training documents.
-PASSES = 2
-#: Documents and passes that choose the starting point.
-START_DOCS, START_PASSES = 400, 12
+#: The likelihood has settled when a pass over all training documents raises its logarithm by less than this part.
+SETTLED = 1e-4
 #: Weight of the corpus shares of the classes in each state's emissions.
 PRIOR = 20.0
 LONG = 4096
@@ -90,17 +88,24 @@ def classify(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     spelled = (F.crc32(F.substring("word", -3, 3)) % SPELLED + TOP_WORDS + 2).cast("int")
     known = counts.join(F.broadcast(own), "word", "left").withColumn("cls", F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("c") == 1, F.lit(RARE)).otherwise(spelled)).drop("own")
     sums = known.groupBy("cls").agg(F.sum("c").alias("total")).toArrow()  # CLASSES rows at most
-    totals = np.ones(CLASSES)
+    totals = np.zeros(CLASSES)
     totals[sums["cls"].to_numpy()] = sums["total"].to_numpy()
     return known, totals
 
 
 def shares(c: np.ndarray, cls: np.ndarray, totals: np.ndarray, once: int) -> np.ndarray:
     """log10 of a word's part of its class; unseen words (c = 0) have half of the rare class, or all, if nothing was seen once."""
-    known = np.log10(np.maximum(c, 1) / totals[cls]) + np.where(cls == RARE, np.log10(0.5), 0.0)
+    known = np.log10(np.maximum(c, 1) / np.maximum(totals[cls], 1)) + np.where(cls == RARE, np.log10(0.5), 0.0)
     return np.where(c > 0, known, np.log10(0.5 if once else 1.0))
 
 
+def class_shares(totals: np.ndarray, docs: int) -> np.ndarray:
+    """Shares of the classes in all training tokens, the ends of the documents included."""
+    out = totals + 0.01
+    out[END] += docs
+    return out / out.sum()
+
+
 def look_up(packed: DataFrame, classed: DataFrame) -> DataFrame:
     """(block, check, idx, c, cls): the packed words of each block with their counts and classes."""
 
@@ -263,8 +268,8 @@ def _pack_counts(parts) -> np.ndarray:
     return np.concatenate([np.ravel(p) for p in parts])
 
 
-def baum_welch(coded: DataFrame, model: Hmm, shares: np.ndarray) -> Hmm:
-    """One pass: counts of each partition's training documents, summed by Spark."""
+def baum_welch(coded: DataFrame, model: Hmm, shares: np.ndarray) -> tuple[Hmm, float]:
+    """One pass: counts of each partition's training documents, summed by Spark; and the log10 likelihood before it."""
     k, m = model.emit.shape
     shared = coded.sparkSession.sparkContext.broadcast(model)  # states x classes numbers
 
@@ -281,20 +286,17 @@ def baum_welch(coded: DataFrame, model: Hmm, shares: np.ndarray) -> Hmm:
     sums = coded.where("learn").select("codes").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     flat = np.zeros(k + k * k + k * m + 1)
     flat[sums["at"].to_numpy()] = sums["n"].to_numpy()
-    return update(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(k, m), shares)
+    return update(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(k, m), shares), float(flat[-1])
 
 
-def starting_point(coded: DataFrame, states: int = STATES) -> tuple[Hmm, np.ndarray]:
-    """Parameters fitted to a bounded sample (the documents with the smallest hashes)."""
-    sample = coded.where("learn").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(START_DOCS).select("codes").toArrow()
-    seqs = [unpack(c.as_py()) for c in sample["codes"]]
-    shares = np.bincount(np.concatenate([*seqs, np.zeros(0, np.int64)]).astype(np.int64), minlength=CLASSES) + 0.01
-    shares = shares / shares.sum()
-    model = Hmm.random(shares, states)
-    for _ in range(START_PASSES if seqs else 0):
-        starts, moves, emits, _ = expected_counts(model, seqs)
-        model = update(starts, moves, emits, shares)
-    return model, shares
+def settled(coded: DataFrame, shares: np.ndarray, states: int = STATES, part: float = SETTLED) -> Hmm:
+    """Baum-Welch over all training documents until their likelihood settles."""
+    model, before = Hmm.random(shares, states), -np.inf
+    while True:
+        model, now = baum_welch(coded, model, shares)
+        if now - before <= part * abs(now):
+            return model
+        before = now
 
 
 def log10_scores(coded: DataFrame, model: Hmm) -> DataFrame:
@@ -313,7 +315,7 @@ def log10_scores(coded: DataFrame, model: Hmm) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "n_known", "base_score", "share", "codes").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = PASSES, limit: int = BLOCK_BYTES) -> DataFrame:
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, limit: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     rows = narrow(docs, id_col, text_col)
     packed = materialize(bucket_rows(rows, tokens, bucket_count(rows), limit, held_out), "words")
@@ -325,9 +327,7 @@ def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classed, totals = classify(counts)
     found = look_up(packed, classed.select("bucket", "word", "c", "cls"))
     coded = materialize(code_documents(payload_rows(rows, tokens, limit), found, corpus, totals), "coded")
-    model, parts = starting_point(coded, states)
-    for _ in range(passes):
-        model = baum_welch(coded, model, parts)
+    model = settled(coded, class_shares(totals, learned), states)
     return log10_scores(coded, model).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

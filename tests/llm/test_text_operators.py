@@ -214,6 +214,22 @@ def test_language_model_scores(spark, docs, odd, none):
     assert hmm_lm.fit_and_score(none).count() == 0
 
 
+def test_language_model_is_fitted_on_all_documents(docs, monkeypatch):
+    passes, one = [], hmm_lm.baum_welch
+
+    def traced(coded, model, shares):
+        passes.append((coded, shares, out := one(coded, model, shares)))
+        return out
+
+    monkeypatch.setattr(hmm_lm, "baum_welch", traced)
+    got = hmm_lm.fit_and_score(docs).collect()
+    coded, shares, (model, before) = passes[-1]
+    learned = sum(not r["held_out"] for r in got)
+    assert learned > 400 and shares[hmm_lm.END] == pytest.approx((learned + 0.01) / (got[0]["train_tokens"] + 0.01 * hmm_lm.CLASSES))
+    after = one(coded, model, shares)[1]
+    assert after - before <= hmm_lm.SETTLED * abs(after)
+
+
 def test_class_shares_sum_to_one(spark):
     rows = [(0, f"w{k}", 1 + (k % 7) * (k % 3)) for k in range(3000)]
     counts = spark.createDataFrame([(b, w.encode(), c) for b, w, c in rows], "bucket int, word binary, c long")
