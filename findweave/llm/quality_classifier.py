@@ -15,6 +15,7 @@ scores; without usable labels every score is 0.5; other columns never take part.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,8 @@ EPOCHS = 5
 RATE = 0.5
 #: Distinct words that a scoring task remembers; beyond it the memory starts anew.
 CACHE = 400_000
+#: n-grams of a word that are built at a time.
+SLICE = 1 << 16
 THRESHOLD = 0.7
 #: Labelled rows that the model is fitted on at most.
 MAX_ROWS = 4_000
@@ -39,12 +42,18 @@ MAX_ROWS = 4_000
 _REPEAT = BUCKETS  # the bucket of the repeat marker
 
 
-def features(word: bytes) -> list[int]:
-    """Buckets of a word: the word itself, then its character n-grams with boundary marks."""
-    crc, mask, marked = zlib.crc32, BUCKETS - 1, b"<" + word[:64] + b">"
-    out = [crc(b"w" + word) & mask]
+def features(word: bytes) -> array:
+    """Buckets of a word: the word itself, then its character n-grams with boundary marks.
+
+    All of the word takes part, whatever its length; long words are read in slices, so that only
+    two bytes per n-gram are held.
+    """
+    crc, mask, marked = zlib.crc32, BUCKETS - 1, b"<" + word + b">"
+    out = array("H", [crc(b"w" + word) & mask])
     for n in NGRAMS:
-        out += [crc(marked[i : i + n]) & mask for i in range(len(marked) - n + 1)]
+        last = len(marked) - n + 1
+        for lo in range(0, last, SLICE):
+            out.extend(array("H", [crc(marked[i : i + n]) & mask for i in range(lo, min(last, lo + SLICE))]))
     return out
 
 

@@ -131,6 +131,16 @@ def test_quality_classifier_held_out(spark, sf_dir, labels):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for i, r in got.items())
 
 
+def test_quality_features_cover_whole_words():
+    one, other = (set(quality_classifier.features(b"x" * 64 + end)) for end in (b"abcdefgh" * 20, b"stuvwxyz" * 20))
+    assert len(one - other) > 8 and len(other - one) > 8
+    body = b"".join(b"%d," % k for k in range(20_000))
+    ids = quality_classifier.features(body)
+    assert len(ids) == 1 + sum(len(body) + 3 - n for n in quality_classifier.NGRAMS)
+    model = quality_classifier.Model(np.random.default_rng(1).normal(0, 1, quality_classifier.BUCKETS + 1), 0.0)
+    assert quality_classifier.Scorer(model)([body])[0] == pytest.approx(1 / (1 + np.exp(-model.value[ids].mean())))
+
+
 def test_classifiers_on_odd_rows(spark, odd, none, docs, labels):
     model = quality_classifier.fit(docs, labels)
     rows = quality_classifier.score(odd, model).collect()
