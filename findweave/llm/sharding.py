@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findweave.session import materialize
+
 #: Bits of a key's hash: 15 hexadecimal digits of its MD5.
 KEY_BITS = 60
 #: Bits by which a directory cell is finer than an average shard.
@@ -53,14 +55,14 @@ def _depth_for(sizes: DataFrame, limit: int) -> int:
     return min(KEY_BITS, max(0, (total // max(1, limit)).bit_length()) + SLACK_BITS)
 
 
-def assign_shards(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES, id_col: str = "doc_id") -> DataFrame:
-    """Shard of each row: doc_id, n_bytes, shard (its bits; "" is the whole table), depth, shard_bytes, fits.
+def _placed(docs: DataFrame, key: str, text_col: str, limit: int, carried: Column) -> DataFrame:
+    """carried, n_bytes, shard, shard_bytes of each row.
 
     The first pass goes as deep as an even spread of keys needs. Buckets that are still too
     large there go on through all bits of the key, and equal keys through bits of the row number.
     """
     sizes = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
+        carried.alias("carried"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
         key_hash(F.col(key)).alias("h"), key_hash(F.monotonically_increasing_id()).alias("row_h"), F.lit("").alias("group"),
     )
     rows, done = sizes, []
@@ -76,17 +78,23 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
             break
         done.append(placed.where(F.col("shard_bytes") <= limit))
         group = F.lit("") if number == 0 else F.concat(F.col("shard"), F.lit("-"))
-        rows = placed.where(F.col("shard_bytes") > limit).select("doc_id", "n_bytes", "h", "row_h", group.alias("group"))
+        rows = placed.where(F.col("shard_bytes") > limit).select("carried", "n_bytes", "h", "row_h", group.alias("group"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    return out.select("carried", "n_bytes", "shard", "shard_bytes")
+
+
+def assign_shards(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES, id_col: str = "doc_id") -> DataFrame:
+    """Shard of each row: doc_id, n_bytes, shard (its bits; "" is the whole table), depth, shard_bytes, fits."""
+    out = _placed(docs, key, text_col, limit, F.col(id_col)).withColumnRenamed("carried", "doc_id")
     return out.select("doc_id", "n_bytes", "shard", F.length(F.regexp_replace("shard", "-", "")).alias("depth"), "shard_bytes", (F.col("shard_bytes") <= limit).alias("fits"))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write ``docs`` as one Parquet folder per shard (equal keys must fit one shard)."""
-    shards = assign_shards(docs, key, text_col, limit, id_col=key).select(F.col("doc_id").alias("__key"), "shard").distinct()
-    docs.join(shards, F.col(key).eqNullSafe(F.col("__key"))).drop("__key").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one Parquet folder per shard, each row once; equal keys may fill several shards."""
+    table = materialize(docs, "docs")  # rows are numbered more than once, so their order must stay
+    _placed(table, key, text_col, limit, F.struct("*")).select("carried.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

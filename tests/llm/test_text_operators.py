@@ -92,6 +92,15 @@ def test_sharding_hot_key_and_odd_rows(spark, odd, none, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/s").count() == 3
 
 
+def test_written_shards_of_a_hot_key(spark, tmp_path):
+    rows = [(k // 2, "hot" if k % 3 else None if k % 2 else "cold", f"{k // 2:04d}" * 5, k % 7) for k in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string, n_bytes int").repartition(5)
+    sharding.write_shards(table, f"{tmp_path}/s", key="source", limit=400)
+    got = spark.read.option("basePath", f"{tmp_path}/s").schema("doc_id long, source string, text string, n_bytes int, shard string").parquet(f"{tmp_path}/s").collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(rows)
+    assert max(Counter(r["shard"] for r in got).values()) <= 20
+
+
 # 4 rules
 
 
