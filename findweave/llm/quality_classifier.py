@@ -37,7 +37,7 @@ CACHE = 400_000
 SLICE = 1 << 16
 THRESHOLD = 0.7
 #: Labelled rows that the model is fitted on at most.
-MAX_ROWS = 4_000
+MAX_ROWS = 6_000
 
 _REPEAT = BUCKETS  # the bucket of the repeat marker
 

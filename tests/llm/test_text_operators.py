@@ -150,6 +150,14 @@ def test_quality_features_cover_whole_words():
     assert quality_classifier.Scorer(model)([body])[0] == pytest.approx(1 / (1 + np.exp(-model.value[ids].mean())))
 
 
+def test_quality_classifier_training_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier, "train", lambda texts, labels: seen.append(len(texts)))
+    rows = spark.range(9000).selectExpr("id AS doc_id", "cast(id AS string) AS text", "cast(id % 2 AS int) AS quality")
+    quality_classifier.fit(rows.drop("quality"), rows.drop("text"))
+    assert seen == [6000]
+
+
 def test_classifiers_on_odd_rows(spark, odd, none, docs, labels):
     model = quality_classifier.fit(docs, labels)
     rows = quality_classifier.score(odd, model).collect()
