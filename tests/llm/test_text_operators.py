@@ -61,7 +61,7 @@ def test_matches_sql(spark, sf_dir, name):
 
 def _split(rows, limit, prefix=""):
     total = sum(n for _, n in rows)
-    if total <= limit or len(prefix) == 60:
+    if total <= limit or len(rows) == 1:
         return {prefix: total}
     out = {}
     for bit in "01":
@@ -75,10 +75,9 @@ def test_sharding_splits_only_what_is_too_large(docs):
     rows = [(bin(int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16))[2:].zfill(60), len(r["text"].encode())) for r in docs.collect()]
     for limit in (20_000, 300_000):
         got = sharding.assign_shards(docs, limit=limit).collect()
-        shards = {r["shard"]: r["shard_bytes"] for r in got if r["fits"]}
-        want = {k: v for k, v in _split(rows, limit).items() if v <= limit}
-        assert shards == {**shards, **want} and set(want) <= set(shards)
-        assert all(r["n_bytes"] > limit for r in got if not r["fits"])
+        assert {r["shard"]: r["shard_bytes"] for r in got} == _split(rows, limit)
+        assert all(r["fits"] == (r["shard_bytes"] <= limit) and (r["fits"] or r["n_bytes"] > limit) for r in got)
+    assert len({r["shard"] for r in sharding.assign_shards(docs, limit=sharding.BLOCK_BYTES).collect()}) > 24
 
 
 def test_sharding_hot_key_and_odd_rows(spark, odd, none, tmp_path):
@@ -90,6 +89,12 @@ def test_sharding_hot_key_and_odd_rows(spark, odd, none, tmp_path):
     assert sharding.assign_shards(none).count() == 0
     sharding.write_shards(odd.where("doc_id IN (4, 6, 8)"), f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").count() == 3
+    assert sharding.write_shards(odd.withColumnRenamed("key", "Shard").withColumnRenamed("block", "carried"), f"{tmp_path}/t", limit=1000) == "shard_"
+    back = spark.read.parquet(f"{tmp_path}/t").collect()
+    assert Counter((r["doc_id"], r["text"], r["Shard"], r["carried"]) for r in back) == Counter((i, t, "k", 1) for i, t in ODD)
+    heavy = spark.range(300).select(F.lit(7).alias("doc_id"), F.when(F.col("id") == 5, F.lit("y" * 5000)).otherwise(F.lit("x" * 100)).alias("text"))
+    got = sharding.assign_shards(heavy, limit=2000).collect()
+    assert len(got) == 300 and sum(r["n_bytes"] for r in got) == 34_900 and [r["n_bytes"] for r in got if not r["fits"]] == [5000]
 
 
 def test_written_shards_of_a_hot_key(spark, tmp_path):
@@ -294,7 +299,7 @@ def test_packing_covers_every_id_once(odd, none, docs):
     for df in (odd.where("doc_id <> 5"), docs.where("doc_id < 200")):
         pieces = defaultdict(list)
         sequences = defaultdict(list)
-        for r in packing.pack_documents(df, group=32).collect():
+        for r in packing.pack_documents(df, group=4).collect():
             pieces[r["doc_id"]].append(r)
             sequences[r["sequence_id"]].append(r)
         texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
@@ -315,21 +320,44 @@ def test_packing_covers_every_id_once(odd, none, docs):
     assert packing.pack_documents(odd).where("doc_id = 5").count() == 2
 
 
+def _plain_difference(sizes, k):
+    """Differencing over lists of (sum, items), as it is defined."""
+    parts = [(n, [(0, [])] * (k - 1) + [(size, [n])]) for n, size in enumerate(sizes)]
+    number = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[1][0][0] - p[1][-1][0], p[0]))
+        (_, a), (_, b) = parts[:2]
+        merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, b[::-1], strict=True)), key=lambda w: w[0])
+        parts = [*parts[2:], (number, merged)]
+        number += 1
+    return sorted(sorted(w[1]) for w in parts[0][1])
+
+
 def test_differencing():
     rng = np.random.default_rng(2)
     for n in (1, 5, 40, 200):
         sizes = rng.integers(1, 2048, n).tolist()
-        for cut in (False, True):
-            windows = packing.pack(sizes, 2048, cut)
-            seen = Counter()
-            for w in windows:
-                assert 0 < sum(x[2] for x in w) <= 2048
-                for item, _, length in w:
-                    seen[item] += length
-            assert [seen[i] for i in range(n)] == sizes and (cut or sum(map(len, windows)) == n)
+        windows = packing.pack(sizes, 2048)
+        assert sorted(i for w in windows for i in w) == list(range(n)) and all(0 < sum(sizes[i] for i in w) <= 2048 for w in windows)
         k = -(-sum(sizes) // 1024)
-        loads = [sum(sizes[i] for i in w) for w in packing.difference(sizes, k)]
-        assert sum(loads) == sum(sizes) and len(loads) == k
+        assert sorted(packing.difference(sizes, k)) == _plain_difference(sizes, k)
+    assert packing.pack([]) == []
+
+
+def test_window_count_rises(spark):
+    # three pieces of two thirds of a window: two windows would do by their sum, but one would hold two of them
+    assert len(packing.pack([60, 60, 60], 100)) == 3
+    v = _tokens.vocabulary(_tokens.default_path())
+    text = " the" * 59
+    assert len(v.encode(text)) == 59
+    df = spark.createDataFrame([(k, text) for k in range(3)], "doc_id long, text string").coalesce(1)
+    got = packing.pack_documents(df, window=100, piece=60, group=2, spare=10).collect()
+    assert len({r["sequence_id"] for r in got}) == 3 and all(r["length"] == 60 and r["offset"] == 0 for r in got)
+
+
+def test_padding_is_small(docs):
+    got = packing.pack_documents(docs.coalesce(1)).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert 1 - sum(r["n"] for r in got) / (len(got) * packing.WINDOW) < 0.02
 
 
 # 7 neighbours
@@ -361,6 +389,54 @@ def test_search_recall_ties_and_odd_vectors(spark, sf_dir):
 # 8 near duplicates
 
 
+def test_forest_on_many_vectors(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((400, 24)) * 3
+    x = np.concatenate([centers[rng.integers(0, 400, 12_000)] + rng.standard_normal((12_000, 24)), 1e6 * rng.standard_normal((3, 24))])
+    x[500:900] = x[500]  # copies
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, k=10).collect():
+        got[r["query_id"]].append(r)
+    hits, scored = 0, []
+    for q in range(0, len(x), 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        kth = np.sort(s)[-10]
+        assert [r["rank"] for r in sorted(got[q], key=lambda r: r["rank"])] == list(range(1, 11))
+        assert all(np.isclose(r["score"], s[r["vec_id"]], rtol=1e-12) for r in got[q])
+        hits += sum(r["score"] >= kth * (1 - 1e-12) for r in got[q])
+        scored.append(got[q][0]["candidates"])
+    assert hits / (10 * len(got)) >= 0.9
+    assert np.mean(scored) < len(x)
+
+
+def test_descent_and_ascent(spark):
+    """Runs of a query against a plain count of common digits, start by start."""
+    rng = np.random.default_rng(1)
+    digits = lambda n: rng.integers(0, 3, (n, ann.DIGITS))
+    code = lambda d: int(sum(int(v) << ann.DIGIT_BITS * (ann.DIGITS - 1 - k) for k, v in enumerate(d)))
+    stored = [[code(d) for d in digits(300)] for _ in range(2)]
+    table = spark.createDataFrame([(t, h) for t in range(2) for h in stored[t]], "tree int, hash long")
+    asked = [(q, t, code(d), float(rng.random())) for q in range(5) for t in range(2) for d in digits(2)]
+    asked = list({a[:3]: a for a in asked}.values())
+    spread = spark.createDataFrame(asked, "query_id long, tree int, string long, near double")
+    match = lambda a, b: next((k for k in range(ann.DIGITS) if a >> ann.DIGIT_BITS * (ann.DIGITS - 1 - k) != b >> ann.DIGIT_BITS * (ann.DIGITS - 1 - k)), ann.DIGITS)
+    for enough in (1, 60, 10_000):
+        want = set()
+        for q in range(5):
+            total, depth = 0, {}
+            steps = sorted(((d, near, t, s) for i, t, s, near in asked if i == q for d in range(1, ann.DIGITS + 1)), key=lambda x: (-x[0], -x[1], x[2], x[3]))
+            for d, _, t, s in steps:
+                run, deeper = (sum(match(s, h) >= e for h in stored[t]) for e in (d, d + 1))
+                if run and total < enough:
+                    depth[t, s], total = d, total + run - deeper
+            for (t, s), d in depth.items():
+                shift = ann.DIGIT_BITS * (ann.DIGITS - d)
+                want.add((q, t, s >> shift << shift, ((s >> shift) + 1) << shift, sum(match(s, h) >= d for h in stored[t])))
+        assert {tuple(r) for r in ann._ascend(spread, table, enough).collect()} == want
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
