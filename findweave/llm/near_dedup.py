@@ -13,13 +13,19 @@ Signatures are banded. Exact copies are folded into one representative first. In
 text is compared with the bucket's smallest id, by the exact overlap of both bags; then, where a
 bucket still spans several components, its texts outside the largest of them are compared with
 those texts of other components that a count of the shingles shared between components leaves
-possible. So a pair that shares a bucket is compared, already in one class, or proved no link, and
-no bucket is expanded into all its pairs. Components come from the large-star and
-small-star iteration on tables; nothing of the corpus is collected.
+possible. Texts of crowded buckets are compared where they share one of their rarest shingles, which
+texts that overlap by the threshold must. So a pair that shares a bucket is compared, already in one
+class, or proved no link, and no bucket is expanded into all its pairs. Components come from the
+large-star and small-star iteration on tables; nothing of the corpus is collected.
+
+Inside, a row is a number that is written with its signature, and its text is found again by its id
+and a 128-bit digest, so rows that have one id and different texts are told apart.
 
 Defined results: texts with one to four words have one shingle of all their words; texts without
 words (null too) are copies of each other; rows with a null id have a null class and are kept;
-repeated rows share a class; other columns never take part; an empty table gives an empty result.
+repeated rows share a class, and the first of them is kept; of several texts under one id, each has
+the class of its text; very long texts are signed and compared whole; an overlap of exactly the
+threshold is a link; other columns never take part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from findweave.llm._blocks import narrow, texts_of
 from findweave.session import materialize
@@ -118,32 +125,39 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return acc.view(np.int64)
 
 
+def digest(text: Column) -> Column:
+    """128 bits of the text's MD5; a null text counts as the empty one."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def sign(rows: DataFrame) -> DataFrame:
-    """(doc_id, key, bands): a 128-bit hash of the word sequence, and the band hashes."""
+    """(doc_id, digest, key, bands): ``rows``' ids and digests, a 128-bit hash of the word sequence, and the band hashes."""
 
-    def flush(ids, keys, bags):
+    def flush(ids, digests, keys, bags):
         filled = [i for i, b in enumerate(bags) if len(b[0])]
         bands = [[] for _ in bags]
         if filled:
             for i, row in zip(filled, band_hashes(signatures([bags[i] for i in filled])), strict=True):
                 bands[i] = row
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+        columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "key", "bands"])
 
     def run(batches):
-        table, ids, keys, bags, size = _WordHashes(), [], [], [], 0
+        table, ids, digests, keys, bags, size = _WordHashes(), [], [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
+            for doc_id, text, mark in zip(batch.column(0), texts_of(batch.column(1)), batch.column(2), strict=True):
                 words = text.split()
                 ids.append(doc_id.as_py())
+                digests.append(mark.as_py())
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 bags.append(np.unique(shingles(words, table), return_counts=True))
                 size += len(bags[-1][0])
                 if size >= BATCH:
-                    yield flush(ids, keys, bags)
-                    ids, keys, bags, size = [], [], [], 0
-        yield flush(ids, keys, bags)
+                    yield flush(ids, digests, keys, bags)
+                    ids, digests, keys, bags, size = [], [], [], [], 0
+        yield flush(ids, digests, keys, bags)
 
-    return rows.mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest binary, key binary, bands array<long>")
 
 
 def bag_overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -155,24 +169,26 @@ def bag_overlap(a: np.ndarray, b: np.ndarray) -> float:
     return float(both / max(1, len(a) + len(b) - both))
 
 
-_BAG = "doc_id long, size int, bag binary"
+_BAG = "rep long, size int, bag binary"
 
 
-def bags_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, size, bag) of the documents in ``ids``: sorted shingle hashes, repeats included."""
+def bags_of(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, size, bag) of the texts of ``reps`` (doc_id, digest, rep): sorted shingle hashes, repeats included."""
 
     def hashed(batches):
         table = _WordHashes()
         for batch in batches:
             bags = [np.sort(shingles(t.split(), table)) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, bags), pa.int32()), pa.array([b.tobytes() for b in bags], pa.binary())], names=["doc_id", "size", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, bags), pa.int32()), pa.array([b.tobytes() for b in bags], pa.binary())], names=["rep", "size", "bag"])
 
-    return rows.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(hashed, _BAG)
+    # the join has dealt the rows by id and digest, so dropping repeats shuffles nothing
+    found = rows.join(reps.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    return found.select("rep", "text").mapInArrow(hashed, _BAG)
 
 
 def verify(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, overlap) of the pairs whose bags overlap by ``threshold`` or more."""
-    left, right = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
+    left, right = bags.select(F.col("rep").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("rep").alias("b"), F.col("bag").alias("bag_b"))
 
     def compare(batches):
         for batch in batches:
@@ -183,28 +199,56 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> D
     return met.mapInArrow(compare, "a long, b long, overlap double").where(F.col("overlap") >= threshold)
 
 
-def shareable(bags: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, size, shared): how many of a document's shingles documents of other components have too.
-
-    ``roots``: (doc_id, root) of the documents that are compared. A document of ``size`` shingles
-    can't overlap one of another component by more than its ``shared`` ones.
-    """
+def _spread(bags: DataFrame, roots: DataFrame) -> DataFrame:
+    """(shingle, n, rep, size, root): the distinct shingles of the texts in ``roots`` (rep, root), with their counts."""
 
     def spread(batches):
         for batch in batches:
-            for doc_id, size, root, bag in zip(*batch.columns, strict=True):
+            for rep, size, root, bag in zip(*batch.columns, strict=True):
                 values, counts = np.unique(np.frombuffer(bag.as_py(), _U), return_counts=True)
                 n = len(values)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values.view(np.int64)), pa.array(counts, pa.int32()), *(pa.array(np.full(n, x.as_py()), k) for x, k in ((doc_id, pa.int64()), (size, pa.int32()), (root, pa.int64())))],
-                    names=["shingle", "n", "doc_id", "size", "root"],
+                    [pa.array(values.view(np.int64)), pa.array(counts, pa.int32()), *(pa.array(np.full(n, x.as_py()), k) for x, k in ((rep, pa.int64()), (size, pa.int32()), (root, pa.int64())))],
+                    names=["shingle", "n", "rep", "size", "root"],
                 )
 
-    each = bags.join(roots.hint("merge"), "doc_id").select("doc_id", "size", "root", "bag").mapInArrow(spread, "shingle long, n int, doc_id long, size int, root long")
-    each = materialize(each, "shingles")
-    common = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    # documents without such shingles can't be linked and drop out
-    return each.join(common.hint("merge"), "shingle", "left_semi").groupBy("doc_id", "size").agg(F.sum("n").alias("shared"))
+    each = bags.join(roots.hint("merge"), "rep").select("rep", "size", "root", "bag").mapInArrow(spread, "shingle long, n int, rep long, size int, root long")
+    return materialize(each, "shingles")
+
+
+def _between(each: DataFrame) -> DataFrame:
+    """(shingle, docs): the shingles that several components have, and how many texts have them."""
+    return each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("docs")).where("low < high").select("shingle", "docs")
+
+
+def shareable(bags: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rep, size, shared): how many of a text's shingles texts of other components have too.
+
+    ``roots``: (rep, root) of the texts that are compared. A text of ``size`` shingles can't
+    overlap one of another component by more than its ``shared`` ones.
+    """
+    each = _spread(bags, roots)
+    # texts without such shingles can't be linked and drop out
+    return each.join(_between(each).hint("merge"), "shingle", "left_semi").groupBy("rep", "size").agg(F.sum("n").alias("shared"))
+
+
+def meetings(bags: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(shingle, rep, root, size, crowd): the shingles at which the texts in ``roots`` are to be compared.
+
+    Two texts that overlap by ``threshold`` share a shingle among the rarest of each: with the
+    shingles in one order, those that no other component has first, then by how many texts have
+    them, at most ``size - ceil(threshold * size)`` of a text's shingles (repeats counted) come
+    before the first shared one.
+    """
+    each = _spread(bags, roots)
+    common = each.join(_between(each).hint("merge"), "shingle")
+    own = Window.partitionBy("rep")
+    rarest = own.orderBy("docs", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("size") - F.ceil(F.col("size") * threshold - 1e-6)
+    before = F.col("size") - F.sum("n").over(own) + F.coalesce(F.sum("n").over(rarest), F.lit(0))
+    met = common.withColumn("before", before).where(F.col("before") <= room)
+    found = met.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("crowd")).where("low < high")
+    return met.select("shingle", "rep", "root", "size").join(found.select("shingle", "crowd").hint("merge"), "shingle")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,12 +301,12 @@ def links_between(members: DataFrame, links: DataFrame, tried: DataFrame, bags:
     Documents that share too few shingles with other components to be linked drop out. In what is
     left, each bucket's least particular document is compared with the others first, which joins
     most components; then the documents outside the largest component of a bucket that is still
-    mixed are compared with all that they may be linked to, in pairs or, where a bucket is
-    crowded, in blocks.
+    mixed are compared with all that they may be linked to. Documents of crowded buckets meet at
+    their rarest shingles instead, in pairs or, where these are crowded too, in blocks.
     """
     spread = materialize(_mixed(members.select("band", "hash", "rep"), components(links)), "mixed")
-    room = shareable(bags, spread.select(F.col("rep").alias("doc_id"), "root").distinct()).where(F.col("shared") >= threshold * F.col("size"))
-    able = materialize(spread.join(room.withColumnRenamed("doc_id", "rep").hint("merge"), "rep"), "able")
+    room = shareable(bags, spread.select("rep", "root").distinct()).where(F.col("shared") >= threshold * F.col("size"))
+    able = materialize(spread.join(room.hint("merge"), "rep"), "able")
     center = able.groupBy("band", "hash").agg(F.max_by(F.struct("rep", "root", "size", "shared", "most"), F.struct(F.col("shared") / F.col("size"), -F.col("rep"))).alias("c")).select("band", "hash", "c.*")
     stars = materialize(_pairs(_side(able, "x").join(_side(center, "y"), ["band", "hash"]).where(_may_link(threshold))).join(tried, ["a", "b"], "left_anti"), "stars")
     found = materialize(verify(stars, bags, threshold).select("a", "b"), "links")
@@ -272,8 +316,13 @@ def links_between(members: DataFrame, links: DataFrame, tried: DataFrame, bags:
     one, two = _side(few.where("root <> most"), "x"), _side(few, "y")
     once = (F.col("y_root") == F.col("most")) | (F.col("x_rep") < F.col("y_rep"))
     crossed = _pairs(one.join(two, ["band", "hash"]).where(_may_link(threshold) & once))
-    crossed = materialize(crossed.join(tried.union(stars), ["a", "b"], "left_anti"), "crossed")
-    return found.union(verify(crossed, bags, threshold).select("a", "b")).union(crowded_links(again.where(F.col("crowd") > CROWD), bags, threshold))
+    met = materialize(meetings(bags, again.where(F.col("crowd") > CROWD).select("rep", "root").distinct(), threshold), "met")
+    thin = met.where(F.col("crowd") <= CROWD).select("shingle", "rep", "root", "size")
+    other = thin.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("rep", "root", "size")])
+    alike = (F.col("root") != F.col("y_root")) & (F.col("rep") < F.col("y_rep")) & (F.least("size", "y_size") >= threshold * F.greatest("size", "y_size") - 1e-6)
+    rare = thin.join(other, "shingle").where(alike).select(F.col("rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+    crossed = materialize(crossed.union(rare).distinct().join(tried.union(stars), ["a", "b"], "left_anti"), "crossed")
+    return found.union(verify(crossed, bags, threshold).select("a", "b")).union(crowded_links(met.where(F.col("crowd") > CROWD), bags, threshold))
 
 
 def overlaps(bags: list[np.ndarray]) -> np.ndarray:
@@ -299,16 +348,16 @@ def overlaps(bags: list[np.ndarray]) -> np.ndarray:
 
 
 def crowded_links(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between components in crowded buckets, which are compared block by block.
+    """Links (a, b) between components at crowded shingles, whose texts are compared block by block.
 
-    A block's documents are compared in one task by the exact overlaps of their bags; only links
-    leave it, so a large group of copies that are not quite links isn't expanded into pairs.
+    A block's documents are compared in one task by the exact overlaps of their bags; only one link
+    of two components leaves it, so a large group of copies isn't expanded into pairs.
     """
     blocks = F.ceil(F.col("crowd") / BLOCK_DOCS).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = rows.select("band", "hash", "rep", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root", "own")
-    dealt = dealt.join(bags.select(F.col("doc_id").alias("rep"), "size", "bag").hint("merge"), "rep")
+    dealt = rows.select("shingle", "rep", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root", "own")
+    dealt = dealt.join(bags.hint("merge"), "rep")
 
     def compare(group: pa.Table) -> pa.Table:
         rep, root, own, size = (group[c].to_numpy() for c in ("rep", "root", "own", "size"))
@@ -319,35 +368,49 @@ def crowded_links(rows: DataFrame, bags: DataFrame, threshold: float) -> DataFra
         x, y = np.nonzero(np.triu(linked, 1))
         sure = both[x, y].astype(float) / (size[x] + size[y] - both[x, y]) >= threshold
         x, y = x[sure], y[sure]
+        _, one = np.unique(np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y])], 1), axis=0, return_index=True)
+        x, y = x[one], y[one]
         return pa.table({"a": pa.array(np.minimum(rep[x], rep[y])), "b": pa.array(np.maximum(rep[x], rep[y]))})
 
-    return dealt.groupBy("band", "hash", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (smallest id of its class), kept (it is that id) of each row."""
-    rows = narrow(docs, id_col, text_col)
-    signed = materialize(sign(rows), "signed")
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(doc_id, digest, class_id, kept) of each row."""
+    rows = narrow(docs, id_col, text_col).withColumn("digest", digest(F.col("text")))
+    signed = materialize(sign(rows).withColumn("node", F.monotonically_increasing_id()), "signed")
     known = signed.where("doc_id IS NOT NULL")
-    copies = known.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = known.join(copies.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "hash"))
+    copies = known.groupBy("key").agg(F.min(F.struct("doc_id", "digest", "node")).alias("first"))
+    firsts = copies.select(F.col("first.node").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest"))
+    reps = known.join(firsts.select("node"), "node", "left_semi").select(F.col("node").alias("rep"), F.posexplode("bands").alias("band", "hash"))
     hubs = reps.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").drop("last")
-    # repeated rows of a representative count once
-    members = materialize(reps.join(hubs, ["band", "hash"]).select("band", "hash", "rep", "hub").distinct(), "buckets")
-    bags = materialize(bags_of(rows, members.select(F.col("rep").alias("doc_id")).distinct()), "bags")
+    members = materialize(reps.join(hubs, ["band", "hash"]).select("band", "hash", "rep", "hub"), "buckets")
+    bags = materialize(bags_of(rows, firsts.withColumnRenamed("node", "rep").join(members.select("rep").distinct(), "rep", "left_semi")), "bags")
     stars = materialize(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = materialize(verify(stars, bags, threshold).select("a", "b"), "links")
     final = components(links.union(links_between(members, links, stars, bags, threshold)))
-    rep_class = copies.join(final, copies["rep"] == final["node"], "left").select("key", F.coalesce("root", "rep").alias("class_id"))
-    out = signed.select("doc_id", "key").join(rep_class, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    rooted = copies.join(final, F.col("first.node") == F.col("node"), "left").select("key", "first", F.coalesce("root", "first.node").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    named = rooted.join(heads, "root").select("key", F.col("head.doc_id").alias("class_id"), F.col("head.node").alias("head"))
+    out = signed.select("doc_id", "digest", "key", "node").join(named, "key", "left")
+    of_known = lambda c: F.when(F.col("doc_id").isNotNull(), c)
+    return out.select("doc_id", "digest", of_known(F.col("class_id")).alias("class_id"), F.coalesce(of_known(F.col("node") == F.col("head")), F.lit(True)).alias("kept"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (smallest id of its class), kept (the first row with that id) of each row."""
+    return _classified(docs, id_col, text_col, threshold).select("doc_id", "class_id", "kept")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` with one document of each class, repeated ids once."""
-    kept = classes(docs, threshold=threshold).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """Rows of ``docs`` with one row of each class; rows without an id all stay."""
+    kept = _classified(docs, "doc_id", "text", threshold).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    mark = "digest"
+    while mark in {c.lower() for c in docs.columns}:
+        mark += "_"
+    marked = docs.withColumn(mark, digest(F.col("text")))
+    named = marked.join(kept, (marked["doc_id"] == kept["kept_id"]) & (marked[mark] == kept["kept_digest"]), "left_semi").dropDuplicates(["doc_id", mark])
+    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
