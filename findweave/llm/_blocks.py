@@ -6,6 +6,7 @@ these, so words are cut from UTF-8 bytes without decoding.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8_000_000
 
 
+#: Text whose words meet in one slice of a bucket.
+SLICE_BYTES = 128_000_000
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """crc32 of the column as text, modulo ``modulus``; null for a null column."""
     column = F.col(column) if isinstance(column, str) else column
@@ -109,10 +114,16 @@ def grow_strings(data: bytes) -> list[bytes]:
     return [blob[a:b] for a, b in zip([0, *ends][:-1], ends, strict=True)]
 
 
-def bucket_count(rows: DataFrame, text_bytes: int = 8 << 20) -> int:
-    """Buckets so that each gets the distinct words of about ``text_bytes`` of text."""
+def bucket_counts(rows: DataFrame) -> tuple[int, int]:
+    """Buckets of words, and slices of each bucket, for the text of ``rows``.
+
+    Distinct words grow about with the square root of a text, and so do the buckets. What the
+    blocks ask of a bucket grows faster; it is cut by block into slices of about ``SLICE_BYTES``
+    of text, so that a group never holds a row of every block.
+    """
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(4, total // text_bytes)
+    buckets = max(4, 2 * math.isqrt(total // 1_000_000))
+    return buckets, max(1, -(-total // (buckets * SLICE_BYTES)))
 
 
 def checksum(words: list) -> int:
@@ -120,13 +131,14 @@ def checksum(words: list) -> int:
     return zlib.crc32(b"\n".join(w.encode() if isinstance(w, str) else w for w in words))
 
 
-def bucket_rows(rows: DataFrame, cut: Callable[[bytes], list], buckets: int, limit: int = BLOCK_BYTES, held: Callable[[int], bool] | None = None) -> DataFrame:
+def bucket_rows(rows: DataFrame, cut: Callable[[bytes], list], counts: tuple[int, int], limit: int = BLOCK_BYTES, held: Callable[[int], bool] | None = None) -> DataFrame:
     """The distinct words of each block, packed by the bucket of their hash.
 
-    (bucket, block, check, idx, words, uses); ``uses`` counts occurrences in documents for which
+    (bucket, slice, block, check, idx, words, uses); ``uses`` counts occurrences in documents for which
     ``held`` is false (all, if not given).
     """
-    kinds = {"bucket": pa.int32(), "block": pa.int64(), "check": pa.int64(), "idx": pa.binary(), "words": pa.binary(), "uses": pa.binary()}
+    buckets, slices = counts
+    kinds = {"bucket": pa.int32(), "slice": pa.int32(), "block": pa.int64(), "check": pa.int64(), "idx": pa.binary(), "words": pa.binary(), "uses": pa.binary()}
 
     def run(batches):
         for block, ids, words, codes in block_stream(batches, cut, limit):
@@ -142,10 +154,10 @@ def bucket_rows(rows: DataFrame, cut: Callable[[bytes], list], buckets: int, lim
             out = []
             for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
                 idx = order[lo:hi]
-                out.append((int(of[idx[0]]), block, check, shrink(np.diff(idx, prepend=0)), shrink_strings([words[i] for i in idx]), shrink(uses[idx])))
+                out.append((int(of[idx[0]]), zlib.crc32(b"%d" % block) % slices, block, check, shrink(np.diff(idx, prepend=0)), shrink_strings([words[i] for i in idx]), shrink(uses[idx])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    return rows.mapInArrow(run, "bucket int, block long, check long, idx binary, words binary, uses binary")
+    return rows.mapInArrow(run, "bucket int, slice int, block long, check long, idx binary, words binary, uses binary")
 
 
 def payload_rows(docs: DataFrame, cut: Callable[[bytes], list], limit: int = BLOCK_BYTES) -> DataFrame:

@@ -2,18 +2,20 @@
 
 Texts are split into pre-tokens ("words") block by block; each block keeps its texts as numbers of
 its own distinct words. The distinct words of all blocks are dealt out by their hash, so that the
-rows of a word meet in one bucket, where it is encoded once; each block then joins the ids back by
-position. Only distinct words, their ids and packed numbers are shuffled, never the texts. Ids are
+rows of a word meet in one bucket, where it is encoded once (once per slice where a corpus is so
+large that a bucket's rows are cut into slices); each block then joins the ids back by position. Only distinct words, their ids and packed numbers are shuffled, never the texts. Ids are
 decoded through a join with the id-to-piece table, whose size is that of the vocabulary.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; special tokens in
 a text are their own ids; repeated rows are encoded alike; an empty table gives an empty result;
-other columns never take part. A word that every block uses costs one row per block.
+other columns never take part. A word that every block uses is one entry of each block's rows; very
+long texts are blocks of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findweave.llm import _tokens
-from findweave.llm._blocks import BLOCK_BYTES, bucket_count, bucket_rows, complete, grow, grow_strings, narrow, payload_rows, shrink, unpack_codes
+from findweave.llm._blocks import BLOCK_BYTES, bucket_counts, bucket_rows, complete, grow, grow_strings, narrow, payload_rows, shrink, unpack_codes
 
 
 def id_to_piece(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +58,13 @@ class Pieces:
         return self.blob[at + np.arange(len(at))].tobytes()
 
 
+@lru_cache(2)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 def encode_buckets(words: DataFrame, path: str) -> DataFrame:
-    """(block, idx, sizes, ids) of each bucket's rows; every distinct word is encoded once."""
+    """(block, idx, sizes, ids) of each slice's rows; every distinct word of a slice is encoded once."""
 
     def run(group: pa.Table) -> pa.Table:
         known: dict[bytes, list[int]] = {}
@@ -73,7 +80,7 @@ def encode_buckets(words: DataFrame, path: str) -> DataFrame:
             out.append((shrink(np.array(sizes, np.int64)), shrink(np.array(flat, np.int64))))
         return pa.table({"block": group["block"], "check": group["check"], "idx": group["idx"], "sizes": pa.array([o[0] for o in out], pa.binary()), "ids": pa.array([o[1] for o in out], pa.binary())})
 
-    return words.groupBy("bucket").applyInArrow(run, "block long, check long, idx binary, sizes binary, ids binary")
+    return words.groupBy("bucket", "slice").applyInArrow(run, "block long, check long, idx binary, sizes binary, ids binary")
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -86,7 +93,7 @@ def join_back(payload: DataFrame, encoded: DataFrame, path: str, each, schema: s
     typed = _arrow(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces, rows = Pieces(path), []
+        pieces, rows = _pieces(path), []
         for block in left.to_pylist():
             n = block["n_words"]
             sizes, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -118,7 +125,7 @@ def encode_documents(docs: DataFrame, each, schema: str, id_col: str = "doc_id",
         return _tokens.vocabulary(path).split(text.decode("utf-8", "replace"))
 
     rows = narrow(docs, id_col, text_col)
-    encoded = encode_buckets(bucket_rows(rows, cut, bucket_count(rows), limit).drop("uses"), path)
+    encoded = encode_buckets(bucket_rows(rows, cut, bucket_counts(rows), limit).drop("uses"), path)
     return join_back(payload_rows(rows, cut, limit), encoded, path, each, schema)
 
 

@@ -4,10 +4,12 @@ Word counts of all training documents give each word a class: the most frequent
 of their own, words seen once (and unseen ones) share one class, the others share classes by their
 last letters; a word's probability within its class comes from the counts. Latent states emit
 classes. Baum-Welch counts are taken on each partition, summed by Spark, and turned into new
-parameters, from a random start around the corpus shares of the classes, pass after pass over all
-training documents until their likelihood settles. The scaled forward recursion then gives the
-exact log-probability of each text: over known words, the end and one unknown word, probabilities
-sum to one in every state.
+parameters, pass after pass over all training documents until their likelihood settles. Passes
+start from the model that explains the counts of neighbouring classes best, which are summed over
+all training documents, too; that model is fitted to the table of counts (as large as the classes
+squared, whatever the corpus) from a random start around the corpus shares of the classes. The
+scaled forward recursion then gives the exact log-probability of each text: over known words, the
+end and one unknown word, probabilities sum to one in every state.
 
 Texts are never shuffled: blocks of documents send their distinct words, packed by hash, to the
 count table and get class and count back by position.
@@ -19,6 +21,7 @@ other columns never take part. Very long texts are scored whole.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findweave.llm._blocks import BLOCK_BYTES, bucket_count, bucket_rows, complete, grow, grow_strings, grow_wide, narrow, payload_rows, shrink, shrink_wide, unpack_codes
+from findweave.llm._blocks import BLOCK_BYTES, bucket_counts, bucket_rows, complete, grow, grow_strings, grow_wide, narrow, payload_rows, shrink, shrink_wide, unpack_codes
 from findweave.session import materialize
 
 STATES = 8
@@ -38,6 +41,8 @@ END, RARE = TOP_WORDS, TOP_WORDS + 1
 CLASSES = TOP_WORDS + 2 + SPELLED
 #: The likelihood has settled when a pass over all training documents raises its logarithm by less than this part.
 SETTLED = 1e-4
+#: The same for a pass over the counts of neighbouring classes; it is looked at after so many passes.
+SETTLED_PAIRS, EVERY = 1e-6, 8
 #: Weight of the corpus shares of the classes in each state's emissions.
 PRIOR = 20.0
 LONG = 4096
@@ -76,7 +81,8 @@ def count_words(packed: DataFrame) -> DataFrame:
         bucket = pa.array(np.full(len(total), group["bucket"][0].as_py()), pa.int32())
         return pa.table({"bucket": bucket, "word": pa.array(total.keys(), pa.binary()), "c": pa.array(total.values(), pa.int64())})
 
-    return packed.groupBy("bucket").applyInArrow(run, "bucket int, word binary, c long")
+    parts = packed.groupBy("bucket", "slice").applyInArrow(run, "bucket int, word binary, c long")
+    return parts.groupBy("bucket", "word").agg(F.sum("c").alias("c"))
 
 
 def classify(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -106,7 +112,7 @@ def class_shares(totals: np.ndarray, docs: int) -> np.ndarray:
     return out / out.sum()
 
 
-def look_up(packed: DataFrame, classed: DataFrame) -> DataFrame:
+def look_up(packed: DataFrame, classed: DataFrame, slices: int) -> DataFrame:
     """(block, check, idx, c, cls): the packed words of each block with their counts and classes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -119,7 +125,8 @@ def look_up(packed: DataFrame, classed: DataFrame) -> DataFrame:
             out_cls.append(shrink(cls[found]))
         return pa.table({"block": left["block"], "check": left["check"], "idx": left["idx"], "c": pa.array(out_c, pa.binary()), "cls": pa.array(out_cls, pa.binary())})
 
-    grouped = packed.drop("uses").groupBy("bucket").cogroup(classed.groupBy("bucket"))
+    table = classed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    grouped = packed.drop("uses").groupBy("bucket", "slice").cogroup(table.groupBy("bucket", "slice"))
     return grouped.applyInArrow(run, "block long, check long, idx binary, c binary, cls binary")
 
 
@@ -289,9 +296,82 @@ def baum_welch(coded: DataFrame, model: Hmm, shares: np.ndarray) -> tuple[Hmm, f
     return update(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(k, m), shares), float(flat[-1])
 
 
+def count_pairs(coded: DataFrame, classes: int = CLASSES) -> DataFrame:
+    """(at, n): how often class at // classes is followed by class at % classes in training documents."""
+
+    def run(batches):
+        total, codes, held = np.zeros(classes * classes, np.int64), [], 0
+
+        def add():
+            nonlocal total, codes, held
+            if codes:
+                ends = np.cumsum([len(c) for c in codes])[:-1]
+                flat = np.concatenate(codes).astype(np.int64)
+                pairs = flat[:-1] * classes + flat[1:]
+                total += np.bincount(np.delete(pairs, ends - 1), minlength=len(total))
+            codes, held = [], 0
+
+        for batch in batches:
+            for data in batch.column(0):
+                codes.append(unpack(data.as_py()))
+                held += len(codes[-1])
+                if held >= BATCH_TOKENS:
+                    add()
+        add()
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 100_000):
+            part = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["at", "n"])
+
+    return coded.where("learn").select("codes").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def explain_pairs(counts: np.ndarray, shares: np.ndarray, states: int = STATES, part: float = SETTLED_PAIRS) -> Hmm:
+    """The model of neighbouring classes (``counts``: first by second) by expectation maximisation.
+
+    Two neighbours are drawn from two states in a row, whose joint probabilities are ``joint``.
+    """
+    model = Hmm.random(shares, states)
+    joint, emit = (model.move / states).astype(np.float32), model.emit.astype(np.float32)
+    counts, before = counts.astype(np.float32), -np.inf
+    total = max(1.0, float(counts.sum(dtype=float)))
+    for number in itertools.count():
+        expected = np.maximum(emit.T @ (joint @ emit), np.float32(1e-37))
+        if number % EVERY == 0:
+            now = float((counts * np.log(expected)).sum(dtype=float)) / total
+            if now - before <= EVERY * part * abs(now):
+                break
+            before = now
+        ratio = counts / expected
+        seconds, firsts = emit @ ratio, emit @ ratio.T
+        emits = emit * (joint @ firsts + joint.T @ seconds) + (PRIOR * shares).astype(np.float32)
+        joint = joint * (firsts @ emit.T).T + 1e-3
+        joint, emit = joint / joint.sum(), emits / emits.sum(1, keepdims=True)
+    start = joint.sum(1).astype(float)
+    return Hmm(start / start.sum(), (joint / joint.sum(1, keepdims=True)).astype(float), emit.astype(float))
+
+
+def starting_point(coded: DataFrame, shares: np.ndarray, states: int = STATES) -> Hmm:
+    """``explain_pairs`` of all training documents, in one task over the table of counts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        counts = np.zeros(len(shares) ** 2)
+        counts[group["at"].to_numpy()] = group["n"].to_numpy()
+        found = explain_pairs(counts.reshape(len(shares), -1), shares, states)
+        flat = _pack_counts((found.start, found.move, found.emit))
+        return pa.table({"model": pa.array([flat.astype("<f8").tobytes()], pa.binary())})
+
+    pairs = count_pairs(coded, len(shares))
+    rows = pairs.groupBy(F.lit(0).alias("one")).applyInArrow(run, "model binary").collect()  # one row
+    if not rows:
+        return Hmm.random(shares, states)
+    flat, k = np.frombuffer(rows[0]["model"], "<f8"), states
+    return Hmm(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(k, -1))
+
+
 def settled(coded: DataFrame, shares: np.ndarray, states: int = STATES, part: float = SETTLED) -> Hmm:
     """Baum-Welch over all training documents until their likelihood settles."""
-    model, before = Hmm.random(shares, states), -np.inf
+    model, before = starting_point(coded, shares, states), -np.inf
     while True:
         model, now = baum_welch(coded, model, shares)
         if now - before <= part * abs(now):
@@ -318,14 +398,15 @@ def log10_scores(coded: DataFrame, model: Hmm) -> DataFrame:
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, limit: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     rows = narrow(docs, id_col, text_col)
-    packed = materialize(bucket_rows(rows, tokens, bucket_count(rows), limit, held_out), "words")
+    sizes = bucket_counts(rows)
+    packed = materialize(bucket_rows(rows, tokens, sizes, limit, held_out), "words")
     counts = materialize(count_words(packed), "counts")
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     learned = rows.select("doc_id").where(remainder != 0).count()
     corpus = Corpus(n + learned, v + (learned > 0), learned, once)
     classed, totals = classify(counts)
-    found = look_up(packed, classed.select("bucket", "word", "c", "cls"))
+    found = look_up(packed, classed.select("bucket", "word", "c", "cls"), sizes[1])
     coded = materialize(code_documents(payload_rows(rows, tokens, limit), found, corpus, totals), "coded")
     model = settled(coded, class_shares(totals, learned), states)
     return log10_scores(coded, model).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -13,7 +13,7 @@ import pytest
 from duck import connect, rows_of, sql_rows
 from pyspark.sql import functions as F
 
-from findweave.llm import _tokens, ann, bpe, hmm_lm, near_dedup, packing, pii, quality_classifier, quality_rules, queries, sharding, toxicity
+from findweave.llm import _blocks, _tokens, ann, bpe, hmm_lm, near_dedup, packing, pii, quality_classifier, quality_rules, queries, sharding, toxicity
 
 LONG = "lorem ipsum dolor " * 4000
 ODD = [
@@ -221,10 +221,12 @@ def test_forward_is_exact():
     assert hmm_lm.forward(better, seqs).sum() > got.sum()
 
 
-def test_language_model_scores(spark, docs, odd, none):
+@pytest.mark.parametrize("slice_bytes", [10_000, 128_000_000])
+def test_language_model_scores(spark, docs, odd, none, monkeypatch, slice_bytes):
+    monkeypatch.setattr(_blocks, "SLICE_BYTES", slice_bytes)
     small = docs.where("doc_id < 150").select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id IS NULL OR doc_id < 9").withColumn("doc_id", F.col("doc_id") + 10_000))
     rows = small.collect()
-    got = hmm_lm.fit_and_score(small).collect()
+    got = hmm_lm.fit_and_score(small, limit=30_000).collect()
     assert len(got) == len(rows)
     cut = lambda t: words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
@@ -262,6 +264,19 @@ def test_language_model_is_fitted_on_all_documents(docs, monkeypatch):
     assert after - before <= hmm_lm.SETTLED * abs(after)
 
 
+def test_neighbouring_classes(spark):
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 6, n) for n in (1, 2, 9, 300)] * 3
+    coded = spark.createDataFrame([(k % 4 != 3, bytes(hmm_lm.pack(s))) for k, s in enumerate(seqs)], "learn boolean, codes binary")
+    want = Counter((int(a), int(b)) for k, s in enumerate(seqs) if k % 4 != 3 for a, b in itertools.pairwise(s))
+    assert {divmod(r["at"], 6): r["n"] for r in hmm_lm.count_pairs(coded, 6).collect()} == want
+    # two states that emit classes of their own and stay where they are
+    counts = np.kron(np.array([[90.0, 10.0], [10.0, 90.0]]), np.ones((3, 3))) * 100
+    found = hmm_lm.explain_pairs(counts, np.full(6, 1 / 6), 2)
+    low, high = np.sort(found.emit[:, :3].sum(1))
+    assert found.move.diagonal().min() > 0.85 and low < 0.15 and high > 0.85
+
+
 def test_class_shares_sum_to_one(spark):
     rows = [(0, f"w{k}", 1 + (k % 7) * (k % 3)) for k in range(3000)]
     counts = spark.createDataFrame([(b, w.encode(), c) for b, w, c in rows], "bucket int, word binary, c long")
@@ -276,7 +291,9 @@ def test_class_shares_sum_to_one(spark):
 # 6 and 10 tokens
 
 
-def test_round_trip(spark, odd, none, docs):
+@pytest.mark.parametrize("slice_bytes", [10_000, 128_000_000])
+def test_round_trip(spark, odd, none, docs, monkeypatch, slice_bytes):
+    monkeypatch.setattr(_blocks, "SLICE_BYTES", slice_bytes)
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(_tokens.default_path())
@@ -483,13 +500,47 @@ def test_near_duplicate_classes(spark, odd, none, docs, monkeypatch, crowd):
     assert len(got) == len(rows)
     want = _brute_classes(rows)
     assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == want
-    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["class_id"]) for r in got)
+    assert all(r["kept"] if r["doc_id"] is None else not r["kept"] or r["doc_id"] == r["class_id"] for r in got)
+    assert Counter(r["class_id"] for r in got if r["kept"] and r["doc_id"] is not None) == Counter(set(want.values()))
     if crowd == 64:
         assert near_dedup.classes(none).count() == 0
         kept = near_dedup.keep_first(odd)
         assert kept.columns == odd.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 6, 7, 8, 10, None])
 
 
+def test_one_id_with_several_texts(spark):
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, body, 0), (1, "other " * 9, 1), (1, "other " * 9, 2), (2, body + " end", 3), (3, None, 4), (3, "", 5), (3, "x y z", 6), (None, body, 7)]
+    df = spark.createDataFrame([(i, t, n, n) for i, t, n in rows], "doc_id long, text string, digest int, kept int")
+    got = near_dedup.classes(df).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["kept"]) for r in got) == Counter([(1, 1, True), (1, 1, True), (1, 1, False), (2, 1, False), (3, 3, True), (3, 3, False), (3, 3, True), (None, None, True)])
+    kept = near_dedup.keep_first(df)
+    assert kept.columns == df.columns
+    texts = Counter((r["doc_id"], r["text"] or "") for r in kept.collect())
+    assert texts == Counter([(1, body), (1, "other " * 9), (3, ""), (3, "x y z"), (None, body)])
+
+
+def test_texts_meet_at_rare_shingles(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 40)
+    bags = []
+    for _ in range(60):
+        bag = base.copy()
+        at = rng.integers(0, 40, rng.integers(0, 12))
+        bag[at] = rng.integers(0, 1 << 60, len(at)) if rng.random() < 0.5 else rng.choice(base, len(at))
+        bags.append(np.sort(bag.astype(np.uint64)))
+    df = spark.createDataFrame([(k, len(b), b.tobytes()) for k, b in enumerate(bags)], "rep long, size int, bag binary")
+    roots = df.select("rep", F.col("rep").alias("root"))
+    met = defaultdict(set)
+    for r in near_dedup.meetings(df, roots, 0.8).collect():
+        met[r["shingle"]].add(r["rep"])
+    together = {p for reps in met.values() for p in itertools.combinations(sorted(reps), 2)}
+    linked = {(i, j) for i, j in itertools.combinations(range(60), 2) if near_dedup.bag_overlap(bags[i], bags[j]) >= 0.8}
+    assert linked and linked <= together and len(together) < 60 * 59 // 2
+    found = near_dedup.crowded_links(near_dedup.meetings(df, roots, 0.8), df, 0.8).collect()
+    assert {(r["a"], r["b"]) for r in found} == linked
+
+
 def test_block_overlaps():
     rng = np.random.default_rng(3)
     bags = [np.sort(rng.integers(0, 50, n).astype(np.uint64)) for n in rng.integers(1, 80, 30)]
