@@ -3,7 +3,7 @@
 A document is the average of learned vectors, one for each hashed word, for each hashed
 character n-gram of its words and one marking a word that repeats the word before it. A softmax
 over two classes reads the average. Vectors and softmax are trained together by stochastic
-gradient descent in numpy, on a bounded sample of labelled rows.
+gradient descent in numpy, on a bounded sample of labelled rows, in one task.
 
 As the average is linear, a trained model is folded into one number per bucket (its vector
 times the difference of the class weights), which is all that scoring needs.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findweave.llm._blocks import narrow, texts_of
-from findweave.llm._labels import folds, training_rows
+from findweave.llm._labels import fit_in_task, folds, training_rows
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -204,8 +204,7 @@ def score_batches(model, scorer) -> callable:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    rows = training_rows(docs, labels, label, max_rows=MAX_ROWS)
-    return train([r["text"].encode() for r in rows], [r["label"] for r in rows])
+    return fit_in_task(training_rows(docs, labels, label, max_rows=MAX_ROWS), lambda rows: train(rows["text"], rows["label"]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findweave.llm._blocks import narrow, texts_of
-from findweave.llm._labels import folds, training_rows
+from findweave.llm._labels import fit_in_task, folds, training_rows
 
 BUCKETS = 1 << 15  # bucket 0 is silence; of words the lower half, of first letters the upper half
 PREFIX = 4
@@ -233,11 +233,15 @@ def calibrate(model: Model, rows: list[tuple[bytes, int, str | None]]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Train on four fifths of the sampled rows, calibrate on the rest."""
-    rows = training_rows(docs, labels, label, max_rows=MAX_ROWS, extra=("lang",) if "lang" in docs.columns else ())
-    part = [(r["text"].encode(), r["label"], r["lang"] if "lang" in docs.columns else None) for r in rows]
-    held = [p for k, p in enumerate(part) if k % 5 == 4]
-    kept = [p for k, p in enumerate(part) if k % 5 != 4]
-    return calibrate(train([p[0] for p in kept], [p[1] for p in kept]), held)
+    sample = training_rows(docs, labels, label, max_rows=MAX_ROWS, extra=("lang",) if "lang" in docs.columns else ())
+
+    def learn(rows: dict) -> Model:
+        part = list(zip(rows["text"], rows["label"], rows.get("lang", [None] * len(rows["text"])), strict=True))
+        held = [p for k, p in enumerate(part) if k % 5 == 4]
+        kept = [p for k, p in enumerate(part) if k % 5 != 4]
+        return calibrate(train([p[0] for p in kept], [p[1] for p in kept]), held)
+
+    return fit_in_task(sample, learn)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
