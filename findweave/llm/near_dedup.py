@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from findweave.llm._blocks import narrow, texts_of
+from findweave.llm._blocks import digest, narrow, texts_of
 from findweave.session import materialize
 
 WIDTH = 5
@@ -125,11 +125,6 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return acc.view(np.int64)
 
 
-def digest(text: Column) -> Column:
-    """128 bits of the text's MD5; a null text counts as the empty one."""
-    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
-
-
 def sign(rows: DataFrame) -> DataFrame:
     """(doc_id, digest, key, bands): ``rows``' ids and digests, a 128-bit hash of the word sequence, and the band hashes."""
 

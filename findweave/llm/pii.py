@@ -1,20 +1,30 @@
 """Personal data: bootstrapped contextual extraction.
 
-Seed entities (e-mail, IP address, card number and phone number by fixed patterns, and long mixed
-hexadecimal keys) and all other tokens that carry digits are instances. Each occurrence induces
-lexical patterns: the word before it, the two words before it, the word after it, and its own shape
-with the lengths of its runs. The pattern-instance graph is scored round by round by Spark: a
-pattern's confidence is the mean score of its instances, held back where they are few; an
-instance's score is the mean of its shape's confidence and its best context's. Instances that end
-above ``FOUND`` are identifiers the seeds alone did not show; their occurrences are added as spans
-of kind "id". Seeds keep their spans whatever the scores are.
-
-Only texts with a digit or an at sign are looked at more closely, and only instances, patterns
-and spans are shuffled, never texts.
-
-Defined results: null and empty texts have no spans; repeated rows get the same spans each; spans
-count code points, ends exclusive; overlapping spans of different kinds are all kept, but an added
-span never overlaps a seed's; an empty table gives an empty result; other columns never take part.
+Seed entities (e-mail, IP address, card number and phone number by fixed patterns, and secrets: long
+mixed hexadecimal keys, access-key ids, values assigned to a password or key) and all other tokens
+that carry digits are instances. Each occurrence induces lexical patterns: the word before it, the
+two words before it, the word after it, and its own shape with the lengths of its runs. Contexts of
+``MIN_SEEDS`` different seeds or more are counted over all tokens of all texts, so a context's
+confidence is the part of the tokens in it that are identifiers, and tokens without a digit become
+instances where they stand in a context that seeds fill to ``LIKELY``.
+
+The pattern-instance graph is scored round by round by Spark. A shape's confidence is the mean score
+of its values, a context's the scores of its occurrences over all tokens in it, both held back where
+these are few. An instance's score is the larger of two: what its best context says alone, times
+``TRUST``, and the mean of its shape's confidence (counted twice) and its best context's; only the
+latter flows back into the patterns. Instances that end at ``FOUND`` or above are identifiers the seeds alone did not show; their occurrences are
+added as spans of kind "id". Seeds keep their spans whatever the scores are.
+
+Which patterns are counted, and which contexts admit instances, reaches the tasks as a bit filter of
+fixed size; what passes it wrongly is dropped by a join on the pattern itself. Only instances,
+patterns, counts and spans are shuffled, never texts (``redact`` deals texts once, by id and digest).
+
+Defined results: null and empty texts have no spans; repeated rows get the same spans each, ties of
+scores are no matter; spans count code points, ends exclusive; overlapping spans of different kinds
+are all kept, but an added span never overlaps a seed's; very long texts are read whole, and words
+of more than ``LONG_WORD`` characters stand in patterns by their 128-bit hash; an empty table gives
+an empty result; other columns never take part. An identifier of several tokens is found by its
+parts.
 """
 
 from __future__ import annotations
@@ -22,13 +32,16 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findweave.llm._blocks import narrow, texts_of
+from findweave.llm._blocks import digest, narrow, texts_of
 from findweave.session import materialize
 
 #: Kinds of the base patterns, in the order in which spans that start together are listed.
@@ -37,6 +50,14 @@ KINDS = (*BASE_KINDS, "secret", "id")
 ROUNDS = 4
 #: Instances from which on a pattern's mean counts half.
 HOLD = 3.0
+#: Different seeds of a context that is looked at, the part of it that seeds fill where tokens without
+#: digits become instances, and the weight of a context's confidence on its own.
+MIN_SEEDS, LIKELY, TRUST = 3, 0.25, 0.8
+LONG_WORD = 64
+#: Bits of the filter of patterns, and bits set for each.
+FILTER_BITS, FILTER_HASHES = 24, 4
+#: Distinct words and pairs that a task counts before it hands them on.
+CACHE = 400_000
 #: Parts that the instances of a pattern are dealt out into.
 SALT = 32
 FOUND = 0.5
@@ -49,6 +70,9 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: Access-key ids, and values with a digit that are assigned to names of secrets (fixed values).
+_ACCESS = re.compile(r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|api_?key|access_?key|token)\x20?[=:]\x20?[\"']?(?=[^\s\"',;]*[0-9])([^\s\"',;]{8,})")
 _MARKED = re.compile(rb"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = ".,;:!?\"'()[]{}<>*$%&#|="
@@ -94,53 +118,78 @@ def shape(value: str) -> str:
     return _LETTERS.sub(lambda m: f"a{min(len(m.group()), 9)}", _DIGITS.sub(lambda m: f"\x00{len(m.group())}", value)).replace("\x00", "d")
 
 
+def norm(word: str) -> str:
+    """A word as it stands in patterns: without marks around it, in lower case; very long ones by their hash."""
+    word = word.strip(_EDGE).lower() or word
+    return word if len(word) <= LONG_WORD else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
 def context_patterns(before: list[str], after: str | None) -> list[str]:
-    norm = lambda w: w.strip(_EDGE).lower() or w
+    """Patterns of up to two words before and one after."""
     out = []
     if before:
-        out.append("before:" + norm(before[-1])[:40])
+        out.append("before:" + norm(before[-1]))
     if len(before) > 1:
-        out.append("before2:" + norm(before[-2])[:40] + " " + norm(before[-1])[:40])
+        out.append("before2:" + norm(before[-2]) + " " + norm(before[-1]))
     if after:
-        out.append("after:" + norm(after)[:40])
+        out.append("after:" + norm(after))
     return out
 
 
+def secrets(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the seeds that are no base spans; none overlaps another."""
+    out = sorted([m.span() for m in _SECRET.finditer(text)] + [m.span() for m in _ACCESS.finditer(text)])
+    for m in _ASSIGNED.finditer(text):
+        a, b = m.span(1)
+        k = bisect_left(out, (a, a))
+        if not (k < len(out) and out[k][0] < b) and not (k and out[k - 1][1] > a):
+            out.insert(k, (a, b))
+    return [("secret", a, b) for a, b in out]
+
+
 def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, str, list[str]]]:
     """(start, end, kind or "", value, shape pattern, context patterns) of seeds and other tokens with digits."""
-    seeds = base + [("secret", *m.span()) for m in _SECRET.finditer(text)]
+    seeds = base + secrets(text)
     seeds.sort(key=lambda s: s[1])
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     starts = [t[0] for t in tokens]
+
     def around(start: int, end: int) -> list[str]:
         first, last = bisect_right(starts, start) - 1, bisect_left(starts, end)
         return context_patterns([text[a:b] for a, b in tokens[max(0, first - 2) : first]], text[slice(*tokens[last])] if last < len(tokens) else None)
 
     out = [(a, b, kind, text[a:b].lower(), "shape:" + (kind if kind in ("email", "secret") else shape(text[a:b])), around(a, b)) for kind, a, b in seeds]
-    covered, k = seeds, 0
+    for (a, b), (left, right) in zip(tokens, _free(tokens, seeds, text), strict=True):
+        if left < right and _DIGIT.search(text, a, b):
+            out.append((left, right, "", text[left:right].lower(), "shape:" + shape(text[left:right]), around(a, b)))
+    return out
+
+
+def _free(tokens: list[tuple[int, int]], seeds: list[tuple[str, int, int]], text: str):
+    """(start, end) of each token without the marks around it; an empty span where it overlaps a seed."""
+    k, reach = 0, 0
     for a, b in tokens:
-        if not _DIGIT.search(text, a, b):
-            continue
-        while k < len(covered) and covered[k][2] <= a:
+        while k < len(seeds) and seeds[k][1] < b:
+            reach = max(reach, seeds[k][2])
             k += 1
-        if any(s < b and e > a for _, s, e in covered[k : k + 4]):
-            continue
         raw = text[a:b]
-        left = len(raw) - len(raw.lstrip(_EDGE))
-        value = raw.strip(_EDGE)
-        if value:
-            out.append((a + left, a + left + len(value), "", value.lower(), "shape:" + shape(value), around(a, b)))
-    return out
+        left = a + len(raw) - len(raw.lstrip(_EDGE))
+        yield (left, left) if reach > a else (left, max(left, a + len(raw.rstrip(_EDGE))))
 
 
 _SPAN = "struct<start:int,end:int,kind:string,value:string,shape:string,contexts:array<string>>"
-_SCAN = f"row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found array<{_SPAN}>"
+_SCAN = f"row long, doc_id long, digest binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found array<{_SPAN}>"
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, digest): rows of one id and digest have the same text."""
+    return narrow(docs, id_col, text_col).withColumn("digest", digest(F.col("text")))
+
+
 def scan(rows: DataFrame) -> DataFrame:
     """Base results of each row and the instances in its text."""
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("shape", pa.string()), ("contexts", pa.list_(pa.string()))])
@@ -152,53 +201,194 @@ def scan(rows: DataFrame) -> DataFrame:
         number = (context.partitionId() if context else 0) << 33
         for batch in batches:
             out = []
-            for doc_id, raw in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
+            for doc_id, raw, mark in zip(batch.column(0), texts_of(batch.column(1)), batch.column(2), strict=True):
                 if _MARKED.search(raw):
                     text = raw.decode("utf-8", "replace")
                     base = base_spans(text)
                     counts = [sum(s[0] == k for s in base) for k in BASE_KINDS]
-                    out.append((number, doc_id.as_py(), *counts, hashlib.sha256(listed(base).encode()).hexdigest(), [dict(zip(names, i, strict=True)) for i in instances(text, base)]))
+                    out.append((number, doc_id.as_py(), mark.as_py(), *counts, hashlib.sha256(listed(base).encode()).hexdigest(), [dict(zip(names, i, strict=True)) for i in instances(text, base)]))
                 else:
-                    out.append((number, doc_id.as_py(), 0, 0, 0, 0, nothing, []))
+                    out.append((number, doc_id.as_py(), mark.as_py(), 0, 0, 0, 0, nothing, []))
                 number += 1
-            kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(span)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "found"])
+            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.string(), pa.list_(span)]
+            columns = ["row", "doc_id", "digest", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "found"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names=columns)
 
-    return rows.mapInArrow(run, _SCAN)
+    return rows.select("doc_id", "text", "digest").mapInArrow(run, _SCAN)
 
 
-def score_graph(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, score) of the instances that are no seeds, after ``rounds`` of scoring the graph."""
+def _places(pattern: str) -> list[int]:
+    h = xxhash.xxh3_128_intdigest(pattern)
+    return [h >> FILTER_BITS * k & (1 << FILTER_BITS) - 1 for k in range(FILTER_HASHES)]
+
+
+class Filter:
+    """Whether a pattern may be among those the filter was made of."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __contains__(self, pattern: str) -> bool:
+        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in _places(pattern))
+
+
+def filter_of(patterns: DataFrame) -> np.ndarray:
+    """Bit filter of the ``pattern`` column: two megabytes, however many patterns there are.
+
+    Pairs of words also set the place of their first word, which is what is looked up first.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [p.as_py() for p in batch.column(0)]
+            found += ["first:" + p[8:].split(" ")[0] for p in found if p.startswith("before2:")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array([x for p in found for x in _places(p)], np.int32)), pa.int32())], names=["place"])
+
+    set_bits = patterns.select("pattern").mapInArrow(run, "place int").groupBy(F.expr("place div 8").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, place % 8)")).alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    bits[set_bits["at"].to_numpy()] = set_bits["bits"].to_numpy()
+    return bits
+
+
+class _Known(dict):
+    """What ``find`` says of a key, remembered."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        if len(self) >= CACHE:
+            self.clear()
+        self[key] = found = self.find(key)
+        return found
+
+
+def count_contexts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how many tokens of all texts stand in each context of ``patterns``."""
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(patterns))
+
+    def run(batches):
+        wanted = Filter(shared.value)
+        norms, opens = _Known(norm), _Known(lambda w: "first:" + w in wanted)
+        one, two = {"before:": Counter(), "after:": Counter()}, Counter()
+
+        def hand_on():
+            out = [(k + w, n) for k, c in one.items() for w, n in c.items() if k + w in wanted]
+            out += [(p, n) for p, n in ((f"before2:{a} {b}", n) for (a, b), n in two.items()) if p in wanted]
+            for c in (*one.values(), two):
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["pattern", "total"])
+
+        for batch in batches:
+            for raw in texts_of(batch.column(0)):
+                words = [norms[w] for w in _TOKEN.findall(raw.decode("utf-8", "replace"))]
+                one["before:"].update(words[:-1])
+                one["after:"].update(words[1:])
+                two.update([(a, b) for a, b in zip(words, words[1:-1], strict=False) if opens[a]])
+            if len(one["before:"]) + len(two) > CACHE:
+                yield hand_on()
+        yield hand_on()
+
+    counted = rows.select("text").mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    return counted.join(patterns.select("pattern"), "pattern")
+
+
+def free_instances(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, digest, start, end, value, pattern) of the tokens without digits in contexts of ``patterns``, seeds apart."""
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(patterns))
+    fields = {"doc_id": pa.int64(), "digest": pa.binary(), "start": pa.int32(), "end": pa.int32(), "value": pa.string(), "pattern": pa.string()}
+
+    def run(batches):
+        wanted = Filter(shared.value)
+        norms = _Known(norm)
+        before, after, opens = (_Known(lambda w, k=k: k + w in wanted) for k in ("before:", "after:", "first:"))
+        for batch in batches:
+            out = []
+            for doc_id, raw, mark in zip(batch.column(0), texts_of(batch.column(1)), batch.column(2), strict=True):
+                text = raw.decode("utf-8", "replace")
+                words = [norms[w] for w in _TOKEN.findall(text)]
+                hits: dict[int, list[str]] = {}
+                for i, w in enumerate(words):
+                    if before[w] and i + 1 < len(words):
+                        hits.setdefault(i + 1, []).append("before:" + w)
+                    if after[w] and i:
+                        hits.setdefault(i - 1, []).append("after:" + w)
+                    if opens[w] and i + 2 < len(words) and (p := f"before2:{w} {words[i + 1]}") in wanted:
+                        hits.setdefault(i + 2, []).append(p)
+                if not hits:
+                    continue
+                tokens = [m.span() for m in _TOKEN.finditer(text)]
+                seeds = sorted(base_spans(text) + secrets(text), key=lambda s: s[1]) if _MARKED.search(raw) else []
+                for i, (left, right) in enumerate(_free(tokens, seeds, text)):
+                    if i in hits and left < right and not _DIGIT.search(text, *tokens[i]):
+                        out += [(doc_id.as_py(), mark.as_py(), left, right, text[left:right].lower(), p) for p in hits[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, fields.values(), strict=True)], names=list(fields))
+
+    met = rows.select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, digest binary, start int, end int, value string, pattern string")
+    return met.join(patterns.select("pattern"), "pattern")
+
+
+def induce(rows: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, free): the pattern-instance graph, and the places of instances without digits.
+
+    ``edges``: value, pattern, n (occurrences), seed, total (tokens in the context; null for shapes).
+    """
     seen = scanned.select(F.explode("found").alias("i")).select("i.*")
-    edges = seen.select("value", (F.col("kind") != "").alias("seed"), F.explode(F.concat(F.array("shape"), "contexts")).alias("pattern"))
+    met = seen.select("value", (F.col("kind") != "").alias("seed"), F.explode(F.concat(F.array("shape"), "contexts")).alias("pattern"))
+    met = materialize(met.groupBy("value", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "met")
+    shapes = met.where("pattern LIKE 'shape:%'")
+    contexts = met.where("pattern NOT LIKE 'shape:%'")
+    induced = materialize(contexts.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("filled")).where(F.col("seeds") >= MIN_SEEDS), "induced")
+    totals = materialize(count_contexts(rows, induced).join(induced.select("pattern", "filled"), "pattern"), "totals")
+    likely = totals.where(F.col("filled") >= LIKELY * F.col("total"))
+    free = materialize(free_instances(rows, likely), "free")
+    again = free.groupBy("value", "pattern").agg(F.lit(False).alias("seed"), F.count("*").alias("n"))
+    edges = contexts.unionByName(again).join(totals.select("pattern", "total"), "pattern")
+    return shapes.withColumn("total", F.lit(None).cast("long")).unionByName(edges), free.drop("pattern").distinct()
+
+
+def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(value, score) of the instances that are no seeds, after ``rounds`` of scoring the graph."""
     # the instances of a pattern are dealt out over several tasks, as one pattern may have a third of them
     salt = F.pmod(F.xxhash64("value"), F.lit(SALT)).cast("int").alias("salt")
-    edges = materialize(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")).select("*", salt), "graph")
+    edges = materialize(edges.select("*", salt), "graph")
     # a value that is a seed somewhere is a seed everywhere
     score = edges.groupBy("value").agg(F.max(F.col("seed").cast("int")).cast("double").alias("fixed")).withColumn("score", F.col("fixed"))
     for _ in range(rounds):
-        known = edges.join(score, "value")
-        parts = known.groupBy("pattern", "salt").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
-        confidence = parts.groupBy("pattern").agg((F.sum("s") / (F.sum("n") + HOLD)).alias("conf"))
+        known = edges.join(score.select("value", "score"), "value")
+        parts = known.groupBy("pattern", "salt").agg(F.sum("score").alias("s"), F.count("*").alias("k"), F.sum(F.col("score") * F.col("n")).alias("w"), F.first("total").alias("total"))
+        of_shape, of_context = F.sum("s") / (F.sum("k") + HOLD), F.sum("w") / (F.first("total") + HOLD)
+        confidence = parts.groupBy("pattern").agg(F.coalesce(of_context, of_shape).alias("conf"))
         drawn = edges.join(parts.select("pattern", "salt").join(confidence, "pattern"), ["pattern", "salt"])
-        by_shape = F.max(F.when(F.col("pattern").startswith("shape:"), F.col("conf")))
-        by_context = F.max(F.when(~F.col("pattern").startswith("shape:"), F.col("conf")))
-        again = drawn.groupBy("value").agg(((by_shape * 2 + F.coalesce(by_context, F.lit(0.0))) / 3).alias("new"))
-        score = materialize(score.select("value", "fixed").join(again, "value").select("value", "fixed", F.greatest("fixed", "new").alias("score")), "scores")
-    return score.where("fixed = 0").select("value", "score")
+        by_shape = F.max(F.when(F.col("total").isNull(), F.col("conf")))
+        by_context = F.coalesce(F.max(F.when(F.col("total").isNotNull(), F.col("conf"))), F.lit(0.0))
+        # what contexts say alone doesn't flow back into them: a context can't confirm itself
+        again = drawn.groupBy("value").agg(F.coalesce((by_shape * 2 + by_context) / 3, F.lit(0.0)).alias("new"), (by_context * TRUST).alias("alone"))
+        score = score.select("value", "fixed").join(again, "value").select("value", "fixed", F.greatest("fixed", "new").alias("score"), "alone")
+        score = materialize(score, "scores")
+    return score.where("fixed = 0").select("value", F.greatest("score", "alone").alias("score"))
+
+
+def _extracted(rows: DataFrame, rounds: int, found: float) -> DataFrame:
+    """Per row of ``rows`` (doc_id, text, digest): doc_id, digest, base counts and digest, ``all_spans``."""
+    scanned = materialize(scan(rows), "scanned")
+    edges, free = induce(rows, scanned)
+    new = materialize(score_graph(edges, rounds).where(F.col("score") >= found).select("value"), "new")
+    spots = scanned.select("doc_id", "digest", F.explode("found").alias("i")).select("doc_id", "digest", "i.*")
+    entry = lambda kind: F.struct(F.col("start"), F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int").alias("rank"), F.col("end"), kind.alias("kind"))
+    seeds = spots.where("kind <> ''").select("doc_id", "digest", entry(F.col("kind")).alias("s"))
+    other = spots.where("kind = ''").select("doc_id", "digest", "start", "end", "value").unionByName(free)
+    added = other.join(new, "value", "left_semi").select("doc_id", "digest", entry(F.lit("id")).alias("s"))
+    per_text = seeds.union(added).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("s")).alias("all_spans"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))
+    joined = scanned.drop("found", "row").alias("a").join(per_text.alias("b"), same, "left").select("a.*", "b.all_spans")
+    return joined.withColumn("all_spans", F.coalesce("all_spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, found: float = FOUND) -> DataFrame:
     """Per row: doc_id, base counts and digest, and ``all_spans``: array of (start, rank, end, kind)."""
-    scanned = materialize(scan(narrow(docs, id_col, text_col)), "scanned")
-    new = score_graph(scanned, rounds).where(F.col("score") >= found).select("value")
-    spots = scanned.select("row", F.explode("found").alias("i")).select("row", "i.*")
-    entry = lambda kind: F.struct(F.col("start"), F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int").alias("rank"), F.col("end"), kind.alias("kind"))
-    seeds = spots.where("kind <> ''").select("row", entry(F.col("kind")).alias("s"))
-    added = spots.where("kind = ''").join(new, "value", "left_semi").select("row", entry(F.lit("id")).alias("s"))
-    per_row = seeds.union(added).groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("all_spans"))
-    joined = scanned.drop("found").join(per_row, "row", "left")
-    return joined.withColumn("all_spans", F.coalesce("all_spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))
+    return _extracted(identified(docs, id_col, text_col), rounds, found).drop("digest")
 
 
 def spans_text(spans: Column) -> Column:
@@ -208,11 +398,22 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of a text replaced by its kind in angle brackets; n_chars follows.
 
-    Spans come back by a hash of id and text, so rows of one id with other texts stay apart.
+    Spans come back by id and a 128-bit digest of the text.
     """
-    spans = extract(docs.select(F.xxhash64("doc_id", "text").alias("k"), "text"), "k", "text").where(F.size("all_spans") > 0).select(F.col("doc_id").alias("__k"), "all_spans").dropDuplicates(["__k"])
     names, schema = docs.columns, docs.schema
-    marked = docs.withColumn("__k", F.xxhash64("doc_id", "text")).join(spans, "__k", "left").select(*names, "all_spans")
+    taken = {c.lower() for c in names}
+    fresh = []
+    for name in ("id", "digest", "spans"):
+        while name in taken:
+            name += "_"
+        fresh.append(name)
+        taken.add(name)
+    key, mark, spot = fresh
+    spans = _extracted(identified(docs), ROUNDS, FOUND).where(F.size("all_spans") > 0).dropDuplicates(["doc_id", "digest"])
+    spans = spans.select(F.coalesce("doc_id", F.lit(-1)).alias(key), F.col("digest").alias(mark), F.col("all_spans").alias(spot))
+    # rows without an id meet those of id -1, whose spans are the same where the text is
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(mark, digest(F.col("text")))
+    marked = keyed.join(spans.dropDuplicates([key, mark]), [key, mark], "left").select(*names, spot)
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def clean(text: str | None, spans: list | None) -> str | None:
@@ -240,4 +441,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     rows = extract(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text(F.col("all_spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter("all_spans", lambda s: s["kind"] == kind)).cast("long")
+    return rows.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans_text(F.col("all_spans")).alias("spans"),
+        count("secret").alias("n_secret"), count("id").alias("n_id"), F.size("all_spans").cast("long").alias("n_spans"),
+    )
