@@ -10,7 +10,12 @@ of ``documents``. Every stage works on all rows that the one before it kept:
 * ``pii`` replaces personal data in the texts by their kinds;
 * ``packing`` gives the pieces of all documents and their places in sequences.
 
-Null texts count as empty, and an empty table passes through every stage.
+Null and empty texts have no words, so the rules reject them, like all texts of fewer than 50 words.
+Rows with a null id go through every stage and are never duplicates. Repeated rows are copies: the
+first of them stays. Several texts under one id are told apart. Of copies with equal ids the one
+with the smaller digest stays. Very long texts are read whole by every stage. Further columns stay
+as they are, whatever their names, but ``n_chars``, which follows the text. An empty table passes
+through every stage.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from findweave.llm import near_dedup, packing, pii, quality_classifier, quality_rules
-from findweave.session import materialize
+from findweave.session import drop_materialized, materialize, materialized
 
 #: Documents below this score are rejected; clean documents score far above it.
 MIN_QUALITY = 0.5
@@ -59,10 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of ``documents`` after all stages, each stage's result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces of ``documents`` after all stages, each stage's result written and read again.
+
+    What a stage has written is dropped once its result is, and a result once the next one is.
+    """
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), materialized(spark)
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = materialize(docs, name)
+            drop_materialized(spark, first, keep=1)
     return docs

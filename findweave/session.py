@@ -28,9 +28,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    A fresh folder under /tmp is used only where the session names none, as in tests.
+    A folder under /tmp is used only where the session names none and runs on one machine, as in tests.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder or "file:///tmp/checkpoints"
 
 
@@ -62,10 +64,19 @@ def ship_package(spark: SparkSession) -> None:
     context._findweave_shipped = True
 
 
-def drop_materialized(spark: SparkSession) -> None:
-    """Delete the tables that ``materialize`` has written in this context; read results before."""
+def materialized(spark: SparkSession) -> int:
+    """How many tables ``materialize`` has written in this context and not dropped."""
+    return len(getattr(spark.sparkContext, "_findweave_tables", []))
+
+
+def drop_materialized(spark: SparkSession, first: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``materialize`` has written in this context; read results before.
+
+    Only those after the first ``first``, and not the last ``keep``.
+    """
     context = spark.sparkContext
-    for path in getattr(context, "_findweave_tables", []):
+    tables = getattr(context, "_findweave_tables", [])
+    for path in tables[first : len(tables) - keep]:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    context._findweave_tables = []
+    context._findweave_tables = tables[:first] + tables[max(first, len(tables) - keep) :]
