@@ -643,6 +643,29 @@ def test_pipeline(spark, sf_dir, tmp_path):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+def test_pipeline_on_odd_rows(spark, sf_dir, docs):
+    import corpus_pipeline
+
+    from findweave.session import materialized
+
+    good = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id", "left_semi").where("length(text) > 800 AND text NOT LIKE '%@%'").orderBy("doc_id").limit(3).collect()
+    texts = [r["text"] for r in good]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[0] + " end"), (None, texts[2]), (3, None), (4, ""), (5, texts[2] + " write to a.b@c.example.org"), (6, (texts[1] + "\n") * 300)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, digest string, spans int, shard int")
+    before = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = corpus_pipeline.materialize(stage(spark, before, sf_dir), name)
+        assert before.columns == df.columns
+        got = before.collect()
+        if name == "near_dedup":
+            assert Counter(r["doc_id"] for r in got) == Counter({1: 2, None: 1, 5: 1})
+    assert {r["text"] for r in got if r["doc_id"] == 5} == {texts[2] + " write to <EMAIL>"} and all(r["n_chars"] == len(r["text"]) for r in got)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir).collect()
+    assert {r["doc_id"] for r in pieces} == {1, 5, None}
+    tables = materialized(spark)
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0 and materialized(spark) >= tables
+
+
 def test_packed_numbers_and_strings():
     from findweave.llm import _blocks
 
