@@ -217,19 +217,27 @@ def scan(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "digest").mapInArrow(run, _SCAN)
 
 
+_PLACES = (1 << FILTER_BITS) - 1
+
+
 def _places(pattern: str) -> list[int]:
     h = xxhash.xxh3_128_intdigest(pattern)
-    return [h >> FILTER_BITS * k & (1 << FILTER_BITS) - 1 for k in range(FILTER_HASHES)]
+    return [h >> FILTER_BITS * k & _PLACES for k in range(FILTER_HASHES)]
 
 
 class Filter:
     """Whether a pattern may be among those the filter was made of."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits
+        self.bits = bits.tobytes()
 
     def __contains__(self, pattern: str) -> bool:
-        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in _places(pattern))
+        h = xxhash.xxh3_128_intdigest(pattern)
+        for _ in range(FILTER_HASHES):
+            if not self.bits[(h & _PLACES) >> 3] >> (h & 7) & 1:
+                return False
+            h >>= FILTER_BITS
+        return True
 
 
 def filter_of(patterns: DataFrame) -> np.ndarray:
@@ -270,23 +278,32 @@ def count_contexts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def run(batches):
         wanted = Filter(shared.value)
-        norms, opens = _Known(norm), _Known(lambda w: "first:" + w in wanted)
-        one, two = {"before:": Counter(), "after:": Counter()}, Counter()
+        opens = _Known(lambda w: "first:" + norm(w.decode("utf-8", "replace")) in wanted)
+        words_met, firsts, lasts, two = Counter(), Counter(), Counter(), Counter()
 
         def hand_on():
-            out = [(k + w, n) for k, c in one.items() for w, n in c.items() if k + w in wanted]
-            out += [(p, n) for p, n in ((f"before2:{a} {b}", n) for (a, b), n in two.items()) if p in wanted]
-            for c in (*one.values(), two):
+            out = []
+            for raw, n in words_met.items():
+                w = norm(raw.decode("utf-8", "replace"))
+                # the last word of a text stands before nothing, the first after nothing
+                out += [(p, n - ends[raw]) for p, ends in (("before:" + w, lasts), ("after:" + w, firsts)) if p in wanted]
+            for (a, b), n in two.items():
+                p = f"before2:{norm(a.decode('utf-8', 'replace'))} {norm(b.decode('utf-8', 'replace'))}"
+                if p in wanted:
+                    out.append((p, n))
+            for c in (words_met, firsts, lasts, two):
                 c.clear()
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["pattern", "total"])
 
         for batch in batches:
             for raw in texts_of(batch.column(0)):
-                words = [norms[w] for w in _TOKEN.findall(raw.decode("utf-8", "replace"))]
-                one["before:"].update(words[:-1])
-                one["after:"].update(words[1:])
-                two.update([(a, b) for a, b in zip(words, words[1:-1], strict=False) if opens[a]])
-            if len(one["before:"]) + len(two) > CACHE:
+                words = raw.split()
+                if words:
+                    words_met.update(words)
+                    firsts[words[0]] += 1
+                    lasts[words[-1]] += 1
+                    two.update([(w, words[i + 1]) for i, w in enumerate(words[:-2]) if opens[w]])
+            if len(words_met) + len(two) > CACHE:
                 yield hand_on()
         yield hand_on()
 
@@ -301,23 +318,25 @@ def free_instances(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def run(batches):
         wanted = Filter(shared.value)
-        norms = _Known(norm)
-        before, after, opens = (_Known(lambda w, k=k: k + w in wanted) for k in ("before:", "after:", "first:"))
+        starts = ("before:", "after:", "first:")
+        norms = _Known(lambda w: norm(w.decode("utf-8", "replace")))
+        flags = _Known(lambda w: sum((k + norms[w] in wanted) << n for n, k in enumerate(starts)))
         for batch in batches:
             out = []
             for doc_id, raw, mark in zip(batch.column(0), texts_of(batch.column(1)), batch.column(2), strict=True):
-                text = raw.decode("utf-8", "replace")
-                words = [norms[w] for w in _TOKEN.findall(text)]
+                words = raw.split()
                 hits: dict[int, list[str]] = {}
-                for i, w in enumerate(words):
-                    if before[w] and i + 1 < len(words):
+                for i, flag in [(i, flag) for i, w in enumerate(words) if (flag := flags[w])]:
+                    w = norms[words[i]]
+                    if flag & 1 and i + 1 < len(words):
                         hits.setdefault(i + 1, []).append("before:" + w)
-                    if after[w] and i:
+                    if flag & 2 and i:
                         hits.setdefault(i - 1, []).append("after:" + w)
-                    if opens[w] and i + 2 < len(words) and (p := f"before2:{w} {words[i + 1]}") in wanted:
+                    if flag & 4 and i + 2 < len(words) and (p := f"before2:{w} {norms[words[i + 1]]}") in wanted:
                         hits.setdefault(i + 2, []).append(p)
                 if not hits:
                     continue
+                text = raw.decode("utf-8", "replace")
                 tokens = [m.span() for m in _TOKEN.finditer(text)]
                 seeds = sorted(base_spans(text) + secrets(text), key=lambda s: s[1]) if _MARKED.search(raw) else []
                 for i, (left, right) in enumerate(_free(tokens, seeds, text)):
