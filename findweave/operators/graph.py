@@ -11,17 +11,19 @@ from findweave.operators.ranking import capped
 from findweave.session import materialize
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a_id", b: str = "b_id", rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a_id", b: str = "b_id") -> DataFrame:
     """(node, root): the smallest id of each node's component.
 
     Labels spread along edges and then jump to their label's label, so the number of rounds grows
-    with the logarithm of a component's diameter. Each round is written to the shared folder.
+    with the logarithm of a component's diameter; rounds go on until no label changes. Each round is
+    written to the shared folder.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = materialize(both.union(both.select("v", "u")).distinct(), "edges")
     touched = both.select(F.col("u").alias(node)).distinct()
     labels = touched.withColumn("root", F.col(node))
-    for _ in range(rounds):
+    changed = True
+    while changed:
         low = both.join(labels.select(F.col(node).alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("low"))
         near = labels.join(low.withColumnRenamed("u", node), node, "left").select(node, F.least("root", F.coalesce("low", "root")).alias("next"), F.col("root").alias("old"))
         jump = near.select(F.col(node).alias("next"), F.col("next").alias("far"))
@@ -29,8 +31,6 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a
         after = materialize(after, "labels")
         changed = not after.where("root <> old").isEmpty()
         labels = after.select(node, "root")
-        if not changed:
-            break
     return nodes.select(node).join(labels, node, "left").select(node, F.coalesce("root", node).alias("root"))
 
 

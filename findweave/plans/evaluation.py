@@ -25,13 +25,13 @@ def outcomes(spark, d: str) -> DataFrame:
 
 
 def missed(spark, d: str) -> DataFrame:
-    """Expectations without a prediction: every seventeenth document without a label."""
+    """Expectations without a prediction: documents without a label."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias("category"), "source")
-    return matching.unmatched(docs.where("doc_id % 17 = 0"), spark.read.parquet(f"{d}/labels.parquet"), ["doc_id"])
+    return matching.unmatched(docs, spark.read.parquet(f"{d}/labels.parquet"), ["doc_id"])
 
 
 OUT = """o AS (SELECT doc_id, lang AS category, source, quality, CASE WHEN quality = 1 AND toxic = 1 THEN 'duplicate' WHEN quality = 1 THEN 'true_positive' WHEN toxic = 1 THEN 'unsupported' ELSE 'false_positive' END AS outcome FROM labels JOIN documents USING (doc_id)),
-m AS (SELECT doc_id, lang AS category, source FROM documents WHERE doc_id % 17 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels))"""
+m AS (SELECT doc_id, lang AS category, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"""
 COUNTS = ", ".join(f"count(*) FILTER (outcome = '{x}') AS {x}" for x in metrics.OUTCOMES)
 PRF = "true_positive / (true_positive + false_positive)"
 
@@ -57,15 +57,29 @@ def severity_calibration(spark, d):
 def greedy_assign(spark, d):
     """Documents that quote a benchmark item, each assigned to the first item; the first document of an item is the hit.
 
-    The quoted passages are found by their first five words, which keeps the join an equi-join.
+    A passage may begin and end inside a word, so it is looked up by up to four of its words after
+    the first and before the last, which must stand whole in the text; one of one or two words by
+    its letters. Only ids and these keys are joined; texts come in for the hits.
     """
     squeezed = lambda t: normalized(F.col(t))
     items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", squeezed("text").alias("passage"))
-    items = items.withColumn("key", F.array_join(F.slice(F.split("passage", " "), 1, 5), " "))
+    n = F.size(F.split("passage", " "))
+    inner = F.least(n - 2, F.lit(4))
+    items = items.where("passage <> ''").withColumn("size", F.greatest(inner, F.lit(0))).withColumn("key", F.when(inner > 0, F.array_join(F.slice(F.split("passage", " "), F.lit(2), F.greatest(inner, F.lit(1))), " ")))
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", squeezed("text").alias("t"))
-    words = docs.withColumn("w", F.split("t", " "))
-    grams = words.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("key"))
-    met = grams.join(items, "key").where(F.contains("t", "passage")).select(F.lit(0).alias("case_id"), "item_id", "doc_id").distinct()
+    sizes = [r["size"] for r in items.select("size").where("size > 0").distinct().collect()]  # four at most
+    words = docs.select("doc_id", F.split("t", " ").alias("w"))
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " "))
+    keyed = words.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("key")) if sizes else None
+    pairs = [keyed.join(items.where("size > 0").select("item_id", "key"), "key").select("doc_id", "item_id").distinct()] if sizes else []
+    short = items.where("size = 0").select("item_id", "passage")
+    letters = words.select("doc_id", F.explode(F.array_distinct("w")).alias("word")).join(short.select("item_id", F.substring_index("passage", " ", 1).alias("head")), F.expr("right(word, length(head)) = head OR contains(word, head)"))
+    if not short.isEmpty():
+        pairs.append(letters.select("doc_id", "item_id").distinct())
+    if not pairs:
+        return spark.createDataFrame([], "item_id long, doc_id long, outcome string")
+    found = pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1])
+    met = found.join(items.select("item_id", "passage"), "item_id").join(docs, "doc_id").where(F.contains("t", "passage")).select(F.lit(0).alias("case_id"), "item_id", "doc_id")
     return matching.greedy_assign(met, ["case_id"], "item_id", "doc_id").select("item_id", "doc_id", "outcome")
 
 

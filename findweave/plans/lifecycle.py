@@ -43,9 +43,9 @@ def reconcile(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     c = F.col("doc_id")
     severity = F.get(F.array(*map(F.lit, ("low", "medium", "high"))), (c % 3).cast("int"))
-    memory = docs.where("doc_id % 2 = 0").select(c.alias("symbol_id"), (c % 4 != 0).alias("evidence_holds"), F.col("lang").alias("category"), severity.alias("severity"), F.substring("text", 1, 20).alias("message"))
+    memory = docs.select(c.alias("symbol_id"), (c % 4 != 0).alias("evidence_holds"), F.col("lang").alias("category"), severity.alias("severity"), F.col("text").alias("message"))
     prior = snap.before_review(memory, continuity(spark, d)).withColumn("subject", F.col("symbol_id"))
-    current = docs.where("doc_id % 3 = 0").select(c.alias("id"), c.alias("subject"), F.col("lang").alias("category"), F.when(c % 5 == 0, F.lit("critical")).otherwise(severity).alias("severity"), F.substring("text", 1, 20).alias("message"))
+    current = docs.select(c.alias("id"), c.alias("subject"), F.col("lang").alias("category"), F.when(c % 5 == 0, F.lit("critical")).otherwise(severity).alias("severity"), F.col("text").alias("message"))
     return snap.after_review(prior, current).select("symbol_id", "disposition", "reason", "state")
 
 
@@ -70,8 +70,8 @@ def attribution(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     c = F.col("doc_id")
     side = lambda n: F.when(c % n != 0, F.col("lang"))
-    left = docs.where("doc_id % 4 <> 0").select(c.alias("comment_id"), F.md5(F.substring("text", 1, 40).cast("binary")).alias("hash"), side(5).alias("side"))
-    right = docs.where("doc_id % 4 <> 1").select(c.alias("publication_id"), F.md5(F.substring("text", 1, 40).cast("binary")).alias("r_hash"), side(5).alias("r_side"))
+    left = docs.where("doc_id % 4 <> 0").select(c.alias("comment_id"), F.md5(F.col("text").cast("binary")).alias("hash"), side(5).alias("side"))
+    right = docs.where("doc_id % 4 <> 1").select(c.alias("publication_id"), F.md5(F.col("text").cast("binary")).alias("r_hash"), side(5).alias("r_side"))
     return matching.unique_on_both(left, right, [("hash", "r_hash"), ("side", "r_side")], ["hash"]).select("comment_id", "publication_id")
 
 
@@ -122,15 +122,15 @@ QUERIES = {
 
 ORACLES = {
     "snapshot_continuity": f"WITH {SYMBOLS} SELECT * FROM ct",
-    "lifecycle_reconcile": f"""WITH {SYMBOLS}, me AS (SELECT doc_id AS symbol_id, doc_id % 4 <> 0 AS ev, lang AS category, ['low', 'medium', 'high'][doc_id % 3 + 1] AS sev, left(text, 20) AS message FROM documents WHERE doc_id % 2 = 0),
+    "lifecycle_reconcile": f"""WITH {SYMBOLS}, me AS (SELECT doc_id AS symbol_id, doc_id % 4 <> 0 AS ev, lang AS category, ['low', 'medium', 'high'][doc_id % 3 + 1] AS sev, text AS message FROM documents),
 b AS (SELECT me.*, status, CASE WHEN status = 'deleted' THEN 'resolved' WHEN status IN ('unchanged', 'moved', 'renamed') AND ev THEN 'carry_forward' ELSE 'recheck' END AS disposition, CASE WHEN status IS NULL THEN 'no_continuity' WHEN status IN ('unchanged', 'moved', 'renamed') AND NOT ev THEN 'evidence_lost' ELSE 'symbol_' || status END AS reason FROM me LEFT JOIN ct ON prev_id = symbol_id),
-n AS (SELECT doc_id AS subject, lang AS category, CASE WHEN doc_id % 5 = 0 THEN 'critical' ELSE ['low', 'medium', 'high'][doc_id % 3 + 1] END AS sev, left(text, 20) AS message FROM documents WHERE doc_id % 3 = 0)
+n AS (SELECT doc_id AS subject, lang AS category, CASE WHEN doc_id % 5 = 0 THEN 'critical' ELSE ['low', 'medium', 'high'][doc_id % 3 + 1] END AS sev, text AS message FROM documents)
 SELECT symbol_id, disposition, reason, CASE WHEN disposition = 'resolved' THEN 'resolved' WHEN n.subject IS NULL THEN CASE WHEN disposition = 'carry_forward' THEN 'carried_forward' ELSE 'resolved' END WHEN n.sev = b.sev AND n.message = b.message THEN 'carried_forward' ELSE 'changed' END AS state
 FROM b LEFT JOIN n ON subject = symbol_id AND n.category = b.category""",
     "supersede_latest_family": "WITH x AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) AS superseded_by FROM documents) SELECT *, CASE WHEN superseded_by IS NULL THEN 'live' ELSE 'superseded' END AS state FROM x",
     "latest_version_activation": "SELECT o_custkey % 97 AS repo, max(o_orderkey) FILTER (o_orderstatus = 'O') AS active_version, coalesce(max(o_orderkey), 0) + 1 AS next_version FROM orders GROUP BY 1",
     "cache_miss_anti": "WITH k AS (SELECT doc_id, md5(text) AS hash, lang FROM documents) SELECT min(doc_id) AS doc_id, hash FROM k WHERE (hash, lang) NOT IN (SELECT hash, lang FROM k WHERE doc_id % 3 = 0) GROUP BY hash, lang",
-    "attribution_unique_both": """WITH k AS (SELECT doc_id, md5(left(text, 40)) AS h, CASE WHEN doc_id % 5 <> 0 THEN lang END AS s FROM documents), l AS (SELECT * FROM k WHERE doc_id % 4 <> 0 QUALIFY count(*) OVER (PARTITION BY h, s) = 1), r AS (SELECT * FROM k WHERE doc_id % 4 <> 1 QUALIFY count(*) OVER (PARTITION BY h, s) = 1)
+    "attribution_unique_both": """WITH k AS (SELECT doc_id, md5(text) AS h, CASE WHEN doc_id % 5 <> 0 THEN lang END AS s FROM documents), l AS (SELECT * FROM k WHERE doc_id % 4 <> 0 QUALIFY count(*) OVER (PARTITION BY h, s) = 1), r AS (SELECT * FROM k WHERE doc_id % 4 <> 1 QUALIFY count(*) OVER (PARTITION BY h, s) = 1)
 SELECT l.doc_id AS comment_id, r.doc_id AS publication_id FROM l JOIN r ON l.h = r.h AND l.s IS NOT DISTINCT FROM r.s""",
     "tiered_resolution": """WITH c AS (SELECT *, c_custkey % 7 AS m, c_custkey % 29 AS mm FROM customer JOIN nation ON n_nationkey = c_nationkey), s AS (SELECT *, s_suppkey % 7 AS m, s_suppkey % 29 AS mm FROM supplier JOIN nation ON n_nationkey = s_nationkey),
 a AS (SELECT s_nationkey AS nk, m, count(*) AS n, min(s_suppkey) AS id FROM s GROUP BY 1, 2), b AS (SELECT n_regionkey AS rk, mm, count(*) AS n, min(s_suppkey) AS id FROM s GROUP BY 1, 2)

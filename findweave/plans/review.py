@@ -133,14 +133,14 @@ def token_estimates(spark, d):
 
 
 def ruff_findings(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 500")
+    p = spark.read.parquet(f"{d}/part.parquet")
     code = F.when(F.col("p_partkey") % 10 == 0, F.lit("null")).otherwise(F.concat(F.lit('"'), F.get(F.array(*[F.lit(x) for x in ("F401", "S105", "E722", "UP006")]), (F.col("p_partkey") % 4).cast("int")), F.lit('"')))
     report = F.concat(F.lit('[{"code": '), code, F.lit(', "filename": "a.py", "message": "m", "name": "n", "location": {"row": '), F.col("p_size").cast("string"), F.lit(', "column": 1}, "end_location": {"row": '), (F.col("p_size") + 1).cast("string"), F.lit(', "column": 9}}]'))
     return reports.ruff(p.select(F.col("p_partkey").alias("run_id"), report.alias("report"))).select("run_id", "rule_id", "category", "severity", "start_line", "end_line")
 
 
 def clang_findings(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 500")
+    p = spark.read.parquet(f"{d}/part.parquet")
     report = F.concat(F.lit("src/a.c:"), F.col("p_size").cast("string"), F.lit(":7: warning: use after move [bugprone-use-after-move]\n  x = y;\n  ^\nsrc/a.c:9:1: note: here\nsrc/b.c:3:2: error: broken"))
     return reports.clang_tidy(p.select(F.col("p_partkey").alias("run_id"), report.alias("report"))).select("run_id", "rule_id", "category", "severity", "file_path", "start_line", "message")
 
@@ -181,8 +181,8 @@ y AS (SELECT id, target, pr, greatest(0, round([1.0, 0.55, 0.5, 0.5, 0.45, 0.3,
 SELECT target, id, score FROM y QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, pr, id) <= 3""",
     "redact_secrets": r"""SELECT doc_id, md5(regexp_replace(text, '(?i)(\btoken = ")([0-9a-f]{40})(")', '\1[REDACTED]\3', 'g')) AS digest FROM documents""",
     "token_estimates": "SELECT lang, sum((n_chars + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY 1",
-    "ruff_findings": "SELECT p_partkey AS run_id, ['F401', 'S105', 'E722', 'UP006'][p_partkey % 4 + 1] AS rule_id, ['correctness', 'security', 'correctness', 'maintainability'][p_partkey % 4 + 1] AS category, ['medium', 'high', 'medium', 'low'][p_partkey % 4 + 1] AS severity, p_size AS start_line, p_size + 1 AS end_line FROM part WHERE p_partkey <= 500 AND p_partkey % 10 <> 0",
-    "clang_findings": "SELECT p_partkey AS run_id, unnest(['bugprone-use-after-move', 'clang-tidy']) AS rule_id, unnest(['memory_safety', 'unknown']) AS category, unnest(['medium', 'high']) AS severity, unnest(['src/a.c', 'src/b.c']) AS file_path, unnest([p_size, 3])::INT AS start_line, unnest(['use after move', 'broken']) AS message FROM part WHERE p_partkey <= 500",
+    "ruff_findings": "SELECT p_partkey AS run_id, ['F401', 'S105', 'E722', 'UP006'][p_partkey % 4 + 1] AS rule_id, ['correctness', 'security', 'correctness', 'maintainability'][p_partkey % 4 + 1] AS category, ['medium', 'high', 'medium', 'low'][p_partkey % 4 + 1] AS severity, p_size AS start_line, p_size + 1 AS end_line FROM part WHERE p_partkey % 10 <> 0",
+    "clang_findings": "SELECT p_partkey AS run_id, unnest(['bugprone-use-after-move', 'clang-tidy']) AS rule_id, unnest(['memory_safety', 'unknown']) AS category, unnest(['medium', 'high']) AS severity, unnest(['src/a.c', 'src/b.c']) AS file_path, unnest([p_size, 3])::INT AS start_line, unnest(['use after move', 'broken']) AS message FROM part",
     "run_statuses": "WITH x AS (SELECT o_custkey % 500 AS run, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 3 <> 0) AS reviewed, count(*) FILTER (o_orderstatus = 'F') AS failed FROM orders GROUP BY 1) SELECT *, CASE WHEN reviewed = 0 AND failed > 0 THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'succeeded' END AS run_status FROM x",
     "publication_gates": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'already_published' WHEN o_orderkey % 4 = 1 AND o_custkey % 10 < 5 THEN 'in_progress_elsewhere' WHEN o_orderkey % 4 = 1 THEN 'reconcile_needed' WHEN o_custkey % 3 <> 1 THEN 'stale' WHEN o_custkey % 5 = 0 THEN 'skipped' ELSE 'new' END AS gate FROM orders",
 }

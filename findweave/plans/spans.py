@@ -48,9 +48,11 @@ def innermost(spark, d):
 
 
 def changed_flags(spark, d):
-    s = iv.touched(spans(spark, d), lines(spark, d), ["file"], "id", "start", "end", "line", "in_changed_symbol")
-    first = s.join(lines(spark, d), "file", "left").withColumn("on_changed_line", F.coalesce(F.col("start") == F.col("line"), F.lit(False)))
-    return first.select("id", "on_changed_line", "in_changed_symbol")
+    """Does a changed line fall on a span's first line, and does one fall into it? Three lines of a file change."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    many = o.select(F.col("o_orderkey").alias("file"), F.explode(F.array(F.col("o_custkey") % 24, F.col("o_custkey") % 11 + 3, F.col("o_custkey") % 24)).alias("line"))
+    s = iv.touched(spans(spark, d), many, ["file"], "id", "start", "end", "line", "in_changed_symbol")
+    return iv.touched(s, many, ["file"], "id", "start", "start", "line", "on_changed_line").select("id", "on_changed_line", "in_changed_symbol")
 
 
 def greedy(spark, d):
@@ -132,7 +134,8 @@ ORACLES = {
     "interval_components": f"""WITH {SPANS}, m AS (SELECT *, max("end") OVER (PARTITION BY file, category ORDER BY "start", "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
 g AS (SELECT *, sum((before IS NULL OR "start" > before)::INT) OVER (PARTITION BY file, category ORDER BY "start", "end", id) AS grp FROM m) SELECT id, min(id) OVER (PARTITION BY file, category, grp) AS root FROM g""",
     "innermost_containing": f"""WITH {SPANS}, {LINES} SELECT file, line, (SELECT arg_min(id, ("end" - "start", "start", id)) FROM s WHERE s.file = ch.file AND ch.line BETWEEN s."start" AND s."end") AS innermost_id FROM ch""",
-    "changed_flags": f"""WITH {SPANS}, {LINES} SELECT id, coalesce("start" = line, false) AS on_changed_line, coalesce(line BETWEEN "start" AND "end", false) AS in_changed_symbol FROM s LEFT JOIN ch USING (file)""",
+    "changed_flags": f"""WITH {SPANS}, ch AS (SELECT o_orderkey AS file, unnest([o_custkey % 24, o_custkey % 11 + 3]) AS line FROM orders)
+SELECT id, coalesce(bool_or("start" = line), false) AS on_changed_line, coalesce(bool_or(line BETWEEN "start" AND "end"), false) AS in_changed_symbol FROM s LEFT JOIN ch USING (file) GROUP BY id""",
     "greedy_interval_dedup": f"""WITH RECURSIVE {SPANS}, o AS (SELECT *, row_number() OVER (PARTITION BY file, category ORDER BY "start", -price, id) AS r FROM s),
 w AS (SELECT file, category, id, "start", "end", r, true AS kept, "end" AS last FROM o WHERE r = 1 UNION ALL SELECT o.file, o.category, o.id, o."start", o."end", o.r, o."start" > w.last, CASE WHEN o."start" > w.last THEN o."end" ELSE w.last END FROM w JOIN o ON o.file = w.file AND o.category = w.category AND o.r = w.r + 1)
 SELECT file, category, id, "start", "end" FROM w WHERE kept""",

@@ -105,8 +105,12 @@ def c_functions(files: DataFrame) -> DataFrame:
     No C parser is at hand: macros, templates over several lines and K&R heads are not seen.
     """
     text = F.decode("content", "utf-8")
-    found = files.select("relative_path", text.alias("text")).select("relative_path", "text", F.posexplode(F.regexp_extract_all("text", F.lit(_C_FUNCTION), F.lit(0))).alias("pos", "head"))
-    line = F.size(F.split(F.expr("substring(text, 1, locate(head, text))"), "\n"))
+    heads = files.select("relative_path", text.alias("text")).withColumn("heads", F.regexp_extract_all("text", F.lit(_C_FUNCTION), F.lit(0)))
+    # heads don't overlap, so each is looked for behind the end of the one before it
+    at = F.aggregate("heads", F.array(F.lit(0)), lambda done, head: F.concat(done, F.array(F.call_function("locate", head, F.col("text"), F.element_at(done, -1) + 1) + F.length(head) - 1)))
+    found = heads.select("relative_path", "text", F.posexplode("heads").alias("pos", "head"), at.alias("ends"))
+    start = F.get("ends", F.col("pos") + 1) - F.length("head") + 1
+    line = F.size(F.split(F.substring(F.col("text"), F.lit(1), start), "\n"))
     return found.select("relative_path", F.regexp_extract("head", _C_FUNCTION, 1).alias("qualified_name"), line.alias("start_line"))
 
 
