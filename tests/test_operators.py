@@ -161,3 +161,46 @@ def test_context_items(spark):
     rows = [(1, "target_symbol", True, True, 1, "style", "f", 1, 9, "s", "x"), (1, "sibling_symbol", True, False, 1, "style", "f", 1, 9, "s", "x")]
     df = spark.createDataFrame(rows, "t int, relationship string, same_file boolean, changed boolean, distance int, category string, file string, start int, end int, symbol string, kind string")
     assert [(r["relationship"], r["verdict"]) for r in review.context_items(df, ["t"]).orderBy("ord").collect()] == [("target_symbol", "kept"), ("sibling_symbol", "duplicate")]
+
+
+def test_repeated_heads_keep_their_lines(spark):
+    from findweave.sources.repository import c_functions
+
+    code = b"int f(int a) {\n  return a;\n}\n\n#ifdef X\nint f(int a) {\n  return -a;\n}\n#endif\nvoid N::g() {\n}\n"
+    df = spark.createDataFrame([("a.c", bytearray(code)), ("b.c", bytearray(b""))], "relative_path string, content binary")
+    got = sorted((r["qualified_name"], r["start_line"]) for r in c_functions(df).collect())
+    assert got == [("N::g", 10), ("f", 1), ("f", 6)]
+
+
+def test_components_of_a_long_chain(spark):
+    from findweave.operators.graph import components
+
+    n = 3000
+    nodes = spark.range(n)
+    edges = nodes.where(f"id < {n - 1}").selectExpr("id AS a_id", "id + 1 AS b_id").where("a_id <> 1500")
+    got = components(nodes, edges).groupBy("root").count().collect()
+    assert {(r["root"], r["count"]) for r in got} == {(0, 1501), (1501, n - 1501)}
+
+
+def test_truth_matching_closed_form(spark):
+    """Greedy service of expectations in order against the closed form, on random cases."""
+    import random
+
+    from findweave.operators import matching, truth
+
+    rng, symbols, rows, want = random.Random(3), (None, "f", "A.f", "B::f"), ([], []), set()
+    for case in range(60):
+        exp = [(case, k, "x", "c", rng.choice(symbols[:3]), rng.choice((None, 5, 9)), rng.choice((None, 12)), rng.choice((0, 2)), rng.choice((None, "Bad  Thing"))) for k in range(3)]
+        pred = [(case, k, "x", rng.choice("cd"), rng.choice(symbols), s := rng.randint(1, 14), s + 1, rng.choice((None, "a bad")), "thing ") for k in range(4)]
+        rows[0].extend(exp)
+        rows[1].extend(pred)
+        free = set(range(4))
+        for _, k, _, cat, sym, line, last, tol, ev in exp:
+            fits = [i for i in sorted(free) if pred[i][3] == cat and (sym is None or (pred[i][4] is not None and (pred[i][4] == sym or pred[i][4].endswith(("." + sym, "::" + sym)))))
+                    and (line is None or not (pred[i][6] < line - tol or pred[i][5] > (last or line) + tol)) and (ev is None or pred[i][7] is not None)]
+            want |= {(case, k, i, "true_positive" if n == 0 else "duplicate") for n, i in enumerate(fits)}
+            free -= set(fits)
+    e = spark.createDataFrame(rows[0], "case_id int, exp_ord int, file string, category string, symbol string, line int, line_end int, line_tolerance int, evidence string")
+    p = spark.createDataFrame(rows[1], "case_id int, pred_idx int, file string, category string, symbol string, start int, end int, evidence_text string, message string")
+    got = matching.greedy_assign(truth.truth_matches(e, p), ["case_id"], "exp_ord", "pred_idx")
+    assert {(r["case_id"], r["exp_ord"], r["pred_idx"], r["outcome"]) for r in got.collect()} == want
