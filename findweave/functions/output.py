@@ -50,5 +50,7 @@ def config_fingerprint(config: dict) -> str:
 
 
 def folder_fingerprint(files: DataFrame) -> DataFrame:
-    """One hash over all files (path, sha256), in path order."""
-    return files.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "sha256"))), lambda f: F.concat_ws("\x1f", f["path"], f["sha256"])), "\n"), 256).alias("fingerprint"))
+    """One hash over all files (path, sha256): first over those of each prefix of the path's hash, then over these."""
+    entry = F.transform(F.sort_array(F.collect_list(F.struct("path", "sha256"))), lambda f: F.concat_ws("\x1f", f["path"], f["sha256"]))
+    parts = files.groupBy(F.substring(F.sha2("path", 256), 1, 3).alias("part")).agg(F.sha2(F.array_join(entry, "\n"), 256).alias("hash"))
+    return parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("part", "hash")))["hash"], "\n"), 256).alias("fingerprint"))

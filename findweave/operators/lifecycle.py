@@ -88,8 +88,7 @@ def by_variant(results: DataFrame, variant: str, measures: Sequence[str]) -> Dat
     return results.groupBy(variant).agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in measures])
 
 
-def publication_plan(findings: DataFrame, order: Sequence[Column], max_inline: int, max_summary: int, head: str, reviewed_head: str) -> DataFrame:
-    """Dispositions of a run's findings; stale if the head moved on since the review."""
-    if head != reviewed_head:
-        return findings.withColumn("disposition", F.lit("stale"))
-    return partition_ranked(findings.withColumn("__all", F.lit(0)), ["__all"], order, F.col("line").isNotNull(), max_inline, max_summary, F.col("already_reported")).drop("__all")
+def publication_plan(findings: DataFrame, order: Sequence[Column], max_inline: int, max_summary: int, head: str | Column, reviewed_head: str | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Dispositions of each run's findings (without ``keys``, of one run); stale if the head moved on since the review."""
+    ranked = partition_ranked(findings.withColumn("__all", F.lit(0)), [*keys, "__all"], order, F.col("line").isNotNull(), max_inline, max_summary, F.col("already_reported")).drop("__all")
+    return ranked.withColumn("disposition", F.when(~F.lit(head).eqNullSafe(F.lit(reviewed_head)), F.lit("stale")).otherwise(F.col("disposition")))

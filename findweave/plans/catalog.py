@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from findweave.plans import code, evaluation, feedback, lifecycle, review, spans, truth
+from findweave.plans import code, evaluation, feedback, lifecycle, records, review, spans, truth
 
-_MODULES = (feedback, evaluation, spans, lifecycle, review, code, truth)
+_MODULES = (feedback, evaluation, spans, lifecycle, review, code, truth, records)
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

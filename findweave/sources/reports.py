@@ -44,19 +44,22 @@ def semgrep(reports: DataFrame) -> DataFrame:
     ))
 
 
+_CPPCHECK = "errors struct<error: array<struct<_id: string, _severity: string, _msg: string, _cwe: string, location: array<struct<_file: string, _line: int, _column: int>>>>>"
+
+
 def cppcheck(reports: DataFrame) -> DataFrame:
-    """XML reports (version 2): the first location of each error; errors without one are dropped."""
+    """XML reports (version 2): the first location of each error; errors without one are dropped.
+
+    A report that isn't well-formed XML gives nothing.
+    """
     c = F.col
-    errors = F.filter(F.split(c("report"), "(?=<error )"), lambda x: x.startswith("<error "))
-    rows = reports.select("run_id", F.explode(errors).alias("e"))
-    attribute = lambda text, name: F.nullif(F.regexp_extract(text, rf'\b{name}="([^"]*)"', 1), F.lit(""))
-    rows = rows.withColumn("head", F.regexp_extract("e", r"^<error [^>]*>", 0)).withColumn("loc", F.regexp_extract(F.substring_index("e", "</error>", 1), r"<location [^>]*>", 0)).where("loc <> ''")
-    unescaped = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    line, column = attribute(c("loc"), "line").cast("int"), F.coalesce(attribute(c("loc"), "column").cast("int"), F.lit(0))
+    parsed = F.from_xml("report", _CPPCHECK, {"ignoreSurroundingSpaces": "false"})
+    rows = reports.select("run_id", F.inline(parsed["errors"]["error"])).withColumn("l", F.get("location", F.lit(0))).where("l IS NOT NULL")
+    column = F.coalesce("l._column", F.lit(0))
     return rows.select(*_finding(
-        "cppcheck", rule_id=attribute(c("head"), "id"), category=rules.cppcheck_category(attribute(c("head"), "id")), severity=looked_up(attribute(c("head"), "severity"), rules.CPPCHECK_SEVERITIES, "medium"),
-        confidence=F.lit("medium"), title=attribute(c("head"), "id"), message=unescaped(attribute(c("head"), "msg")), file_path=unescaped(attribute(c("loc"), "file")),
-        start_line=line, end_line=line, start_column=column, end_column=column, cwe=attribute(c("head"), "cwe"),
+        "cppcheck", rule_id=c("_id"), category=rules.cppcheck_category(c("_id")), severity=looked_up(c("_severity"), rules.CPPCHECK_SEVERITIES, "medium"),
+        confidence=F.lit("medium"), title=c("_id"), message=c("_msg"), file_path=c("l._file"),
+        start_line=c("l._line"), end_line=c("l._line"), start_column=column, end_column=column, cwe=c("_cwe"),
     ))
 
 
