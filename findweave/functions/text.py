@@ -84,17 +84,31 @@ def masked_url(text: Column) -> Column:
     return F.regexp_replace(text, r"(https?://)[^/@\s]+@", "$1***@")
 
 
+#: Fixed value: what ends a line of source text.
+LINE_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+
+
+def split_lines(content: Column) -> Column:
+    """The lines of a text; a final line break ends the last line, and an empty text has none."""
+    parts = F.split(content, LINE_BREAKS)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def range_lines(lines: Column, start: Column, end: Column) -> Column:
+    """The lines of a range, cut at the end of the file; null if the range doesn't begin in the file."""
+    inside = (start >= 1) & (start <= F.size(lines)) & (end >= start)
+    return F.when(inside, F.slice(lines, start, F.least(end, F.size(lines)) - start + 1))
+
+
 def window_lines(content: Column, start: Column, end: Column, max_lines: int, anchor: Column | None = None) -> Column:
     """(start, end, text, truncated) of a line range cut to ``max_lines`` around the anchor.
 
-    Lines split at "\\n"; a final line break ends the last line.
+    Null if the range doesn't begin in the text.
     """
-    lines = F.split(F.regexp_replace(content, r"\n\z", ""), "\n")
-    total = F.size(lines)
-    lo, hi = F.greatest(F.lit(1), start), F.least(end, total)
-    at = F.coalesce(anchor, lo) if anchor is not None else lo
-    first = F.greatest(lo, at - F.lit(max_lines // 2))
-    first = F.greatest(lo, F.least(first, hi - F.lit(max_lines - 1)))
-    long = hi - lo + 1 > max_lines
-    a, b = F.when(long, first).otherwise(lo), F.when(long, first + F.lit(max_lines - 1)).otherwise(hi)
-    return F.when((a <= b) & (total > 0), F.struct(a.alias("start"), b.alias("end"), F.array_join(F.slice(lines, a, b - a + 1), "\n").alias("text"), long.alias("truncated")))
+    lines = split_lines(content)
+    hi = F.least(end, F.size(lines))
+    at = F.coalesce(anchor, start) if anchor is not None else start
+    first = F.greatest(start, F.least(F.greatest(start, at - F.lit(max_lines // 2)), hi - F.lit(max_lines - 1)))
+    long = hi - start + 1 > max_lines
+    a, b = F.when(long, first).otherwise(start), F.when(long, first + F.lit(max_lines - 1)).otherwise(hi)
+    return F.when((start >= 1) & (a <= b), F.struct(a.alias("start"), b.alias("end"), F.array_join(F.slice(lines, a, b - a + 1), "\n").alias("text"), long.alias("truncated")))

@@ -79,36 +79,58 @@ def suppress_overlaps(rows: DataFrame, target: Sequence[str], ratio: float = 0.6
 
 
 def fill_budget(rows: DataFrame, target: Sequence[str], max_tokens: int, max_lines: int, item_tokens: int, item_lines: int, reserve: float = 0.35, per_relationship: int = 3) -> DataFrame:
-    """Context candidates with ``taken``, ``lines`` and ``tokens`` under token and line budgets.
-
-    ``rows``: target columns, ord, relationship, is_target, n_lines, n_tokens. A target may use its
-    reserved share; other relationships are capped; what is too long is trimmed in proportion.
+    """Context candidates with ``taken``, ``first``, ``last``, ``content``, ``tokens`` and ``truncated`` under token and line budgets.
+
+    ``rows``: target columns, ord, relationship, is_target, start, anchor (or null), lines (those of
+    the candidate's range; null if the file has none of it), which the result leaves out. Candidates
+    are served in order. A target may use its reserved share; other relationships are capped. What
+    is too long is cut to a window around its anchor, once for the lines and once, in proportion,
+    for the tokens. Candidates that aren't taken are the dropped ones. Each target's list is bounded
+    by its graph, so it is folded in pandas.
     """
-    line_cap, token_cap = max(item_lines, int(max_lines * reserve)), max(item_tokens, int(max_tokens * reserve))
+    of_target, of_others = (max(item_lines, int(max_lines * reserve)), max(item_tokens, int(max_tokens * reserve))), (item_lines, item_tokens)
+
+    def window(c, size: int) -> tuple[int, int, str]:
+        spare = len(c.lines) - size
+        if spare <= 0:
+            first, size = 0, len(c.lines)
+        else:
+            anchor = 0 if pd.isna(c.anchor) else int(c.anchor) - c.start
+            first = min(max(anchor - size // 2, 0), spare)
+        return first, size, "\n".join(c.lines[first : first + size])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         tokens, lines, used, out = max_tokens, max_lines, {}, []
         for c in pdf.itertuples(index=False):
-            spent = (False, 0, 0)
-            if (c.is_target or used.get(c.relationship, 0) < per_relationship) and lines >= 1 and tokens >= 1:
-                n = min(c.n_lines, line_cap if c.is_target else item_lines, lines)
-                cap = min(token_cap if c.is_target else item_tokens, tokens)
-                cost = -(-c.n_tokens * n // max(1, c.n_lines))
-                if cost > cap:
-                    n = max(1, int(n * (cap / cost)))
-                    cost = -(-c.n_tokens * n // max(1, c.n_lines))
-                if n >= 1 and cost >= 1:
-                    spent = (True, int(n), int(cost))
-                    tokens, lines = tokens - cost, lines - n
+            line_cap, token_cap = of_target if c.is_target else of_others
+            line_cap, token_cap = min(line_cap, lines), min(token_cap, tokens)
+            free = c.is_target or used.get(c.relationship, 0) < per_relationship
+            chosen = (False, None, None, None, 0, False)
+            if free and line_cap >= 1 and token_cap >= 1 and c.lines is not None and len(c.lines):
+                first, size, text = window(c, line_cap)
+                cost = -(-len(text) // 4)
+                if cost > token_cap:
+                    first, size, text = window(c, max(1, int(size * (token_cap / cost))))
+                    cost = -(-len(text) // 4)
+                if text:
+                    chosen = (True, c.start + first, c.start + first + size - 1, text, cost, size < len(c.lines))
+                    tokens, lines = tokens - cost, lines - size
                     used[c.relationship] = used.get(c.relationship, 0) + 1
-            out.append(spent)
-        return pdf.assign(taken=[s[0] for s in out], lines=[s[1] for s in out], tokens=[s[2] for s in out])
+            out.append(chosen)
+        names = ["taken", "first", "last", "content", "tokens", "truncated"]
+        return pdf.drop(columns="lines").assign(**{n: pd.Series([o[i] for o in out], index=pdf.index, dtype=object) for i, n in enumerate(names)})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", taken boolean, lines long, tokens long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "lines") + ", taken boolean, first long, last long, content string, tokens long, truncated boolean"
     return rows.groupBy(*target).applyInPandas(fold, schema)
 
 
+def budget_totals(filled: DataFrame, target: Sequence[str]) -> DataFrame:
+    """Per target the taken and dropped candidates, tokens and lines of ``fill_budget``."""
+    taken = F.col("taken")
+    return filled.groupBy(*target).agg(F.count_if(taken).alias("taken"), F.count_if(~taken).alias("dropped"), F.sum("tokens").alias("tokens"), F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)).alias("lines"))
+
+
 def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")

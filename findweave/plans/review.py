@@ -42,12 +42,12 @@ def review_candidates(added: DataFrame, symbols: DataFrame, findings: DataFrame,
     return ordered.limit(limit) if limit is not None else ordered
 
 
-def context_items(candidates: DataFrame, target: Sequence[str]) -> DataFrame:
-    """Scored candidates in rank order with duplicates and overlaps marked."""
+def context_items(candidates: DataFrame, target: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """Scored candidates in rank order with duplicates and overlaps marked; ``ties`` settle equal places."""
     order = list(ranks.RELATIONSHIPS)
     s = ranks.relationship_score(F.col("relationship"), F.col("same_file"), F.col("changed"), F.col("distance"), F.col("category"))
     scored = candidates.withColumn("s", s).withColumn("score", F.col("s.score")).withColumn("priority", ranks.rank(F.col("relationship"), tuple(order))).drop("s")
-    by = Window.partitionBy(*target).orderBy(F.desc("score"), "priority", "file", "start", F.coalesce(F.col("symbol"), F.lit("")))
+    by = Window.partitionBy(*target).orderBy(F.desc("score"), "priority", "file", "start", F.coalesce(F.col("symbol"), F.lit("")), *ties)
     return suppress_overlaps(scored.withColumn("ord", F.row_number().over(by)), target)
 
 

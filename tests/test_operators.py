@@ -143,10 +143,24 @@ def test_context_folds(spark):
     rows = [(1, 1, "f", 1, 10, "s", "x"), (1, 2, "f", 1, 10, "s", "x"), (1, 3, "f", 2, 9, "u", "x"), (1, 4, "f", 1, 30, "p", "parent_symbol"), (1, 5, "g", 1, 10, None, "x"), (1, 6, "g", 1, 10, None, "x")]
     got = {r["ord"]: r["verdict"] for r in ranking.suppress_overlaps(spark.createDataFrame(rows, cols), ["t"]).collect()}
     assert got == {1: "kept", 2: "duplicate", 3: "overlap", 4: "kept", 5: "kept", 6: "duplicate"}
-    cols = "t int, ord int, relationship string, is_target boolean, n_lines int, n_tokens int"
-    rows = [(1, 1, "target_symbol", True, 100, 400), *[(1, k, "sibling", False, 5, 10) for k in range(2, 7)]]
-    got = {r["ord"]: (r["taken"], r["lines"], r["tokens"]) for r in ranking.fill_budget(spark.createDataFrame(rows, cols), ["t"], 300, 100, 50, 20).collect()}
-    assert got[1][0] and got[1][2] <= 105 and [got[k][0] for k in range(2, 7)] == [True, True, True, False, False]
+
+
+def test_context_budget(spark):
+    cols = "t int, ord int, relationship string, is_target boolean, start int, anchor int, lines array<string>"
+
+    def fill(rows, *limits):
+        return {r["ord"]: r for r in ranking.fill_budget(spark.createDataFrame(rows, cols), ["t"], *limits).collect()}
+
+    long = [f"line {n:4}" for n in range(1, 1001)]
+    got = fill([(1, 1, "target_symbol", True, 1, 551, long), *[(1, k, "sibling", False, 5, None, ["x" * 8] * 5) for k in range(2, 7)], (1, 7, "caller", False, 1, None, None)], 4000, 400, 800, 120)
+    assert (got[1]["last"] - got[1]["first"] + 1, got[1]["truncated"]) == (140, True) and got[1]["first"] <= 551 <= got[1]["last"] and "line  551" in got[1]["content"]
+    assert [got[k]["taken"] for k in range(2, 8)] == [True, True, True, False, False, False]
+    tight = fill([(1, 1, "target_symbol", True, 1, 551, long)], 200, 400, 200, 120)[1]  # cut again for the tokens
+    assert tight["tokens"] <= 200 and tight["first"] <= 551 <= tight["last"]
+    plain = fill([(1, 1, "caller", False, 1, None, long)], 4000, 400, 800, 120)[1]
+    assert (plain["first"], plain["last"]) == (1, 120)
+    small = fill([(1, 1, "target_symbol", True, 1, 9, long[:20])], 4000, 400, 800, 120)[1]
+    assert (small["first"], small["last"], small["truncated"]) == (1, 20, False)
 
 
 def test_review_candidates(spark):
