@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,39 +44,51 @@ def admit(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cost: str,
     return packed.select(*keys, F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("r")).select(*keys, "r.*")
 
 
+def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Callable, step: Callable, added: str, left_out: Sequence[str] = ()) -> DataFrame:
+    """Rows with the columns ``added`` (a schema string) that ``step(state, row)`` returns as a tuple.
+
+    Rows of a key come one after the other in order, and ``begin()`` makes a key's state. Keys are
+    exchanged and sorted once and then streamed, so that many small keys cost no call each and a
+    task holds one batch and one key's state.
+    """
+    names = [f.split()[0] for f in added.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in batches:
+            out = []
+            for now, row in zip(pdf[list(keys)].itertuples(index=False, name=None), pdf.itertuples(index=False), strict=True):
+                now = tuple(None if v != v else v for v in now)  # a null may come as nan
+                if now != key:
+                    key, state = now, begin()
+                out.append(step(state, row))
+            yield pdf.drop(columns=list(left_out)).assign(**{n: pd.Series([o[i] for o in out], index=pdf.index, dtype=object) for i, n in enumerate(names)})
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in left_out] + [added])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def suppress_overlaps(rows: DataFrame, target: Sequence[str], ratio: float = 0.6, exempt: Sequence[str] = ("parent_symbol",)) -> DataFrame:
     """Context candidates with ``verdict``: kept, duplicate or overlap; the first conflict in kept order decides.
 
     ``rows``: target columns, ord (unique within the target), file, start, end, symbol, kind. The
-    state is the set of kept candidates, so each target's bounded list is folded in pandas.
+    state is the target's kept candidates by file.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        verdicts = []
-        pdf = pdf.sort_values("ord")
-        for c in pdf.itertuples(index=False):
-            verdict = "kept"
-            for o in kept:
-                if o.file != c.file:
-                    continue
-                same_symbol = o.symbol == c.symbol or (pd.isna(o.symbol) and pd.isna(c.symbol))
-                if o.start == c.start and o.end == c.end and same_symbol:
-                    verdict = "duplicate"
-                    break
-                if c.kind in exempt or o.kind in exempt:
-                    continue
-                shared = min(o.end, c.end) - max(o.start, c.start) + 1
-                if shared > 0 and shared / min(o.end - o.start + 1, c.end - c.start + 1) >= ratio:
-                    verdict = "overlap"
-                    break
-            if verdict == "kept":
-                kept.append(c)
-            verdicts.append(verdict)
-        return pdf.assign(verdict=verdicts)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", verdict string"
-    return rows.groupBy(*target).applyInPandas(fold, schema)
+    def verdict(kept: dict, c) -> str:
+        for o in kept.get(c.file, ()):
+            same_symbol = o.symbol == c.symbol or (pd.isna(o.symbol) and pd.isna(c.symbol))
+            if o.start == c.start and o.end == c.end and same_symbol:
+                return "duplicate"
+            if c.kind in exempt or o.kind in exempt:
+                continue
+            shared = min(o.end, c.end) - max(o.start, c.start) + 1
+            if shared > 0 and shared / min(o.end - o.start + 1, c.end - c.start + 1) >= ratio:
+                return "overlap"
+        kept.setdefault(c.file, []).append(c)
+        return "kept"
+
+    return folded(rows, target, ["ord"], dict, lambda kept, c: (verdict(kept, c),), "verdict string")
 
 
 def fill_budget(rows: DataFrame, target: Sequence[str], max_tokens: int, max_lines: int, item_tokens: int, item_lines: int, reserve: float = 0.35, per_relationship: int = 3) -> DataFrame:
@@ -85,8 +98,7 @@ def fill_budget(rows: DataFrame, target: Sequence[str], max_tokens: int, max_lin
     the candidate's range; null if the file has none of it), which the result leaves out. Candidates
     are served in order. A target may use its reserved share; other relationships are capped. What
     is too long is cut to a window around its anchor, once for the lines and once, in proportion,
-    for the tokens. Candidates that aren't taken are the dropped ones. Each target's list is bounded
-    by its graph, so it is folded in pandas.
+    for the tokens. Candidates that aren't taken are the dropped ones.
     """
     of_target, of_others = (max(item_lines, int(max_lines * reserve)), max(item_tokens, int(max_tokens * reserve))), (item_lines, item_tokens)
 
@@ -99,30 +111,27 @@ def fill_budget(rows: DataFrame, target: Sequence[str], max_tokens: int, max_lin
             first = min(max(anchor - size // 2, 0), spare)
         return first, size, "\n".join(c.lines[first : first + size])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        tokens, lines, used, out = max_tokens, max_lines, {}, []
-        for c in pdf.itertuples(index=False):
-            line_cap, token_cap = of_target if c.is_target else of_others
-            line_cap, token_cap = min(line_cap, lines), min(token_cap, tokens)
-            free = c.is_target or used.get(c.relationship, 0) < per_relationship
-            chosen = (False, None, None, None, 0, False)
-            if free and line_cap >= 1 and token_cap >= 1 and c.lines is not None and len(c.lines):
-                first, size, text = window(c, line_cap)
+    def begin() -> dict:
+        return {"tokens": max_tokens, "lines": max_lines, "used": Counter()}
+
+    def step(left: dict, c) -> tuple:
+        line_cap, token_cap = of_target if c.is_target else of_others
+        line_cap, token_cap = min(line_cap, left["lines"]), min(token_cap, left["tokens"])
+        free = c.is_target or left["used"][c.relationship] < per_relationship
+        if free and line_cap >= 1 and token_cap >= 1 and c.lines is not None and len(c.lines):
+            first, size, text = window(c, line_cap)
+            cost = -(-len(text) // 4)
+            if cost > token_cap:
+                first, size, text = window(c, max(1, int(size * (token_cap / cost))))
                 cost = -(-len(text) // 4)
-                if cost > token_cap:
-                    first, size, text = window(c, max(1, int(size * (token_cap / cost))))
-                    cost = -(-len(text) // 4)
-                if text:
-                    chosen = (True, c.start + first, c.start + first + size - 1, text, cost, size < len(c.lines))
-                    tokens, lines = tokens - cost, lines - size
-                    used[c.relationship] = used.get(c.relationship, 0) + 1
-            out.append(chosen)
-        names = ["taken", "first", "last", "content", "tokens", "truncated"]
-        return pdf.drop(columns="lines").assign(**{n: pd.Series([o[i] for o in out], index=pdf.index, dtype=object) for i, n in enumerate(names)})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "lines") + ", taken boolean, first long, last long, content string, tokens long, truncated boolean"
-    return rows.groupBy(*target).applyInPandas(fold, schema)
+            if text:
+                left["tokens"] -= cost
+                left["lines"] -= size
+                left["used"][c.relationship] += 1
+                return True, c.start + first, c.start + first + size - 1, text, cost, size < len(c.lines)
+        return False, None, None, None, 0, False
+
+    return folded(rows, target, ["ord"], begin, step, "taken boolean, first long, last long, content string, tokens long, truncated boolean", ["lines"])
 
 
 def budget_totals(filled: DataFrame, target: Sequence[str]) -> DataFrame:
