@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or "file:///tmp/checkpoints"
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``drop_materialized`` deletes."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    spark.sparkContext._findweave_tables = [*getattr(spark.sparkContext, "_findweave_tables", []), path]
+    return path
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -43,9 +50,7 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     executors share, unlike a local checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    written = getattr(spark.sparkContext, "_findweave_tables", [])
-    spark.sparkContext._findweave_tables = [*written, path]
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from findweave.session import shared_path
+
 IDENTITY = ("source", "event_type", "external_event_id")
 
 
@@ -23,26 +25,35 @@ def deduplicated(events: DataFrame, identity: tuple[str, ...] = IDENTITY) -> Dat
     return events.dropDuplicatesWithinWatermark(list(identity))
 
 
-def append_absent(events: DataFrame, path: str, identity: tuple[str, ...], checkpoint: str) -> DataStreamWriter:
+def append_absent(events: DataFrame, path: str, identity: tuple[str, ...], checkpoint: str, buckets: int = 256) -> DataStreamWriter:
     """Exactly-once by identity, forever: each micro-batch appends what the table at ``path`` lacks.
 
-    A batch that is delivered again after a failure finds its rows there and appends nothing.
+    A batch that is delivered again after a failure finds its rows there and appends nothing. The
+    table is partitioned by ``bucket``, a hash of the identity, and a batch reads the identities of
+    its own buckets only.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(identity))
-        try:
-            known = spark.read.schema(batch.schema).parquet(path).select(*identity).distinct()
-            fresh = fresh.join(known, list(identity), "left_anti")
-        except Exception as error:  # the table doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        fresh.write.mode("append").parquet(path)
+        fresh = batch.dropDuplicates(list(identity)).withColumn("bucket", F.pmod(F.xxhash64(*identity), F.lit(buckets)).cast("int"))
+        table = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if table.getFileSystem(spark._jsc.hadoopConfiguration()).exists(table):
+            touched = F.broadcast(fresh.select("bucket").distinct())  # at most ``buckets`` rows
+            known = spark.read.schema(fresh.schema).parquet(path).select("bucket", *identity).join(touched, "bucket", "left_semi")
+            fresh = fresh.join(known, ["bucket", *identity], "left_anti")
+        fresh.write.partitionBy("bucket").mode("append").parquet(path)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def settled(stream: DataFrame, label: str) -> DataFrame:
+    """What the stream gives for the input that is there now, as a table in the shared folder."""
+    path = shared_path(stream.sparkSession, label)
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def state_changes(events: DataFrame, key: str, state: str, at: str, initial: str) -> DataFrame:
     """(key, at, previous, now) whenever a key's state differs from its last one, across batches."""
     schema = f"{key} string, at timestamp, previous string, now string"
