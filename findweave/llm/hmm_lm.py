@@ -195,15 +195,13 @@ class _Layout:
         sizes = sizes[self.order]
         self.active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
         self.at = np.concatenate([[0], np.cumsum(self.active)])
-        step = np.concatenate([np.arange(n) for n in sizes])
-        self.rank = np.repeat(np.arange(len(sizes)), sizes)
-        place = self.at[step] + self.rank
-        flat = np.concatenate([seqs[i] for i in self.order])
-        self.codes = np.empty(len(flat), np.int64)
-        self.codes[place] = flat
-        rank = np.empty(len(flat), np.int64)
-        rank[place] = self.rank
-        self.rank = rank
+        ends = np.cumsum(sizes)
+        step = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        place = self.at[step]
+        place += np.repeat(np.arange(len(sizes)), sizes)
+        self.codes = np.empty(ends[-1], np.int64)
+        self.codes[place] = np.concatenate([seqs[i] for i in self.order])
+        self.rank = np.arange(ends[-1]) - np.repeat(self.at[:-1], self.active)
 
     def by_sequence(self, logs: np.ndarray) -> np.ndarray:
         out = np.empty(len(self.order))
@@ -214,18 +212,15 @@ class _Layout:
 def forward(model: Hmm, seqs: list[np.ndarray], dtype=np.float64, keep: bool = False):
     """log10 likelihood of each sequence by the scaled forward recursion (and what backward needs)."""
     lay = _Layout(seqs)
-    emit, move = np.ascontiguousarray(model.emit.T, dtype)[lay.codes], model.move.astype(dtype)
+    emit, move = np.ascontiguousarray(model.emit.T, dtype).take(lay.codes, axis=0), model.move.astype(dtype)
     scale = np.empty(len(lay.codes), dtype)
     alpha = np.empty_like(emit) if keep else None
-    a, at = None, lay.at.tolist()
+    a, at, ones = None, lay.at.tolist(), np.ones(len(model.start), dtype)
     for t, n in enumerate(lay.active.tolist()):
         lo, hi = at[t], at[t + 1]
-        a = (a[:n] @ move if t else np.broadcast_to(model.start.astype(dtype), (n, len(model.start)))) * emit[lo:hi]
-        s = a.sum(1)
-        a = a / s[:, None]
-        scale[lo:hi] = s
-        if keep:
-            alpha[lo:hi] = a
+        a = (a[:n] @ move) * emit[lo:hi] if t else model.start.astype(dtype) * emit[lo:hi]
+        s = np.matmul(a, ones, out=scale[lo:hi])  # sums of short rows are faster as a product
+        a = np.divide(a, s[:, None], out=alpha[lo:hi] if keep else a)
     total = lay.by_sequence(np.log10(scale.astype(np.float64)))
     return (total, lay, emit, scale, alpha) if keep else total
 
@@ -240,12 +235,13 @@ def expected_counts(model: Hmm, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.
         lo, hi, n = at[t], at[t + 1], active[t]
         if t < len(active) - 1:
             m, nlo, nhi = active[t + 1], at[t + 1], at[t + 2]
-            ahead = emit[nlo:nhi] * beta / scale[nlo:nhi, None]
+            ahead = emit[nlo:nhi] * beta
+            ahead /= scale[nlo:nhi, None]
             moves += alpha[lo : lo + m].T @ ahead
             back = ahead @ move.T
             beta = back if m == n else np.concatenate([back, np.ones((n - m, k), np.float32)])
         # alpha of this step is not read again, so gamma takes its place (earlier steps still hold alpha)
-        gamma[lo:hi] = alpha[lo:hi] * beta
+        gamma[lo:hi] *= beta
     emits = np.stack([np.bincount(lay.codes, gamma[:, s], minlength=model.emit.shape[1]) for s in range(k)])
     return gamma[: active[0]].sum(0).astype(float), moves * model.move, emits, float(total.sum())
 
