@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findweave.llm import ann, bpe, hmm_lm, merkle, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, toxicity
+from findweave.llm import ann, bpe, hmm_lm, merkle, near_dedup, packing, phrases, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_pii": pii.op9_pii,
     "op10_packing": packing.op10_packing,
+    "op11_phrases": phrases.op11_phrases,
     "op12_merkle": merkle.op12_merkle,
 }
 
 ORACLES = {
     "op2_sharding": sharding.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op11_phrases": phrases.ORACLE,
     "op12_merkle": merkle.ORACLE,
 }
