@@ -145,10 +145,10 @@ def hashed(words: list[bytes], langs: list[str], codes: np.ndarray) -> tuple[np.
         acc = np.full(len(at), length, _U)
         for k in range(length):
             acc = _mix(acc * _STEP + of[codes[at + k]])
-        out.append((acc, at, np.full(len(at), length), counts))
-    found = [np.concatenate(c) for c in zip(*out, strict=True)]
-    order = np.argsort(found[0])
-    return tuple(c[order] for c in found)
+        out.append((acc, at.astype(np.int32), np.full(len(at), length, np.int8), counts.astype(np.int32)))
+    hashes = np.concatenate([c[0] for c in out])
+    order = np.argsort(hashes)
+    return tuple([hashes[order], *(np.concatenate([c[k] for c in out])[order] for k in (1, 2, 3))])
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
