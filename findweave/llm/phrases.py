@@ -7,9 +7,9 @@ between neighbouring suffixes, the LCP intervals, are its distinct phrases of on
 their counts.
 
 The merge by key has two steps, so that rare phrases, which are nearly all, never travel as text.
-First the intervals of all shards meet by a 64-bit hash, in buckets, and every shard is told which of
-its intervals have ``MIN_COUNT`` occurrences or more in all shards together; phrases that share a
-hash can only be let through too many. Then the shards write those phrases out, and their counts are
+First the intervals of all shards meet by the leading bits of a hash, in buckets, and every shard is told which of
+its intervals have ``MIN_COUNT`` occurrences or more in all shards together; phrases that share
+them can only be let through too many. Then the shards write those phrases out, and their counts are
 summed by the phrase itself, which is exact. Parts of a phrase occur at least as often as it does, so
 these counts hold all that scores need.
 
@@ -175,26 +175,35 @@ def _decoded(row: dict) -> tuple[list[bytes], list[str], np.ndarray]:
     return grow_strings(row["words"]), [row["langs"][i] for i in grow(row["lang_of"])], grow(row["codes"])
 
 
-def _asked(shards: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, shard, hashes, counts): each shard's phrases, packed by bucket."""
+def key_bits(words: int) -> int:
+    """Leading bits of a hash by which phrases of a corpus of so many words meet.
+
+    Five more than number the words; a key that is shared all the same lets a rare phrase through,
+    whose exact count drops it later.
+    """
+    return min(64, max(32, words.bit_length() + 5))
+
+
+def _asked(shards: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """(bucket, shard, keys, counts): each shard's phrases, packed by bucket; a key is a hash's first ``bits`` bits."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 hashes, _, _, counts = hashed(*_decoded(row))
                 of = _bucket_of(hashes, buckets)
-                edges = np.flatnonzero(np.diff(of, prepend=-1))
-                out = [(int(of[a]), row["shard"], shrink_wide(np.diff(hashes[a:b], prepend=_U(0))), shrink(counts[a:b])) for a, b in zip(edges, [*edges[1:], len(of)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "hashes", "counts"])
+                edges, keys = np.flatnonzero(np.diff(of, prepend=-1)), hashes >> _U(64 - bits)
+                out = [(int(of[a]), row["shard"], shrink_wide(np.diff(keys[a:b], prepend=_U(0))), shrink(counts[a:b])) for a, b in zip(edges, [*edges[1:], len(of)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "keys", "counts"])
 
-    return shards.mapInArrow(run, "bucket int, shard long, hashes binary, counts binary")
+    return shards.mapInArrow(run, "bucket int, shard long, keys binary, counts binary")
 
 
 def _answers(asked: DataFrame, least: int) -> DataFrame:
     """(shard, bucket, kept): a bit per phrase of the shard in the bucket, set where all shards together have ``least``."""
 
     def run(group: pa.Table) -> pa.Table:
-        each = [np.cumsum(grow_wide(h.as_py()).view(_U), dtype=_U) for h in group["hashes"]]
+        each = [np.cumsum(grow_wide(h.as_py()).view(_U), dtype=_U) for h in group["keys"]]
         counts = np.concatenate([grow(c.as_py()) for c in group["counts"]])
         _, of = np.unique(np.concatenate(each), return_inverse=True)
         total = np.zeros(of.max() + 1, np.int64)
@@ -229,9 +238,10 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     shards = materialize(rows.mapInArrow(lambda batches: _code(batches, shard_words), _SHARD), "shards")
     totals = materialize(shards.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("n")), "totals")
-    buckets = 32 + (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    buckets = 32 + words // BUCKET_WORDS
     narrow = shards.drop("totals")
-    kept = _written(narrow, _answers(_asked(narrow, buckets), least), buckets)
+    kept = _written(narrow, _answers(_asked(narrow, buckets, key_bits(words)), least), buckets)
     return materialize(kept.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases"), totals
 
 

@@ -102,3 +102,15 @@ def test_odd_rows(spark):
     assert _got(phrases.collocations(docs)) == _plain([(r[2], r[1]) for r in rows], 30)
     assert phrases.collocations(docs.where("false")).count() == 0
     assert phrases.collocations(docs.where("doc_id < 4")).count() == 0
+
+
+def test_shared_keys_let_phrases_through_but_not_into_the_result(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "key_bits", lambda words: 32)
+    rows = [(i, f"w{i % 7} x{i % 3}. y{i}", "en", "s", 0, "p", 1, 2, 3) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert _got(phrases.collocations(docs, least=5)) == _plain([(r[2], r[1]) for r in rows], 5)
+    assert phrases.key_bits(10) == 32
+
+
+def test_key_bits_follow_the_words():
+    assert [phrases.key_bits(n) for n in (0, 135_000_000, 27 * 10**12, 2**62)] == [32, 33, 50, 64]
