@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findweave.llm import ann, bpe, hmm_lm, merkle, near_dedup, packing, phrases, pii, quality_classifier, quality_rules, sharding, toxicity
+from findweave.llm import ann, bpe, hmm_lm, jaccard_join, merkle, near_dedup, packing, phrases, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_phrases": phrases.op11_phrases,
     "op12_merkle": merkle.op12_merkle,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op11_phrases": phrases.ORACLE,
     "op12_merkle": merkle.ORACLE,
+    "op13_jaccard_join": jaccard_join.ORACLE,
 }
