@@ -8,10 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from findweave.operators import scan
+
+#: Rows of a key from which on it is split over tasks.
+LONG_KEY = 10_000
+
 
 def overlaps(a_start, a_end, b_start, b_end) -> Column:
     return (a_start <= b_end) & (b_start <= a_end)
@@ -73,45 +80,95 @@ def attached(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: st
     return left.join(ids, left_id, "left").withColumn(name, F.coalesce(name, F.array().cast(ids.schema[name].dataType)))
 
 
-def greedy_disjoint(df: DataFrame, keys: Sequence[str], order: Sequence[Column], start: str, end: str, row: Sequence[str]) -> DataFrame:
+def _split(df: DataFrame, keys: Sequence[str], long_key: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with up to ``long_key`` rows, and of the others (None if there are none)."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__size")).where(F.col("__size") > long_key)
+    if sizes.isEmpty():
+        return df, None
+    long = sizes.select(F.struct(*keys).alias("__key"))
+    marked = df.withColumn("__key", F.struct(*keys))
+    side = lambda how: marked.join(long.withColumnRenamed("__key", "__long"), F.col("__key").eqNullSafe(F.col("__long")), how).drop("__key", "__long")
+    return side("left_anti"), side("left_semi")
+
+
+def _streamed(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str) -> DataFrame:
+    """``df`` with __last, the end of the span that was kept before a row, and __at, the start of the last one kept by then.
+
+    Keys are dealt out, sorted and streamed; two numbers are all that is held.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("__last", T.LongType()), T.StructField("__at", T.LongType())])
+
+    def run(batches):
+        key, last, at = None, None, None
+        for batch in batches:
+            ends, starts = [], []
+            for now, s, e in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), batch.column(start).to_pylist(), batch.column(end).to_pylist(), strict=True):
+                if now != key:
+                    key, last = now, None
+                ends.append(last)
+                if last is None or s > last:
+                    last, at = e, s
+                starts.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.int64()), pa.array(starts, pa.int64())], names=[*batch.schema.names, "__last", "__at"])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _chained(spans: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The kept spans of keys of any size: each span points at the first that starts behind its end, and the first of a key reaches the kept ones."""
+    base = scan.numbered(spans, keys, [F.col(o) for o in order]).withColumnRenamed(scan.NUMBER, "__n").drop(scan.PART, scan.KEY)
+    side = lambda at, kind: base.select(*keys, F.col(at).alias("at"), F.lit(kind).alias("kind"), "__n")
+    # backwards: a span's end comes before the starts on its own line
+    points = scan.numbered(side("__s", 1).unionByName(side("__e", 2)), keys, [F.desc("at"), F.desc("kind"), F.desc("__n")])
+    behind = scan.last_before(points, F.when(F.col("kind") == 1, F.col("__n")), "following").where("kind = 2").select("__n", "following")
+    first = base.groupBy(*keys).agg(F.min("__n").alias("__n")).select("__n", F.lit(True).alias("first"))
+    chain = behind.join(first, "__n", "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    return base.join(scan.reached(chain, "__n", "following", "first"), "__n", "left_semi").select(*columns)
+
+
+def greedy_disjoint(df: DataFrame, keys: Sequence[str], order: Sequence[Column], start: str, end: str, row: Sequence[str], long_key: int = LONG_KEY) -> DataFrame:
     """Rows kept when spans are taken in order and one that overlaps a kept one of its key is left out.
 
-    The order begins with the start, so kept spans are disjoint and increasing and the end of the
-    last kept one is all the state there is: one fold over each key's sorted array.
+    The order begins with the start and is total; spans without a start or an end are never kept.
+    Keys with up to ``long_key`` spans are streamed in order, which needs the end of the last kept
+    one only. Longer ones are split over tasks: after a kept span the next one is the first whose
+    start lies behind its end, so each span points at that one and pointers are doubled.
     """
-    item = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*row).alias("row"))
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    kind = df.select(F.array(F.struct(*row)).alias("k")).schema["k"].dataType.simpleString()
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(kind).alias("kept"))
-    step = lambda a, x: F.when(a["last"].isNull() | (x["s"] > a["last"]), F.struct(x["e"].cast("long").alias("last"), F.concat(a["kept"], F.array(x["row"])).alias("kept"))).otherwise(a)
-    return packed.select(*keys, F.explode(F.aggregate("items", zero, step, lambda a: a["kept"])).alias("r")).select(*keys, "r.*")
+    spans = df.withColumns({**{f"__o{i}": o for i, o in enumerate(order)}, "__s": F.col(start).cast("long"), "__e": F.col(end).cast("long")}).where("__s IS NOT NULL AND __e IS NOT NULL")
+    by, columns = [f"__o{i}" for i in range(len(order))], [*keys, *[c for c in row if c not in keys]]
+    spans = spans.select(*dict.fromkeys([*columns, *by, "__s", "__e"]))
+    short, long = _split(spans, keys, long_key)
+    kept = _streamed(short, keys, by, "__s", "__e").where("__last IS NULL OR __s > __last").select(*columns)
+    return kept if long is None else kept.unionByName(_chained(long, keys, by, columns))
 
 
-def anchored_clusters(df: DataFrame, keys: Sequence[str], position: str, reach: int) -> DataFrame:
-    """(keys, first, last, n): clusters whose members lie within ``reach`` of their first member."""
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(position).cast("long"))).alias("at"))
-    kind = "array<struct<first:bigint,last:bigint,n:bigint>>"
-    one = lambda x: F.struct(x.alias("first"), x.alias("last"), F.lit(1).cast("long").alias("n"))
-    last = lambda a: F.element_at(a, -1)
-    grown = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["first"].alias("first"), x.alias("last"), (last(a)["n"] + 1).alias("n"))))
-    step = lambda a, x: F.when((F.size(a) > 0) & (x - F.try_element_at(a, F.lit(-1))["first"] <= reach), grown(a, x)).otherwise(F.concat(a, F.array(one(x))))
-    return packed.select(*keys, F.explode(F.aggregate("at", F.array().cast(kind), step)).alias("c")).select(*keys, "c.*")
+def anchored_clusters(df: DataFrame, keys: Sequence[str], position: str, reach: int, long_key: int = LONG_KEY) -> DataFrame:
+    """(keys, first, last, n): clusters whose members lie within ``reach`` of their first member.
+
+    The first members are the spans [position, position + reach] that a greedy choice keeps; rows
+    without a position belong to no cluster.
+    """
+    at = df.groupBy(*keys, F.col(position).cast("long").alias("__s")).agg(F.count("*").alias("__rows")).where("__s IS NOT NULL").withColumn("__e", F.col("__s") + reach)
+    short, long = _split(at, keys, long_key)
+    of = _streamed(short, keys, ["__s"], "__s", "__e").select(*keys, F.col("__at").alias("first"), "__s", "__rows")
+    if long is not None:
+        anchors = _chained(long, keys, ["__s"], [*keys, "__s"]).withColumn("anchor", F.col("__s"))
+        marked = long.select(*keys, "__s", "__rows", F.lit(None).cast("long").alias("anchor")).unionByName(anchors.select(*keys, "__s", F.lit(0).cast("long").alias("__rows"), "anchor"))
+        found = scan.last_before(scan.numbered(marked, keys, [F.col("__s"), F.col("anchor").desc_nulls_last()]), F.col("anchor"), "first", inclusive=True)
+        of = of.unionByName(found.select(*keys, "first", "__s", "__rows"))
+    return of.groupBy(*keys, "first").agg(F.max("__s").alias("last"), F.sum("__rows").alias("n"))
 
 
 def nearest_siblings(df: DataFrame, parent: Sequence[str], id_col: str, start: str, end: str) -> DataFrame:
     """Per row the last sibling that ends before it and the first that starts after it.
 
-    Siblings share the parent columns (nulls are one parent). Read off windows over the two ends.
+    Siblings share the parent columns (nulls are one parent). Both are scans over the sorted ends of
+    the spans, forwards and backwards, that split a parent's rows over tasks.
     """
-    events = df.select(*parent, id_col, F.col(start).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("ended"), F.lit(None).cast(df.schema[id_col].dataType).alias("ended_id")).unionByName(
-        df.select(*parent, id_col, F.col(end).alias("at"), F.lit(2).alias("kind"), F.col(end).cast("long").alias("ended"), F.col(id_col).alias("ended_id"))
-    )
-    before = Window.partitionBy(*parent).orderBy("at", "kind", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    previous = events.withColumn("previous_id", F.max(F.when(F.col("ended").isNotNull(), F.struct("ended", F.col("ended_id").alias("id")))).over(before)["id"]).where("kind = 1").select(id_col, "previous_id")
-    starts = df.select(*parent, id_col, F.col(start).alias("at"), F.lit(2).alias("kind"), F.struct(F.col(start).alias("s"), F.col(id_col).alias("id")).alias("begun")).unionByName(
-        df.select(*parent, id_col, F.col(end).alias("at"), F.lit(3).alias("kind"), F.lit(None).cast(f"struct<s:{df.schema[start].dataType.simpleString()},id:{df.schema[id_col].dataType.simpleString()}>").alias("begun"))
-    )
-    # backwards, so that the frame only grows
-    after = Window.partitionBy(*parent).orderBy(F.desc("at"), F.desc("kind"), F.desc(id_col)).rowsBetween(Window.unboundedPreceding, -1)
-    following = starts.withColumn("next_id", F.min("begun").over(after)["id"]).where("kind = 3").select(id_col, "next_id")
+    side = lambda at, kind: df.select(*parent, F.col(id_col).alias("id"), F.col(at).alias("at"), F.lit(kind).alias("kind"))
+    points = side(start, 1).unionByName(side(end, 2))  # on one line starts come first, so that an end there isn't before them
+    forwards = scan.numbered(points, parent, [F.col("at"), F.col("kind"), F.col("id")])
+    previous = scan.last_before(forwards, F.when(F.col("kind") == 2, F.col("id")), "previous_id").where("kind = 1").select(F.col("id").alias(id_col), "previous_id")
+    backwards = scan.numbered(points, parent, [F.desc("at"), F.desc("kind"), F.desc("id")])
+    following = scan.last_before(backwards, F.when(F.col("kind") == 1, F.col("id")), "next_id").where("kind = 2").select(F.col("id").alias(id_col), "next_id")
     return df.join(previous, id_col, "left").join(following, id_col, "left")
