@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections import namedtuple
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,9 +57,77 @@ def settled(stream: DataFrame, label: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def state_changes(events: DataFrame, key: str, state: str, at: str, initial: str) -> DataFrame:
-    """(key, at, previous, now) whenever a key's state differs from its last one, across batches."""
+def in_turn(deliveries: Sequence[DataFrame], label: str, start: Callable[[DataFrame, str], DataStreamWriter]) -> str:
+    """Run a query after each delivery arrives, going on from its checkpoint; the folder that it works in.
+
+    ``start(stream, folder)`` gives the writer; each delivery is at least one micro-batch of its own.
+    """
+    spark = deliveries[0].sparkSession
+    path = shared_path(spark, label)
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        start(stream, path).trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+def settled_in_turn(deliveries: Sequence[DataFrame], label: str, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What an appending query gives over deliveries that come one after the other."""
+    found = []
+
+    def start(stream: DataFrame, path: str) -> DataStreamWriter:
+        out = query(stream)
+        found[:] = [out.schema]
+        return out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append")
+
+    path = in_turn(deliveries, label, start)
+    return deliveries[0].sparkSession.read.schema(found[0]).parquet(f"{path}/rows")
+
+
+def in_order(events: DataFrame, key: str, at: str, ties: Sequence[str], delay: str, schema: str, begin: object, step: Callable[[object, object], tuple[object, list[tuple]]]) -> DataFrame:
+    """``step(state, event) -> (state, rows)`` over each key's events in the order of their time, across micro-batches.
+
+    An event waits in its key's state until the watermark, ``delay`` behind the newest event, has
+    passed it, so one that comes late, in whatever batch, is still put in its place; what comes later
+    than that is dropped. A key's state holds the events of one delay. ``ties`` settle equal times.
+    """
+    rows = timed(events, at, delay).withColumn("at_micros", F.unix_micros(at))
+    place = [rows.columns.index(c) for c in ("at_micros", *ties)]
+
+    def run(keys: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        state, waiting = pickle.loads(kept.get[0]) if kept.exists else (begin, [])
+        for frame in frames:
+            waiting = [*waiting, *map(tuple, frame[names].itertuples(index=False, name=None))]
+        passed = kept.getCurrentWatermarkMs() * 1000
+        out = []
+        for row in sorted((r for r in waiting if r[place[0]] <= passed), key=lambda r: tuple(r[p] for p in place)):
+            state, more = step(state, event(*row))
+            out += more
+        waiting = [r for r in waiting if r[place[0]] > passed]
+        kept.update((pickle.dumps((state, waiting)),))
+        if waiting:
+            kept.setTimeoutTimestamp(max(min(r[place[0]] for r in waiting), passed) // 1000 + 1)
+        yield pd.DataFrame([(keys[0], *r) for r in out], columns=fields)
+
+    names, fields = rows.columns, [f.split()[0] for f in schema.split(", ")]
+    event = namedtuple("event", names)
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "kept binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def state_changes(events: DataFrame, key: str, state: str, at: str, initial: str, delay: str | None = None) -> DataFrame:
+    """(key, at, previous, now) whenever a key's state differs from its last one, across batches.
+
+    With a ``delay`` events are put in the order of their time first (``in_order``); without one, only
+    those of a batch are.
+    """
     schema = f"{key} string, at timestamp, previous string, now string"
+    if delay is not None:
+
+        def change(last: str, event) -> tuple[str, list[tuple]]:
+            now = getattr(event, state)
+            return now, [(getattr(event, at), last, now)] if now != last else []
+
+        return in_order(events.select(key, state, at), key, at, [state], delay, schema, initial, change)
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         last = kept.get[0] if kept.exists else initial
@@ -111,21 +182,84 @@ def recompute_touched(events: DataFrame, history: Callable[[], DataFrame], asses
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def reaction_changes(snapshots: DataFrame, comment: str = "comment_id") -> DataFrame:
+def _by_batch(rows: DataFrame) -> T.StructType:
+    return T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+
+
+def assessed(events: DataFrame, assess: Callable[[DataFrame], DataFrame], key: str, path: str) -> DataStreamWriter:
+    """Keep the events and, per batch, the new assessment of every key that it touches (see ``latest``).
+
+    Each batch owns a folder of events and one of assessments, which a batch that runs again
+    overwrites, so that nothing is stored twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        history = spark.read.schema(_by_batch(batch)).parquet(f"{path}/events").where(F.col("batch") <= number).drop("batch")
+        touched = spark.read.schema(batch.schema).parquet(f"{path}/events/batch={number}").select(key).distinct()
+        assess(history.join(touched, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/assessed/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state")
+
+
+def latest(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """One row per key of what ``assessed`` has stored: that of the last batch that touched it."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(f"{path}/assessed")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), "batch").alias("r")).select(key, "r.*")
+
+
+#: What a run of the ingest reports.
+COUNTERS = ("observed", "ingested", "duplicate", "unattributed", "enriched")
+
+
+def counted_append(events: DataFrame, identity: Sequence[str], path: str) -> DataStreamWriter:
+    """Append events that are not stored yet and, per batch, a row of run counters.
+
+    observed: events of the batch; ingested: those stored; duplicate: the others; unattributed:
+    ingested ones without a ``finding``; enriched: ingested ones with a ``signal``. The counts are
+    observed while the batch is written, and a batch that runs again overwrites its own folders.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = Observation()
+        stored = batch.observe(seen, F.count("*").alias("observed")).dropDuplicates(list(identity))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            known = spark.read.schema(_by_batch(batch)).parquet(f"{path}/rows").where(F.col("batch") < number).select(*identity)
+            stored = stored.join(known, list(identity), "left_anti")
+        kept = Observation()
+        stored = stored.select(batch.columns).observe(kept, F.count("*").alias("ingested"), F.count_if(F.col("finding").isNull()).alias("unattributed"), F.count_if(F.col("signal").isNotNull()).alias("enriched"))
+        stored.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        n = seen.get["observed"], kept.get["ingested"], kept.get["unattributed"], kept.get["enriched"]
+        row = spark.range(1).select(*[F.lit(int(v)).cast("long").alias(c) for c, v in zip(COUNTERS, (n[0], n[1], n[0] - n[1], n[2], n[3]), strict=True)])
+        row.write.mode("overwrite").parquet(f"{path}/counters/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state")
+
+
+def reaction_changes(snapshots: DataFrame, comment: str = "comment_id", delay: str | None = None) -> DataFrame:
     """Added and removed reactions from polled snapshots of a comment's reactions; bots are left out.
 
-    ``snapshots``: comment id, polled_at, reaction_ids (all that are active), actor_types alike.
+    ``snapshots``: comment id, polled_at, reaction_ids (all that are active), actor_types alike. With
+    a ``delay`` polls are put in the order of their time first, across batches.
     """
     schema = f"{comment} long, reaction_id long, event_type string, polled_at timestamp"
 
+    def change(active: frozenset, row) -> tuple[frozenset, list[tuple]]:
+        now = frozenset(int(i) for i, kind in zip(row.reaction_ids, row.actor_types, strict=True) if kind != "Bot")
+        return now, [*[(i, "reaction_added", row.polled_at) for i in sorted(now - active)], *[(i, "reaction_removed", row.polled_at) for i in sorted(active - now)]]
+
+    if delay is not None:
+        return in_order(snapshots.select(comment, "polled_at", "reaction_ids", "actor_types"), comment, "polled_at", (), delay, schema, frozenset(), change)
+
     def step(keys: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        active = set(kept.get[0]) if kept.exists else set()
+        active = frozenset(kept.get[0]) if kept.exists else frozenset()
         out = []
         for row in pd.concat(list(frames)).sort_values("polled_at").itertuples(index=False):
-            now = {int(i) for i, kind in zip(row.reaction_ids, row.actor_types, strict=True) if kind != "Bot"}
-            out += [(keys[0], i, "reaction_added", row.polled_at) for i in sorted(now - active)]
-            out += [(keys[0], i, "reaction_removed", row.polled_at) for i in sorted(active - now)]
-            active = now
+            active, more = change(active, row)
+            out += [(keys[0], *r) for r in more]
         kept.update((sorted(active),))
         yield pd.DataFrame(out, columns=[comment, "reaction_id", "event_type", "polled_at"])
 
