@@ -9,6 +9,7 @@ SCHEMAS = {
     "changed_files": "path string, previous_path string, status string, additions int, deletions int, patch string",
     "comments": "id long, path string, line int, original_line int, side string, body string, actor_login string, actor_type string, in_reply_to_id long, created_at timestamp",
     "reactions": "comment_id long, id long, content string, actor_login string, actor_type string, created_at timestamp",
+    "reviews": "id long, state string, body string, actor_login string, actor_type string, commit_sha string, submitted_at timestamp",
     "threads": "first_comment_id long, is_resolved boolean",
 }
 
