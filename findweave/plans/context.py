@@ -37,7 +37,7 @@ def _filled(spark, d: str) -> DataFrame:
     start = (s % 8).cast("int")
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
         F.expr(_ID).alias("id"), c("l_orderkey").alias("target"), order.alias("ord"), _pick(k, ("caller", "callee")).alias("relationship"), start.alias("start"),
-        (start + (k % 40).cast("int")).alias("end"), F.when(k % 3 == 0, start + (k % 25).cast("int")).alias("anchor"), (k % 1100).alias("file"),
+        (start + (k % 40).cast("int")).alias("end"), F.when(k % 3 == 0, start + (k % 25).cast("int")).alias("anchor"), (F.floor(k / 2) + k % 3).alias("file"),
     ).withColumn("is_target", c("ord") == 1)
     cut = rows.join(files, "file", "left").select("id", "target", "ord", "relationship", "is_target", "start", "anchor", range_lines(c("all_lines"), c("start"), c("end")).alias("lines"))
     return ranking.fill_budget(cut, ["target"], 600, 40, 150, 12, 0.35, 2)
@@ -63,7 +63,7 @@ QUERIES = {"context_items": context_items, "context_budget": context_budget, "co
 _LINES = r"""w AS (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents), d AS (SELECT doc_id, CASE WHEN l[len(l)] = '' THEN list_slice(l, 1, len(l) - 1) ELSE l END AS ls FROM w)"""
 _CUT = "greatest(0, least(greatest(0, off - {n} // 2), len(ls) - {n}))"
 _BUDGET = f"""{_LINES},
-x AS (SELECT {_ID} AS id, l_orderkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, l_partkey % 2 AS rel, l_suppkey % 8 AS st, l_suppkey % 8 + l_partkey % 40 AS en, CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 25 ELSE 0 END AS off, l_partkey % 1100 AS f FROM lineitem),
+x AS (SELECT {_ID} AS id, l_orderkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, l_partkey % 2 AS rel, l_suppkey % 8 AS st, l_suppkey % 8 + l_partkey % 40 AS en, CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 25 ELSE 0 END AS off, l_partkey // 2 + l_partkey % 3 AS f FROM lineitem),
 c AS (SELECT id, t, ord, rel, st, off, CASE WHEN st >= 1 AND st <= len(ls) AND en >= st THEN list_slice(ls, st, least(en, len(ls))) END AS ls FROM x LEFT JOIN d ON doc_id = f),
 r AS (SELECT t, 0::BIGINT AS ord, 600::BIGINT AS tok, 40::BIGINT AS ln, 0 AS u0, 0 AS u1, NULL::VARCHAR AS id, false AS taken, 0::BIGINT AS first, 0::BIGINT AS last, 0::BIGINT AS tokens, false AS truncated, NULL::VARCHAR AS digest FROM (SELECT DISTINCT t FROM c)
 UNION ALL SELECT t, ord, tok - CASE WHEN ok THEN cost ELSE 0 END, ln - CASE WHEN ok THEN n ELSE 0 END, u0 + (ok AND rel = 0)::INT, u1 + (ok AND rel = 1)::INT, id, ok, CASE WHEN ok THEN st + a END, CASE WHEN ok THEN st + a + n - 1 END, CASE WHEN ok THEN cost ELSE 0 END, ok AND n < len(ls), CASE WHEN ok THEN md5(txt) END

@@ -154,10 +154,10 @@ def truth_errors(spark, d):
 def hallucinations(spark, d):
     """First reason why a cited place can't exist: file absent, past its end, or a bad range."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("file"), F.size(F.split("text", "\n")).alias("n_lines"))
-    cited = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 1500).alias("file"), (F.col("o_orderkey") % 9).alias("s"), (F.col("o_orderkey") % 7 + 2).alias("e"))
+    cited = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("file"), (F.col("o_orderkey") % 9).alias("s"), (F.col("o_orderkey") % 7 + 2).alias("e"))
     j = cited.join(docs, "file", "left")
     reason = F.when(F.col("n_lines").isNull(), F.lit("file_absent")).when(F.col("e") > F.col("n_lines"), F.lit("past_end")).when((F.col("s") < 1) | (F.col("e") < F.col("s")), F.lit("bad_range"))
-    return j.groupBy(F.coalesce(reason, F.lit("supported")).alias("reason")).agg(F.count("*").alias("n"))
+    return j.select("o_orderkey", F.coalesce(reason, F.lit("supported")).alias("reason"))
 
 
 def efficiency(spark, d):
@@ -198,6 +198,6 @@ y AS (SELECT *, list_bool_or([contains(t, p) FOR p IN ['validate user input', 'v
   list_bool_or([contains(t, p) FOR p IN ['this allows', 'this is vulnerable to', 'confirmed vulnerability', 'definitely exploitable', 'this enables']]) AS a, list_bool_or([contains(t, p) FOR p IN ['if ', 'may ', 'could ', 'verify', 'assuming', 'depends on', 'unclear']]) AS h, role <> 'system' AS low FROM x)
 SELECT count(*) AS scored, count(*) FILTER (g) / count(*) AS generic_rate, count(*) FILTER (low AND a AND NOT h) / count(*) FILTER (low) AS overclaim_rate, count(*) FILTER (low) AS n_low FROM y""",
     "truth_errors": "WITH x AS (SELECT * FROM documents JOIN labels USING (doc_id)) SELECT doc_id, 'too_short' AS error FROM x WHERE n_chars < 100 UNION ALL SELECT doc_id, 'toxic_and_good' FROM x WHERE toxic = 1 AND quality = 1 UNION ALL SELECT doc_id, 'untrusted_source' FROM x WHERE source IN ('src0', 'src1')",
-    "hallucinations": "WITH f AS (SELECT doc_id AS file, len(string_split(text, chr(10))) AS n FROM documents), c AS (SELECT o_custkey % 1500 AS file, o_orderkey % 9 AS s, o_orderkey % 7 + 2 AS e FROM orders) SELECT CASE WHEN n IS NULL THEN 'file_absent' WHEN e > n THEN 'past_end' WHEN s < 1 OR e < s THEN 'bad_range' ELSE 'supported' END AS reason, count(*) AS n FROM c LEFT JOIN (SELECT file, n FROM f) USING (file) GROUP BY 1",
+    "hallucinations": "WITH f AS (SELECT doc_id AS file, len(string_split(text, chr(10))) AS n FROM documents), c AS (SELECT o_orderkey, o_custkey AS file, o_orderkey % 9 AS s, o_orderkey % 7 + 2 AS e FROM orders) SELECT o_orderkey, CASE WHEN n IS NULL THEN 'file_absent' WHEN e > n THEN 'past_end' WHEN s < 1 OR e < s THEN 'bad_range' ELSE 'supported' END AS reason FROM c LEFT JOIN (SELECT file, n FROM f) USING (file)",
     "efficiency": f"WITH {OUT} SELECT count(*) AS provider_calls, sum(n_chars)::BIGINT AS chars, sum(n_chars)::BIGINT / count(*) FILTER (outcome = 'true_positive') AS chars_per_hit, count(*) / count(*) FILTER (outcome = 'true_positive') AS calls_per_hit FROM o JOIN documents USING (doc_id)",
 }

@@ -13,8 +13,8 @@ from findweave.operators.ranking import admit
 
 
 def symbols(spark, d: str, current: bool) -> DataFrame:
-    """One snapshot: odd ids changed name, every seventh text changed, every eleventh file moved."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 13 <> 0" if current else "doc_id % 17 <> 0")
+    """One snapshot: by their lengths, some documents were added and some deleted; every fifth changed its name, every seventh its text, every eleventh its file."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("n_chars % 13 <> 0" if current else "n_chars % 17 <> 0")
     c = F.col("doc_id")
     path, name = F.concat(F.col("lang"), (c % 40).cast("string")), F.concat_ws("_", "source", c.cast("string"))
     if current:
@@ -26,8 +26,8 @@ def symbols(spark, d: str, current: bool) -> DataFrame:
 
 SYMBOLS = """
 d AS (SELECT *, lang || (doc_id % 40) AS path, source || '_' || doc_id AS name, (doc_id % 3)::VARCHAR AS kind FROM documents),
-p AS (SELECT doc_id AS id, path, name, kind, md5(text) AS hash FROM d WHERE doc_id % 17 <> 0),
-c AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'moved/' ELSE '' END || path AS path, name || CASE WHEN doc_id % 5 = 0 THEN '_new' ELSE '' END AS name, kind, md5(text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS hash FROM d WHERE doc_id % 13 <> 0),
+p AS (SELECT doc_id AS id, path, name, kind, md5(text) AS hash FROM d WHERE n_chars % 17 <> 0),
+c AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'moved/' ELSE '' END || path AS path, name || CASE WHEN doc_id % 5 = 0 THEN '_new' ELSE '' END AS name, kind, md5(text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS hash FROM d WHERE n_chars % 13 <> 0),
 sm AS (SELECT p.id AS prev_id, c.id AS cur_id, CASE WHEN p.hash = c.hash THEN 'unchanged' ELSE 'modified' END AS status FROM p JOIN c USING (path, name, kind)),
 rp AS (SELECT *, row_number() OVER (PARTITION BY hash, kind ORDER BY path, name, id) AS turn FROM p WHERE id NOT IN (SELECT prev_id FROM sm)), rc AS (SELECT * FROM c WHERE id NOT IN (SELECT cur_id FROM sm)),
 po AS (SELECT hash, kind, count(*) AS n, min(id) AS cid, min(name) AS cname FROM rc GROUP BY 1, 2),
@@ -69,9 +69,9 @@ def attribution(spark, d):
     """Comments and publications matched on a body hash and side that are unique on both sides."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     c = F.col("doc_id")
-    side = lambda n: F.when(c % n != 0, F.col("lang"))
-    left = docs.where("doc_id % 4 <> 0").select(c.alias("comment_id"), F.md5(F.col("text").cast("binary")).alias("hash"), side(5).alias("side"))
-    right = docs.where("doc_id % 4 <> 1").select(c.alias("publication_id"), F.md5(F.col("text").cast("binary")).alias("r_hash"), side(5).alias("r_side"))
+    side = lambda by: F.when(by % 5 != 0, F.col("lang"))
+    left = docs.select(c.alias("comment_id"), F.md5(F.col("text").cast("binary")).alias("hash"), side(c).alias("side"))
+    right = docs.select(c.alias("publication_id"), F.md5(F.col("text").cast("binary")).alias("r_hash"), side(F.col("n_chars")).alias("r_side"))
     return matching.unique_on_both(left, right, [("hash", "r_hash"), ("side", "r_side")], ["hash"]).select("comment_id", "publication_id")
 
 
@@ -92,7 +92,7 @@ def evidence(spark, d):
     """Is a document's evidence (a benchmark passage or its own words) still in its text?"""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("passage"))
-    j = docs.withColumn("item_id", F.col("doc_id") % 40).join(items, "item_id", "left")
+    j = docs.withColumn("item_id", F.col("doc_id") % max(1, items.count())).join(items, "item_id", "left")
     quotes = F.array(F.when(F.col("doc_id") % 2 == 0, F.coalesce("passage", F.lit(""))).otherwise(F.substring("text", 3, 30)))
     content = squeezed(F.col("text"))
     holds = (F.size(quotes) > 0) & F.forall(quotes, lambda q: F.contains(content, squeezed(q)))
@@ -130,7 +130,7 @@ FROM b LEFT JOIN n ON subject = symbol_id AND n.category = b.category""",
     "supersede_latest_family": "WITH x AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) AS superseded_by FROM documents) SELECT *, CASE WHEN superseded_by IS NULL THEN 'live' ELSE 'superseded' END AS state FROM x",
     "latest_version_activation": "SELECT o_custkey % 97 AS repo, max(o_orderkey) FILTER (o_orderstatus = 'O') AS active_version, coalesce(max(o_orderkey), 0) + 1 AS next_version FROM orders GROUP BY 1",
     "cache_miss_anti": "WITH k AS (SELECT doc_id, md5(text) AS hash, lang FROM documents) SELECT min(doc_id) AS doc_id, hash FROM k WHERE (hash, lang) NOT IN (SELECT hash, lang FROM k WHERE doc_id % 3 = 0) GROUP BY hash, lang",
-    "attribution_unique_both": """WITH k AS (SELECT doc_id, md5(text) AS h, CASE WHEN doc_id % 5 <> 0 THEN lang END AS s FROM documents), l AS (SELECT * FROM k WHERE doc_id % 4 <> 0 QUALIFY count(*) OVER (PARTITION BY h, s) = 1), r AS (SELECT * FROM k WHERE doc_id % 4 <> 1 QUALIFY count(*) OVER (PARTITION BY h, s) = 1)
+    "attribution_unique_both": """WITH l AS (SELECT doc_id, md5(text) AS h, CASE WHEN doc_id % 5 <> 0 THEN lang END AS s FROM documents QUALIFY count(*) OVER (PARTITION BY h, s) = 1), r AS (SELECT doc_id, md5(text) AS h, CASE WHEN n_chars % 5 <> 0 THEN lang END AS s FROM documents QUALIFY count(*) OVER (PARTITION BY h, s) = 1)
 SELECT l.doc_id AS comment_id, r.doc_id AS publication_id FROM l JOIN r ON l.h = r.h AND l.s IS NOT DISTINCT FROM r.s""",
     "tiered_resolution": """WITH c AS (SELECT *, c_custkey % 7 AS m, c_custkey % 29 AS mm FROM customer JOIN nation ON n_nationkey = c_nationkey), s AS (SELECT *, s_suppkey % 7 AS m, s_suppkey % 29 AS mm FROM supplier JOIN nation ON n_nationkey = s_nationkey),
 a AS (SELECT s_nationkey AS nk, m, count(*) AS n, min(s_suppkey) AS id FROM s GROUP BY 1, 2), b AS (SELECT n_regionkey AS rk, mm, count(*) AS n, min(s_suppkey) AS id FROM s GROUP BY 1, 2)
@@ -139,7 +139,7 @@ SELECT c_custkey, CASE WHEN a.n IS NOT NULL THEN CASE WHEN a.n = 1 THEN a.id END
 FROM c LEFT JOIN a ON a.nk = c_nationkey AND a.m = c.m LEFT JOIN b ON b.rk = n_regionkey AND b.mm = c.mm""",
     "path_suffix_unique": r"""WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS w FROM pages), s AS (SELECT page_id, w, unnest(range(1, len(w) + 1)) AS n FROM p), x AS (SELECT page_id, array_to_string(w[len(w) - n + 1:], '/') AS suffix FROM s)
 SELECT suffix, min(page_id) AS page_id FROM x GROUP BY 1 HAVING count(DISTINCT page_id) = 1""",
-    "evidence_revalidate": r"""WITH j AS (SELECT d.doc_id, d.text AS t, coalesce(b.text, '') AS b FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40), q AS (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN b ELSE substr(t, 3, 30) END AS q FROM j)
+    "evidence_revalidate": r"""WITH j AS (SELECT d.doc_id, d.text AS t, coalesce(b.text, '') AS b FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)), q AS (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN b ELSE substr(t, 3, 30) END AS q FROM j)
 SELECT doc_id, contains(trim(regexp_replace(t, '\s+', ' ', 'g')), trim(regexp_replace(q, '\s+', ' ', 'g'))) AS holds FROM q""",
     "fingerprints": "SELECT o_orderkey, sha256(o_custkey || chr(31) || CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE '' END || chr(31) || o_orderpriority) AS fingerprint FROM orders",
     "module_paths": "SELECT n_nationkey, 'src.' || lower(n_name) AS module, n_nationkey % 3 <> 0 AS safe FROM nation",

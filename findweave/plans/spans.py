@@ -79,7 +79,8 @@ def siblings(spark, d):
 
 
 def two_hop(spark, d):
-    e = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_suppkey") % 200).alias("src"), (F.col("l_partkey") % 200).alias("dst"))
+    """Suppliers and parts are nodes by their numbers; a part leads on where a supplier has its number."""
+    e = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     return neighbours_within_two(e, "src", "dst", 5)
 
 
@@ -147,7 +148,7 @@ SELECT id, coalesce(f, '') AS findings FROM s LEFT JOIN x USING (id) WHERE categ
     "nearest_siblings": """WITH o AS (SELECT CASE WHEN o_custkey % 11 <> 0 THEN o_custkey END AS parent, o_orderkey AS id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS s, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + trunc(o_totalprice)::BIGINT % 90 AS e FROM orders),
 p AS (SELECT a.id, arg_max(b.id, (b.e, b.id)) AS previous_id FROM o a JOIN o b ON a.parent IS NOT DISTINCT FROM b.parent AND b.e < a.s GROUP BY 1), n AS (SELECT a.id, arg_min(b.id, (b.s, b.id)) AS next_id FROM o a JOIN o b ON a.parent IS NOT DISTINCT FROM b.parent AND b.s > a.e GROUP BY 1)
 SELECT id, previous_id, next_id FROM o LEFT JOIN p USING (id) LEFT JOIN n USING (id)""",
-    "graph_two_hop": """WITH e AS (SELECT DISTINCT l_suppkey % 200 AS source, l_partkey % 200 AS target FROM lineitem), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target) AS r FROM e) WHERE r <= 5),
+    "graph_two_hop": """WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target FROM lineitem), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target) AS r FROM e) WHERE r <= 5),
 t AS (SELECT DISTINCT f.source, e.target FROM f JOIN e ON e.source = f.target EXCEPT SELECT source, target FROM e) SELECT source, target, 1 AS distance FROM e UNION ALL SELECT source, target, 2 FROM t""",
     "diff_line_numbers": """WITH c AS (SELECT DISTINCT ON (conv_id, turn) concat_ws('/', conv_id, turn) AS path, string_split(replace(text, chr(10), ' '), ' ') AS w FROM conversations),
 r AS (SELECT path, unnest(range(len(w))) AS i, unnest(w) AS x FROM c), m AS (SELECT *, i % 3 AS k FROM r)
