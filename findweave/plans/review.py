@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from findweave.functions import ranks
-from findweave.functions.text import SECRET_SHAPES, estimated_tokens, redacted
+from findweave.functions.text import estimated_tokens, redacted, secret_counts
 from findweave.operators import intervals as iv
 from findweave.operators.ranking import capped, partition_ranked, suppress_overlaps
 from findweave.sources import reports
@@ -124,8 +124,20 @@ def score_rank(spark, d):
 
 
 def redact_secrets(spark, d):
-    shapes = (*SECRET_SHAPES, ("token_assignment", r"(?i)(\btoken = \")([0-9a-f]{40})(\")", True))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(redacted(F.col("text"), shapes).cast("binary")).alias("digest"))
+    """Texts with one of the six shapes (or near misses) behind them: what is left, and how often each shape was found."""
+    k = F.col("doc_id")
+    body = lambda n: F.substring(F.md5(k.cast("string").cast("binary")), 1, n)
+    planted = F.concat(
+        F.lit("\n"),
+        F.when(k % 8 == 0, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), body(32), F.lit("\n-----END RSA PRIVATE KEY-----"))).when(k % 8 == 1, F.concat(F.lit("ghp_"), body(24))).when(k % 8 == 2, F.concat(F.lit("AKIA"), F.upper(body(16))))
+        .when(k % 8 == 3, F.concat(F.lit("aws_secret_access_key = '"), body(32), F.lit("/+ABcd01'"))).when(k % 8 == 4, F.concat(F.lit("xoxb-"), body(12), F.lit("-"), body(12)))
+        .when(k % 8 == 5, F.concat(F.lit('DB_PASSWORD: "'), body(20), F.lit('"'))).when(k % 8 == 6, F.concat(F.lit("ghp_"), body(12), F.lit(" AKIA"), body(8), F.lit(" xoxb-"), body(4), F.lit(' PASSWORD = "'), body(8), F.lit('"')))
+        .otherwise(F.lit("nothing here")),
+        F.lit("\nend"),
+    )
+    text = F.concat("text", planted)
+    counts = secret_counts(text)
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(redacted(text).cast("binary")).alias("digest"), *[n.cast("long").alias(name) for name, n in counts.items()])
 
 
 def token_estimates(spark, d):
@@ -179,7 +191,11 @@ c AS (SELECT *, row_number() OVER (PARTITION BY path, kn, inl ORDER BY sev DESC,
 y AS (SELECT id, target, pr, greatest(0, round([1.0, 0.55, 0.5, 0.5, 0.45, 0.3, 0.3, 0.2, 0.25, 0.25][pr + 1]::DOUBLE + CASE WHEN ln % 2 = 0 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN q > 25 THEN 0.15 ELSE 0 END::DOUBLE - CASE WHEN ln > 1 THEN 0.05::DOUBLE * (ln - 1) ELSE 0 END
   + CASE WHEN (cat <= 2 AND pr IN (2, 3)) OR (cat = 3 AND pr IN (3, 5, 6)) OR (cat = 4 AND pr = 1) THEN 0.08 ELSE 0 END::DOUBLE, 6)) AS score FROM x)
 SELECT target, id, score FROM y QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, pr, id) <= 3""",
-    "redact_secrets": r"""SELECT doc_id, md5(regexp_replace(text, '(?i)(\btoken = ")([0-9a-f]{40})(")', '\1[REDACTED]\3', 'g')) AS digest FROM documents""",
+    # no text holds a shape before the planted one, so what is left and the counts follow from the ids
+    "redact_secrets": """WITH p AS (SELECT doc_id, text, doc_id % 8 AS k, md5(doc_id::VARCHAR) AS m FROM documents)
+SELECT doc_id, md5(text || chr(10) || CASE WHEN k IN (0, 1, 2, 4) THEN '[REDACTED]' WHEN k = 3 THEN 'aws_secret_access_key = ' || chr(39) || '[REDACTED]' || chr(39) WHEN k = 5 THEN 'DB_PASSWORD: "[REDACTED]"'
+  WHEN k = 6 THEN 'ghp_' || left(m, 12) || ' AKIA' || left(m, 8) || ' xoxb-' || left(m, 4) || ' PASSWORD = "' || left(m, 8) || '"' ELSE 'nothing here' END || chr(10) || 'end') AS digest,
+  (k = 0)::BIGINT AS pem_private_key, (k = 1)::BIGINT AS github_token, (k = 2)::BIGINT AS aws_access_key_id, (k = 3)::BIGINT AS aws_secret_access_key, (k = 4)::BIGINT AS slack_token, (k = 5)::BIGINT AS labeled_secret_assignment FROM p""",
     "token_estimates": "SELECT lang, sum((n_chars + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY 1",
     "ruff_findings": "SELECT p_partkey AS run_id, ['F401', 'S105', 'E722', 'UP006'][p_partkey % 4 + 1] AS rule_id, ['correctness', 'security', 'correctness', 'maintainability'][p_partkey % 4 + 1] AS category, ['medium', 'high', 'medium', 'low'][p_partkey % 4 + 1] AS severity, p_size AS start_line, p_size + 1 AS end_line FROM part WHERE p_partkey % 10 <> 0",
     "clang_findings": "SELECT p_partkey AS run_id, unnest(['bugprone-use-after-move', 'clang-tidy']) AS rule_id, unnest(['memory_safety', 'unknown']) AS category, unnest(['medium', 'high']) AS severity, unnest(['src/a.c', 'src/b.c']) AS file_path, unnest([p_size, 3])::INT AS start_line, unnest(['use after move', 'broken']) AS message FROM part",

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from findweave.functions.evidence import evidence_json, parsed_evidence
+from findweave.operators import parse_cache
 from findweave.session import shared_path
-from findweave.sources import drops, manifest, paged, publish
+from findweave.sources import drops, manifest, paged, publish, repository
 
 c = F.col
 #: Items of a page, as the polled API gives them.
@@ -70,8 +72,46 @@ def published_orders(spark, d):
     return publish.published(spark, path, "id long, line long")
 
 
-QUERIES = {"paged_reviews": paged_reviews, "run_outcomes": run_outcomes, "committed_orders": committed_orders, "published_orders": published_orders}
+def stored_evidence(spark, d):
+    """Snippets read from documents' stored JSON: whole rows, broken ones, and rows that are partly usable; written and read again."""
+    k = c("doc_id")
+    id_ = k.cast("string")
+    whole = F.concat(F.lit('{"file_path": "f'), id_, F.lit('", "start_line": '), id_, F.lit(', "end_line": "'), id_, F.lit(' ", "quoted_text": "a \\"q\\" é"}'))
+    second = F.lit('{"file_path": "g", "start_line": 2.9, "end_line": true, "quoted_text": "", "more": [1]}')
+    raw = (
+        F.when(k % 9 == 0, F.concat(F.lit("["), whole, F.lit(", "), second, F.lit("]"))).when(k % 9 == 1, F.lit("{not json")).when(k % 9 == 2, whole).when(k % 9 == 3, F.concat(F.lit('[1, "x", null, ['), whole, F.lit("], "), whole, F.lit("]")))
+        .when(k % 9 == 4, F.concat(F.lit('[{"file_path": "f"}, '), whole, F.lit("]"))).when(k % 9 == 5, F.concat(F.lit('[{"file_path": "f", "start_line": "1.5", "end_line": 2, "quoted_text": "q"}, '), second, F.lit("]")))
+        .when(k % 9 == 6, F.lit('[{"file_path": "f", "start_line": null, "end_line": 2, "quoted_text": "q"}]')).when(k % 9 == 7, F.lit("[]"))
+    )
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", parsed_evidence(raw).alias("found"))
+    again = F.to_json(parsed_evidence(evidence_json(c("found")))) == F.to_json("found")
+    return rows.select("doc_id", again.alias("stable"), F.posexplode_outer("found").alias("pos", "s")).select("doc_id", "stable", "pos", "s.*")
+
+
+def cached_symbols(spark, d):
+    """Symbols of documents' source files by way of the parse cache; files of some sources are parsed before."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    n = (c("n_chars") % 500).cast("string")
+    source = F.concat(F.lit("import os\n\nclass C"), n, F.lit(":\n    def f"), n, F.lit("(self):\n        return g"), n, F.lit("()\n"))
+    content = F.when(c("n_chars") % 500 == 7, F.lit("def broken(:\n")).otherwise(source).cast("binary")
+    files = docs.select(F.concat(F.lit("d"), c("doc_id").cast("string"), F.lit(".py")).alias("relative_path"), "source", content.alias("content"), F.sha2(content, 256).alias("sha256"), F.lit("python").alias("language"))
+    path = shared_path(spark, "parsed")
+    for version in (1, 2):
+        parse_cache.parsed_through(files.where("source < 'src2'"), path, version, repository.parse_python)
+    parse_cache.evict(spark, path, 2)
+    found = parse_cache.parsed_through(files, path, 2, repository.parse_python)
+    symbols = F.transform("symbols", lambda x: F.concat_ws(" ", x["qualified_name"], x["kind"], x["start_line"].cast("string"), x["end_line"].cast("string")))
+    calls = F.transform("calls", lambda x: F.concat(x["parent"], F.lit(" "), x["name"]))
+    return found.select("relative_path", "hit", F.array_join(symbols, ", ").alias("symbols"), F.size("imports").alias("imports"), F.array_join(calls, ", ").alias("calls"))
+
+
+QUERIES = {"stored_evidence": stored_evidence, "cached_symbols": cached_symbols, "paged_reviews": paged_reviews, "run_outcomes": run_outcomes, "committed_orders": committed_orders, "published_orders": published_orders}
 ORACLES = {
+    "stored_evidence": """WITH w AS (SELECT doc_id, doc_id % 9 AS k, {'file_path': 'f' || doc_id, 'start_line': doc_id, 'end_line': doc_id, 'quoted_text': 'a "q" é'} AS a, {'file_path': 'g', 'start_line': 2::BIGINT, 'end_line': 1::BIGINT, 'quoted_text': ''} AS b FROM documents),
+l AS (SELECT doc_id, CASE k WHEN 0 THEN [a, b] WHEN 3 THEN [a] WHEN 4 THEN [a] WHEN 5 THEN [b] ELSE [] END AS s FROM w), e AS (SELECT doc_id, unnest(range(len(s)))::INT AS pos, unnest(s) AS s FROM l)
+SELECT doc_id, true AS stable, pos, s.file_path AS file_path, s.start_line AS start_line, s.end_line AS end_line, s.quoted_text AS quoted_text FROM (SELECT doc_id FROM l) JOIN documents USING (doc_id) LEFT JOIN e USING (doc_id)""",
+    "cached_symbols": """WITH x AS (SELECT *, n_chars % 500 AS n FROM documents), h AS (SELECT DISTINCT n FROM x WHERE source < 'src2')
+SELECT 'd' || doc_id || '.py' AS relative_path, h.n IS NOT NULL AS hit, CASE WHEN x.n = 7 THEN '' ELSE 'C' || x.n || ' class 3 5, C' || x.n || '.f' || x.n || ' method 4 5' END AS symbols, CASE WHEN x.n = 7 THEN 0 ELSE 1 END AS imports, CASE WHEN x.n = 7 THEN '' ELSE 'C' || x.n || '.f' || x.n || ' g' || x.n END AS calls FROM x LEFT JOIN h ON h.n = x.n""",
     "paged_reviews": "SELECT conv_id::BIGINT AS id, CASE turn % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'commented' END AS state, text AS body, role AS actor_login, turn::BIGINT * 60 AS submitted FROM conversations WHERE role IS DISTINCT FROM 'assistant'",
     "run_outcomes": """WITH a AS (SELECT o_custkey AS identity, o_orderkey AS run, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS started, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + trunc(o_totalprice)::BIGINT % 900 AS finished,
   CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'partial' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'succeeded' ELSE 'failed' END END AS status FROM orders),
