@@ -3,17 +3,20 @@
 Seed entities (e-mail, IP address, card number and phone number by fixed patterns, and secrets: long
 mixed hexadecimal keys, access-key ids, values assigned to a password or key) and all other tokens
 that carry digits are instances. Each occurrence induces lexical patterns: the word before it, the
-two words before it, the word after it, and its own shape with the lengths of its runs. Contexts of
-``MIN_SEEDS`` different seeds or more are counted over all tokens of all texts, so a context's
-confidence is the part of the tokens in it that are identifiers, and tokens without a digit become
-instances where they stand in a context that seeds fill to ``LIKELY``.
+two words before it, the word after it, and its own shape with the lengths of its runs. The contexts
+of all seeds are counted over all tokens of all texts, so a context's confidence is the part of the
+tokens in it that are identifiers, and tokens without a digit become instances where they stand in a
+context that seeds fill to ``LIKELY``, held back where it is rare.
 
 The pattern-instance graph is scored round by round by Spark. A shape's confidence is the mean score
 of its values, a context's the scores of its occurrences over all tokens in it, both held back where
 these are few. An instance's score is the larger of two: what its best context says alone, times
 ``TRUST``, and the mean of its shape's confidence (counted twice) and its best context's; only the
-latter flows back into the patterns. Instances that end at ``FOUND`` or above are identifiers the seeds alone did not show; their occurrences are
-added as spans of kind "id". Seeds keep their spans whatever the scores are.
+latter flows back into the patterns, and a shape without any context says nothing. Instances that
+reach ``FOUND`` are identifiers the seeds alone did not show. In the next of ``GENERATIONS`` they
+count with their scores, and their own contexts, counted alike, join the graph and admit further
+instances, until there are no new ones. The found ones' occurrences are added as spans of kind "id".
+Seeds keep their spans whatever the scores are.
 
 Which patterns are counted, and which contexts admit instances, reaches the tasks as a bit filter of
 fixed size; what passes it wrongly is dropped by a join on the pattern itself. Only instances,
@@ -47,12 +50,13 @@ from findweave.session import materialize
 #: Kinds of the base patterns, in the order in which spans that start together are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "id")
-ROUNDS = 4
+#: Times that instances induce contexts, the seeds first, and rounds of scoring in each.
+GENERATIONS, ROUNDS = 2, 2
 #: Instances from which on a pattern's mean counts half.
 HOLD = 3.0
-#: Different seeds of a context that is looked at, the part of it that seeds fill where tokens without
-#: digits become instances, and the weight of a context's confidence on its own.
-MIN_SEEDS, LIKELY, TRUST = 3, 0.25, 0.8
+#: Part of a context that identifiers fill where tokens without digits become instances, and the weight
+#: of a context's confidence on its own.
+LIKELY, TRUST = 0.25, 0.8
 LONG_WORD = 64
 #: Bits of the filter of patterns, and bits set for each.
 FILTER_BITS, FILTER_HASHES = 24, 4
@@ -348,56 +352,97 @@ def free_instances(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     return met.join(patterns.select("pattern"), "pattern")
 
 
-def induce(rows: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, free): the pattern-instance graph, and the places of instances without digits.
-
-    ``edges``: value, pattern, n (occurrences), seed, total (tokens in the context; null for shapes).
-    """
+def meetings(scanned: DataFrame) -> DataFrame:
+    """(value, pattern, seed, n): which values with digits, and seeds, stand in which patterns, and how often."""
     seen = scanned.select(F.explode("found").alias("i")).select("i.*")
     met = seen.select("value", (F.col("kind") != "").alias("seed"), F.explode(F.concat(F.array("shape"), "contexts")).alias("pattern"))
-    met = materialize(met.groupBy("value", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "met")
-    shapes = met.where("pattern LIKE 'shape:%'")
-    contexts = met.where("pattern NOT LIKE 'shape:%'")
-    induced = materialize(contexts.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("filled")).where(F.col("seeds") >= MIN_SEEDS), "induced")
-    totals = materialize(count_contexts(rows, induced).join(induced.select("pattern", "filled"), "pattern"), "totals")
-    likely = totals.where(F.col("filled") >= LIKELY * F.col("total"))
+    return materialize(met.groupBy("value", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "met")
+
+
+def induce(rows: DataFrame, contexts: DataFrame, induced: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, free) of the contexts in ``induced`` (pattern, filled): their part of the graph, and the places of instances without digits.
+
+    ``contexts``: value, pattern, seed, n of instances with digits; ``filled``: occurrences in the
+    context that are identifiers. ``edges``: value, pattern, seed, n, total (tokens in the context).
+    A context that identifiers fill wholly has no further tokens, and ``free`` is None if no context
+    is filled enough, as then no text need be read for it.
+    """
+    totals = materialize(count_contexts(rows, induced).join(induced, "pattern"), "totals")
+    edges = contexts.join(totals.select("pattern", "total"), "pattern")
+    likely = totals.where((F.col("filled") >= LIKELY * (F.col("total") + HOLD)) & (F.col("filled") < F.col("total")))
+    if likely.isEmpty():
+        return edges, None
     free = materialize(free_instances(rows, likely), "free")
     again = free.groupBy("value", "pattern").agg(F.lit(False).alias("seed"), F.count("*").alias("n"))
-    edges = contexts.unionByName(again).join(totals.select("pattern", "total"), "pattern")
-    return shapes.withColumn("total", F.lit(None).cast("long")).unionByName(edges), free.drop("pattern").distinct()
+    return edges.unionByName(again.join(totals.select("pattern", "total"), "pattern")), free
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, score) of the instances that are no seeds, after ``rounds`` of scoring the graph."""
+def score_graph(edges: DataFrame, rounds: int = ROUNDS, known: DataFrame | None = None) -> DataFrame:
+    """(value, score) of the instances that are no seeds, after ``rounds`` of scoring the graph.
+
+    ``edges``: value, pattern, seed, n, total (null for shapes). ``known``: (value, score) of
+    instances found before, which keep at least that score.
+    """
     # the instances of a pattern are dealt out over several tasks, as one pattern may have a third of them
     salt = F.pmod(F.xxhash64("value"), F.lit(SALT)).cast("int").alias("salt")
     edges = materialize(edges.select("*", salt), "graph")
     # a value that is a seed somewhere is a seed everywhere
-    score = edges.groupBy("value").agg(F.max(F.col("seed").cast("int")).cast("double").alias("fixed")).withColumn("score", F.col("fixed"))
+    score = edges.groupBy("value").agg(F.max(F.col("seed").cast("int")).cast("double").alias("fixed"))
+    if known is not None:
+        score = score.join(known.select("value", F.col("score").alias("before")), "value", "left").select("value", "fixed", F.coalesce("before", F.lit(0.0)).alias("before"))
+    else:
+        score = score.withColumn("before", F.lit(0.0))
+    score = score.withColumn("score", F.greatest("fixed", "before"))
     for _ in range(rounds):
-        known = edges.join(score.select("value", "score"), "value")
-        parts = known.groupBy("pattern", "salt").agg(F.sum("score").alias("s"), F.count("*").alias("k"), F.sum(F.col("score") * F.col("n")).alias("w"), F.first("total").alias("total"))
+        weighed = edges.join(score.select("value", "score"), "value")
+        parts = weighed.groupBy("pattern", "salt").agg(F.sum("score").alias("s"), F.count("*").alias("k"), F.sum(F.col("score") * F.col("n")).alias("w"), F.first("total").alias("total"))
         of_shape, of_context = F.sum("s") / (F.sum("k") + HOLD), F.sum("w") / (F.first("total") + HOLD)
         confidence = parts.groupBy("pattern").agg(F.coalesce(of_context, of_shape).alias("conf"))
         drawn = edges.join(parts.select("pattern", "salt").join(confidence, "pattern"), ["pattern", "salt"])
-        by_shape = F.max(F.when(F.col("total").isNull(), F.col("conf")))
+        by_shape = F.coalesce(F.max(F.when(F.col("total").isNull(), F.col("conf"))), F.lit(0.0))
         by_context = F.coalesce(F.max(F.when(F.col("total").isNotNull(), F.col("conf"))), F.lit(0.0))
-        # what contexts say alone doesn't flow back into them: a context can't confirm itself
-        again = drawn.groupBy("value").agg(F.coalesce((by_shape * 2 + by_context) / 3, F.lit(0.0)).alias("new"), (by_context * TRUST).alias("alone"))
-        score = score.select("value", "fixed").join(again, "value").select("value", "fixed", F.greatest("fixed", "new").alias("score"), "alone")
+        # a shape alone is no evidence; and what contexts say alone doesn't flow back into them: a context can't confirm itself
+        both = F.when(by_context > 0, (by_shape * 2 + by_context) / 3).otherwise(F.lit(0.0))
+        again = drawn.groupBy("value").agg(both.alias("new"), (by_context * TRUST).alias("alone"))
+        score = score.select("value", "fixed", "before").join(again, "value").select("value", "fixed", "before", F.greatest("fixed", "before", "new").alias("score"), "alone")
         score = materialize(score, "scores")
     return score.where("fixed = 0").select("value", F.greatest("score", "alone").alias("score"))
 
 
+def discover(rows: DataFrame, scanned: DataFrame, rounds: int, found: float, generations: int = GENERATIONS) -> tuple[DataFrame, DataFrame | None]:
+    """(value) of the identifiers that the seeds led to, and the places of instances without digits (None: none were looked at).
+
+    Each generation's identifiers induce the contexts of the next.
+    """
+    met = meetings(scanned)
+    contexts = met.where("pattern NOT LIKE 'shape:%'")
+    edges = met.where("pattern LIKE 'shape:%'").withColumn("total", F.lit(None).cast("long"))
+    induced = contexts.where("seed").groupBy("pattern").agg(F.sum("n").alias("filled"))
+    places, patterns, known = None, None, None
+    for generation in range(generations):
+        induced = materialize(induced, "induced")
+        if generation and induced.isEmpty():
+            break
+        more, free = induce(rows, contexts, induced)
+        edges, patterns = edges.unionByName(more), induced.select("pattern") if patterns is None else patterns.union(induced.select("pattern"))
+        if free is not None:
+            places = free if places is None else places.unionByName(free)
+            contexts = contexts.unionByName(free.groupBy("value", "pattern").agg(F.lit(False).alias("seed"), F.count("*").alias("n")))
+        known = materialize(score_graph(edges, rounds, known).where(F.col("score") >= found), "known")
+        mine = contexts.join(known.select("value"), "value", "left_semi")
+        induced = mine.join(patterns, "pattern", "left_anti").groupBy("pattern").agg(F.sum("n").alias("filled"))
+    return known.select("value"), None if places is None else places.drop("pattern").distinct()
+
+
 def _extracted(rows: DataFrame, rounds: int, found: float) -> DataFrame:
     """Per row of ``rows`` (doc_id, text, digest): doc_id, digest, base counts and digest, ``all_spans``."""
     scanned = materialize(scan(rows), "scanned")
-    edges, free = induce(rows, scanned)
-    new = materialize(score_graph(edges, rounds).where(F.col("score") >= found).select("value"), "new")
+    new, free = discover(rows, scanned, rounds, found)
     spots = scanned.select("doc_id", "digest", F.explode("found").alias("i")).select("doc_id", "digest", "i.*")
     entry = lambda kind: F.struct(F.col("start"), F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int").alias("rank"), F.col("end"), kind.alias("kind"))
     seeds = spots.where("kind <> ''").select("doc_id", "digest", entry(F.col("kind")).alias("s"))
-    other = spots.where("kind = ''").select("doc_id", "digest", "start", "end", "value").unionByName(free)
+    other = spots.where("kind = ''").select("doc_id", "digest", "start", "end", "value")
+    other = other if free is None else other.unionByName(free)
     added = other.join(new, "value", "left_semi").select("doc_id", "digest", entry(F.lit("id")).alias("s"))
     per_text = seeds.union(added).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("s")).alias("all_spans"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))

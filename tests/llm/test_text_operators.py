@@ -598,6 +598,53 @@ def test_contexts_discover_alone(spark):
     assert not any(got[k] for k in (102, 103, *range(200, 230)))
 
 
+def test_a_found_identifier_induces_the_context_of_the_next(spark):
+    seeds = [(k, f"contact handle: u{k}@a{k}.example.org now") for k in range(600)]
+    known = [(1000 + k, f"contact handle: k{k}x-{'y' * (k % 9)} now") for k in range(60)]
+    again = [(2000 + k, f"ticket owner; k{k}x-{'y' * (k % 9)} then") for k in range(60)]
+    rows = [*seeds, *known, *again, (3000, "ticket owner; r9/k_7 then"), (3001, "some other r8/k_7 word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda **more: {r["doc_id"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id").join(found(**more), "doc_id").collect()}
+
+    def found(generations):
+        read = pii.identified(df)
+        scanned = pii.materialize(pii.scan(read), "scanned")
+        new, _ = pii.discover(read, scanned, pii.ROUNDS, pii.FOUND, generations)
+        return scanned.select("doc_id", F.explode("found").alias("i")).where("i.kind = ''").join(new.withColumnRenamed("value", "v"), F.col("i.value") == F.col("v")).select("doc_id")
+
+    # the seeds' context shows the known ones, wherever they stand; theirs shows the next one
+    assert spans(generations=1) == {*range(1000, 1060), *range(2000, 2060)}
+    assert spans(generations=2) == {*range(1000, 1060), *range(2000, 2060), 3000}
+
+
+def test_scores_match_a_plain_loop(spark):
+    rng = np.random.default_rng(2)
+    edges = {}
+    for v in range(40):
+        edges[f"v{v}", f"shape:{v % 5}"] = (v < 8, int(rng.integers(1, 4)), None)
+        for p in rng.choice(12, rng.integers(0, 4), replace=False):
+            edges[f"v{v}", f"before:{p}"] = (v < 8, int(rng.integers(1, 4)), 10 + int(p))
+    before = {"v30": 0.7, "v31": 0.6}
+    df = spark.createDataFrame([(v, p, *e) for (v, p), e in edges.items()], "value string, pattern string, seed boolean, n long, total long")
+    for known in ({}, before):
+        table = spark.createDataFrame(list(known.items()), "value string, score double") if known else None
+        got = {r["value"]: r["score"] for r in pii.score_graph(df, 3, table).collect()}
+        values = {v for v, _ in edges}
+        fixed = {v: float(any(e[0] for (w, _), e in edges.items() if w == v)) for v in values}
+        score = {v: max(fixed[v], known.get(v, 0.0)) for v in values}
+        for _ in range(3):
+            conf = {}
+            for p in {p for _, p in edges}:
+                mine = [(v, e) for (v, q), e in edges.items() if q == p]
+                total = mine[0][1][2]
+                conf[p] = sum(score[v] for v, _ in mine) / (len(mine) + pii.HOLD) if total is None else sum(score[v] * e[1] for v, e in mine) / (total + pii.HOLD)
+            shape = {v: max([conf[p] for w, p in edges if w == v and p.startswith("shape:")], default=0.0) for v in values}
+            context = {v: max([conf[p] for w, p in edges if w == v and not p.startswith("shape:")], default=0.0) for v in values}
+            score = {v: max(fixed[v], known.get(v, 0.0), (2 * shape[v] + context[v]) / 3 if context[v] > 0 else 0.0) for v in values}
+        want = {v: max(score[v], pii.TRUST * context[v]) for v in values if not fixed[v]}
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+
+
 def test_contexts_are_counted_over_all_words(spark):
     long = "y" * 10_000
     texts = ["a b c", "a b", f"A {long} d", f"a {long}1 d", "b, a b c d", None, ""]
