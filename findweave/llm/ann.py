@@ -44,7 +44,7 @@ BITS = DIGITS * DIGIT_BITS
 PROBES = 4
 #: Vectors and queries of the sample that the candidate share is fitted on.
 SAMPLE, SAMPLE_QUERIES = 4096, 128
-RECALL_AIM = 0.92
+RECALL_AIM = 0.95
 #: Vectors that one task scores queries against, and queries' runs of one task.
 SLICE, ASKED = 8192, 8192
 SEED = 5
