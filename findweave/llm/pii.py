@@ -19,7 +19,7 @@ instances, until there are no new ones. The found ones' occurrences are added as
 Seeds keep their spans whatever the scores are.
 
 Which patterns are counted, and which contexts admit instances, reaches the tasks as a bit filter of
-fixed size; what passes it wrongly is dropped by a join on the pattern itself. Only instances,
+fixed size; what passes it wrongly is dropped by a join on the pattern itself (counts: on its 64-bit hash). Only instances,
 patterns, counts and spans are shuffled, never texts (``redact`` deals texts once, by id and digest).
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans each, ties of
@@ -35,7 +35,6 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findweave.llm._blocks import digest, narrow, texts_of
+from findweave.llm.near_dedup import _STEP, _U, _mix
 from findweave.session import materialize
 
 #: Kinds of the base patterns, in the order in which spans that start together are listed.
@@ -58,10 +58,10 @@ HOLD = 3.0
 #: of a context's confidence on its own.
 LIKELY, TRUST = 0.25, 0.8
 LONG_WORD = 64
-#: Bits of the filter of patterns, and bits set for each.
-FILTER_BITS, FILTER_HASHES = 24, 4
-#: Distinct words and pairs that a task counts before it hands them on.
-CACHE = 400_000
+#: Bits that number the places of the filter of patterns; each pattern has four places.
+FILTER_BITS = 24
+#: Words whose hashes are kept, and words that are counted at a time; counts that a task holds before it hands them on.
+CACHE, MOST_HELD = 400_000, 2_000_000
 #: Parts that the instances of a pattern are dealt out into.
 SALT = 32
 FOUND = 0.5
@@ -221,59 +221,78 @@ def scan(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "digest").mapInArrow(run, _SCAN)
 
 
-_PLACES = (1 << FILTER_BITS) - 1
+_PLACES = _U((1 << FILTER_BITS) - 1)
 
 
-def _places(pattern: str) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(pattern)
-    return [h >> FILTER_BITS * k & _PLACES for k in range(FILTER_HASHES)]
+class _Words(dict):
+    """Hashes of words as they stand in patterns, by their bytes."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(norm(word.decode("utf-8", "replace")))
+        return h
 
-class Filter:
-    """Whether a pattern may be among those the filter was made of."""
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), _U, len(words))
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits.tobytes()
 
-    def __contains__(self, pattern: str) -> bool:
-        h = xxhash.xxh3_128_intdigest(pattern)
-        for _ in range(FILTER_HASHES):
-            if not self.bits[(h & _PLACES) >> 3] >> (h & 7) & 1:
-                return False
-            h >>= FILTER_BITS
-        return True
+def _before(h: np.ndarray) -> np.ndarray:
+    return _mix(h + _STEP)
 
 
-def filter_of(patterns: DataFrame) -> np.ndarray:
-    """Bit filter of the ``pattern`` column: two megabytes, however many patterns there are.
+def _after(h: np.ndarray) -> np.ndarray:
+    return _mix(h ^ _STEP)
+
+
+def _before2(h: np.ndarray, then: np.ndarray) -> np.ndarray:
+    return _mix(_mix(h * _U(3) + _STEP) * _STEP + then)
+
+
+def pattern_hashes(patterns: list[str]) -> np.ndarray:
+    """64-bit hashes of contexts, the same as of the words in a text that make them."""
+    parts = [p.partition(":")[::2] for p in patterns]
+    own = lambda words: np.array([xxhash.xxh3_64_intdigest(w) for w in words], _U)
+    first, second = own([w.split(" ")[0] for _, w in parts]), own([w.split(" ")[-1] for _, w in parts])
+    kinds = np.array([k for k, _ in parts])
+    return np.where(kinds == "before", _before(first), np.where(kinds == "after", _after(first), _before2(first, second)))
 
-    Pairs of words also set the place of their first word, which is what is looked up first.
-    """
+
+def _places(hashes: np.ndarray) -> list[np.ndarray]:
+    other = _mix(hashes + _U(1))
+    return [(h >> _U(shift) & _PLACES).astype(np.int64) for h in (hashes, other) for shift in (0, FILTER_BITS)]
+
+
+def within(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be among those that the filter was made of."""
+    out = np.ones(len(hashes), bool)
+    for place in _places(hashes):
+        out &= bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+    return out
+
+
+def keyed(patterns: DataFrame) -> DataFrame:
+    """``patterns`` with ``hash``."""
 
     def run(batches):
         for batch in batches:
-            found = [p.as_py() for p in batch.column(0)]
-            found += ["first:" + p[8:].split(" ")[0] for p in found if p.startswith("before2:")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array([x for p in found for x in _places(p)], np.int32)), pa.int32())], names=["place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pattern_hashes(batch.column(0).to_pylist()).view(np.int64))], names=["pattern", "hash"])
 
-    set_bits = patterns.select("pattern").mapInArrow(run, "place int").groupBy(F.expr("place div 8").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, place % 8)")).alias("bits")).toArrow()
-    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    bits[set_bits["at"].to_numpy()] = set_bits["bits"].to_numpy()
-    return bits
+    return patterns.select("pattern").mapInArrow(run, "pattern string, hash long")
 
 
-class _Known(dict):
-    """What ``find`` says of a key, remembered."""
+def filter_of(patterns: DataFrame) -> np.ndarray:
+    """Bit filter of the ``pattern`` column: two megabytes, however many patterns there are."""
 
-    def __init__(self, find):
-        super().__init__()
-        self.find = find
+    def run(batches):
+        for batch in batches:
+            hashes = pattern_hashes(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_places(hashes))), pa.int32())], names=["place"])
 
-    def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = found = self.find(key)
-        return found
+    set_bits = patterns.select("pattern").mapInArrow(run, "place int").groupBy(F.expr("place div 8").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, place % 8)")).alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    bits[set_bits["at"].to_numpy()] = set_bits["bits"].to_numpy()
+    return bits
 
 
 def count_contexts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -281,38 +300,36 @@ def count_contexts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(filter_of(patterns))
 
     def run(batches):
-        wanted = Filter(shared.value)
-        opens = _Known(lambda w: "first:" + norm(w.decode("utf-8", "replace")) in wanted)
-        words_met, firsts, lasts, two = Counter(), Counter(), Counter(), Counter()
+        bits, known = shared.value, _Words()
+        held, size, hashes, totals = [], 0, np.zeros(0, _U), np.zeros(0, np.int64)
 
-        def hand_on():
-            out = []
-            for raw, n in words_met.items():
-                w = norm(raw.decode("utf-8", "replace"))
-                # the last word of a text stands before nothing, the first after nothing
-                out += [(p, n - ends[raw]) for p, ends in (("before:" + w, lasts), ("after:" + w, firsts)) if p in wanted]
-            for (a, b), n in two.items():
-                p = f"before2:{norm(a.decode('utf-8', 'replace'))} {norm(b.decode('utf-8', 'replace'))}"
-                if p in wanted:
-                    out.append((p, n))
-            for c in (words_met, firsts, lasts, two):
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["pattern", "total"])
+        def counted():
+            """What was met so far, each context once."""
+            met = np.concatenate(held) if held else np.zeros(0, _U)
+            met, n = np.unique(met[within(met, bits)], return_counts=True)
+            both, at = np.unique(np.concatenate([hashes, met]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([totals, n]), len(both)).astype(np.int64)
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(totals, pa.int64())], names=["hash", "total"])
 
         for batch in batches:
             for raw in texts_of(batch.column(0)):
-                words = raw.split()
-                if words:
-                    words_met.update(words)
-                    firsts[words[0]] += 1
-                    lasts[words[-1]] += 1
-                    two.update([(w, words[i + 1]) for i, w in enumerate(words[:-2]) if opens[w]])
-            if len(words_met) + len(two) > CACHE:
-                yield hand_on()
-        yield hand_on()
+                h = known.of(raw.split())
+                # the last word of a text stands before nothing, the first after nothing
+                held += [_before(h[:-1]), _after(h[1:]), _before2(h[:-2], h[1:-1])]
+                size += len(h)
+                if size >= CACHE:
+                    hashes, totals = counted()
+                    held, size = [], 0
+                    if len(hashes) >= MOST_HELD:
+                        yield told()
+                        hashes, totals = hashes[:0], totals[:0]
+        hashes, totals = counted()
+        yield told()
 
-    counted = rows.select("text").mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
-    return counted.join(patterns.select("pattern"), "pattern")
+    counted_ = rows.select("text").mapInArrow(run, "hash long, total long").groupBy("hash").agg(F.sum("total").alias("total"))
+    return counted_.join(keyed(patterns), "hash").select("pattern", "total")
 
 
 def free_instances(rows: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -321,23 +338,20 @@ def free_instances(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     fields = {"doc_id": pa.int64(), "digest": pa.binary(), "start": pa.int32(), "end": pa.int32(), "value": pa.string(), "pattern": pa.string()}
 
     def run(batches):
-        wanted = Filter(shared.value)
-        starts = ("before:", "after:", "first:")
-        norms = _Known(lambda w: norm(w.decode("utf-8", "replace")))
-        flags = _Known(lambda w: sum((k + norms[w] in wanted) << n for n, k in enumerate(starts)))
+        bits, known = shared.value, _Words()
+        named = lambda w: norm(w.decode("utf-8", "replace"))
         for batch in batches:
             out = []
             for doc_id, raw, mark in zip(batch.column(0), texts_of(batch.column(1)), batch.column(2), strict=True):
                 words = raw.split()
+                h = known.of(words)
                 hits: dict[int, list[str]] = {}
-                for i, flag in [(i, flag) for i, w in enumerate(words) if (flag := flags[w])]:
-                    w = norms[words[i]]
-                    if flag & 1 and i + 1 < len(words):
-                        hits.setdefault(i + 1, []).append("before:" + w)
-                    if flag & 2 and i:
-                        hits.setdefault(i - 1, []).append("after:" + w)
-                    if flag & 4 and i + 2 < len(words) and (p := f"before2:{w} {norms[words[i + 1]]}") in wanted:
-                        hits.setdefault(i + 2, []).append(p)
+                for i in np.flatnonzero(within(_before(h[:-1]), bits)).tolist():
+                    hits.setdefault(i + 1, []).append("before:" + named(words[i]))
+                for i in np.flatnonzero(within(_after(h[1:]), bits)).tolist():
+                    hits.setdefault(i, []).append("after:" + named(words[i + 1]))
+                for i in np.flatnonzero(within(_before2(h[:-2], h[1:-1]), bits)).tolist():
+                    hits.setdefault(i + 2, []).append(f"before2:{named(words[i])} {named(words[i + 1])}")
                 if not hits:
                     continue
                 text = raw.decode("utf-8", "replace")
