@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 CONFIDENCES = ("low", "medium", "high")
 STRENGTHS = ("weak", "medium", "strong")
-#: Relationships of context to its target: base score, in order of precedence on equal scores.
+#: Relationships of context to its target: base score, in order of precedence on equal scores (fixed values).
 RELATIONSHIPS = {
     "target_symbol": 1.00,
     "tests_target_file": 0.55,
@@ -21,7 +21,7 @@ RELATIONSHIPS = {
     "transitive_caller": 0.25,
     "transitive_callee": 0.25,
 }
-#: Relationships that a finding's category favours.
+#: Relationships that a finding's category favours (fixed values).
 FAVOURED = {
     "memory_safety": ("direct_caller", "direct_callee"),
     "resource_management": ("direct_caller", "direct_callee"),

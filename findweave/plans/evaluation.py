@@ -11,6 +11,7 @@ from findweave.functions.text import contains_any, normalized
 from findweave.operators import matching, metrics
 
 PRIORITIES = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT")
+#: Phrases of generic advice, of certainty and of hedging (fixed values).
 GENERIC = ("validate user input", "validate all input", "consider using safer apis", "be careful with authentication", "ensure proper synchronization", "avoid logging sensitive data", "follow security best practices", "sanitize input", "use proper error handling")
 ABSOLUTE = ("this allows", "this is vulnerable to", "confirmed vulnerability", "definitely exploitable", "this enables")
 HEDGES = ("if ", "may ", "could ", "verify", "assuming", "depends on", "unclear")

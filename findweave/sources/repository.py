@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Which files are tracked, and marks of languages, generated files and tests (fixed values).
 MAX_BYTES = 2 * 1024 * 1024
 SKIPPED_FOLDERS = (".git", "node_modules", ".venv", "venv", "env", "dist", "build", "target", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", "vendor", "third_party", "thirdparty")
 LANGUAGES = {"py": "python", "c": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp"}
