@@ -21,11 +21,11 @@ def _severity(n) -> F.Column:
 def security_rates(spark, d):
     c, v, t = F.col, F.col("conv_id"), F.col("turn")
     pairs = spark.read.parquet(f"{d}/conversations.parquet").select(
-        "role", F.concat("text", F.when(t % 3 == 0, F.lit(" Sanitize input")).when(t % 3 == 1, F.lit(" this allows, if so")).otherwise(F.lit(" this enables"))).alias("message"),
+        "role", F.when(v % 11 == 0, F.lit("  ")).otherwise(F.concat("text", F.when(t % 3 == 0, F.lit(" Sanitize input")).when(t % 3 == 1, F.lit(" this allows, if so")).otherwise(F.lit(" this enables")))).alias("message"),
         F.when(v % 4 == 0, F.lit("  ")).when(v % 4 == 1, F.lit("It depends on the caller")).when(v % 4 == 2, c("role")).alias("reasoning"),
         F.when(v % 3 == 1, F.lit(" ")).when(v % 3 == 2, F.concat(F.lit("Use PROPER error handling, "), "role")).alias("fix"),
         F.when(t % 4 != 0, F.when(v % 5 == 0, F.concat(F.lit("Full TAKEOVER of "), "role")).when(v % 5 == 1, F.lit("")).otherwise(F.col("text"))).alias("impact"),
-        _severity(v + t).alias("severity"), F.get(F.array(*map(F.lit, ("low", "medium", "high"))), (t % 3).cast("int")).alias("confidence"), F.when(v % 2 == 1, F.lit("x")).alias("remediation"), F.when(v % 3 != 2, F.lit("y")).alias("impact_concept"),
+        _severity(v + t).alias("severity"), F.get(F.array(*map(F.lit, ("low", "medium", "high"))), (v % 3).cast("int")).alias("confidence"), F.when(v % 2 == 1, F.lit("x")).alias("remediation"), F.when(v % 3 != 2, F.lit("y")).alias("impact_concept"),
         F.when(t % 2 == 0, _severity(v)).alias("max_severity"), F.when(v % 7 != 0, F.array(F.lit("takeover"), F.lit("Full"))).otherwise(F.array().cast("array<string>")).alias("forbidden_claims"),
     )
     return quality.security_rates(pairs, GENERIC, ABSOLUTE, HEDGES, ["role"])
@@ -71,8 +71,8 @@ def feedback_totals(spark, d):
 
 
 def feedback_bands(spark, d):
-    """A finding is known as the customer of its number, as far as there is one."""
-    known = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("finding_id"), F.col("c_mktsegment").alias("category"), _severity(F.col("c_nationkey")).alias("severity"), F.when(F.col("c_acctbal") > 0, F.lit("high")).otherwise(F.lit("low")).alias("confidence"))
+    """A finding is known as the order of its number, as far as there is one."""
+    known = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("finding_id"), F.col("o_orderpriority").alias("category"), _severity(F.col("o_custkey")).alias("severity"), F.when(F.col("o_totalprice") > 100000, F.lit("high")).otherwise(F.lit("low")).alias("confidence"))
     return quality.feedback_bands(feedback_ops.assess(_log(spark, d)), known, ["category", "severity", "confidence"])
 
 
@@ -178,11 +178,11 @@ c AS (SELECT path, sym AS symbol, min(st) AS first, min(en) AS last, count(*) AS
   UNION ALL SELECT i.path, NULL, first, max(line), count(*) FROM f JOIN i ON i.path = f.path AND sym IS NULL AND line BETWEEN first AND first + 60 GROUP BY i.path, first),
 o AS (SELECT c.path, symbol, first, last, n_lines, coalesce(string_agg(w.id, ',' ORDER BY w.id), '') AS static_findings FROM c LEFT JOIN w ON w.path = c.path AND w.st <= last AND w.st + 5 >= first GROUP BY ALL)"""
 ORACLES = {
-    "security_rates": f"""WITH b AS (SELECT role, conv_id AS v, turn AS t, text || CASE turn % 3 WHEN 0 THEN ' Sanitize input' WHEN 1 THEN ' this allows, if so' ELSE ' this enables' END AS message,
+    "security_rates": f"""WITH b AS (SELECT role, conv_id AS v, turn AS t, CASE WHEN conv_id % 11 = 0 THEN '  ' ELSE text || CASE turn % 3 WHEN 0 THEN ' Sanitize input' WHEN 1 THEN ' this allows, if so' ELSE ' this enables' END END AS message,
   CASE conv_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN 'It depends on the caller' WHEN 2 THEN role END AS reasoning, CASE conv_id % 3 WHEN 1 THEN ' ' WHEN 2 THEN 'Use PROPER error handling, ' || role END AS fix,
   CASE WHEN turn % 4 <> 0 THEN CASE conv_id % 5 WHEN 0 THEN 'Full TAKEOVER of ' || role WHEN 1 THEN '' ELSE text END END AS impact FROM conversations),
 x AS (SELECT *, trim(message) <> '' AS m, coalesce(trim(reasoning) <> '', false) AS r, coalesce(trim(fix) <> '', false) AS f, coalesce(trim(impact) <> '', false) AS i, coalesce(v % 7 <> 0 AND contains(lower(impact), 'takeover'), false) AS ex,
-  {_any("message", GENERIC)} OR coalesce({_any("reasoning", GENERIC)}, false) OR coalesce({_any("fix", GENERIC)}, false) AS g, {_any("message || ' ' || coalesce(reasoning, '')", ABSOLUTE)} AND NOT {_any("message || ' ' || coalesce(reasoning, '')", HEDGES)} AS oc, t % 3 < 2 AS low FROM b),
+  {_any("message", GENERIC)} OR coalesce({_any("reasoning", GENERIC)}, false) OR coalesce({_any("fix", GENERIC)}, false) AS g, {_any("message || ' ' || coalesce(reasoning, '')", ABSOLUTE)} AND NOT {_any("message || ' ' || coalesce(reasoning, '')", HEDGES)} AS oc, v % 3 < 2 AS low FROM b),
 n AS (SELECT role, count(*) AS n, count(*) FILTER (m) AS m, count(*) FILTER (r) AS r, count(*) FILTER (v % 2 = 1) AS fe, count(*) FILTER (v % 2 = 1 AND f) AS f, count(*) FILTER (v % 3 <> 2) AS ie, count(*) FILTER (v % 3 <> 2 AND i AND NOT ex) AS ig,
   count(*) FILTER (t % 2 = 0) AS se, count(*) FILTER (t % 2 = 0 AND (v + t) % 5 > v % 5) AS so, count(*) FILTER (i) AS i, count(*) FILTER (i AND ex) AS ex, count(*) FILTER (g) AS g, count(*) FILTER (low) AS low, count(*) FILTER (low AND oc) AS oc FROM x GROUP BY 1)
 SELECT role, n AS true_positives_scored, m / n AS identification_present_rate, r / n AS root_cause_present_rate, coalesce(f / nullif(fe, 0), 1) AS actionable_fix_present_rate, fe AS actionable_fix_expected_count, coalesce(ig / nullif(ie, 0), 1) AS impact_grounded_rate, ie AS impact_expected_count,
@@ -200,7 +200,7 @@ SELECT case_id, coalesce(proposals, 0) AS proposals, coalesce(unsupported_before
   count(*) FILTER (usefulness = 'positive') / count(*) AS positive_rate, count(*) FILTER (usefulness = 'negative') / count(*) AS negative_rate, sum(explicit_useful)::BIGINT AS explicit_useful, sum(explicit_false_positive)::BIGINT AS explicit_false_positive, sum(explicit_fixed)::BIGINT AS explicit_fixed,
   count(*) FILTER (engaged) / count(*) AS engagement_rate, count(*) FILTER (confidence = 'strong') AS confidence_strong, count(*) FILTER (confidence = 'medium') AS confidence_medium, count(*) FILTER (confidence = 'weak') AS confidence_weak, count(*) FILTER (confidence IS NULL) AS confidence_none,
   (SELECT count(*) FROM l WHERE reaction_id NOT IN (SELECT doc_id FROM labels)) AS unattributed FROM a""",
-    "feedback_bands": f"""WITH {_MARKED}, k AS (SELECT usefulness, explicit_false_positive AS e, c_mktsegment AS category, {_SEV}[c_nationkey % 5 + 1] AS severity, CASE WHEN c_acctbal > 0 THEN 'high' ELSE 'low' END AS confidence FROM a JOIN customer ON c_custkey = finding_id),
+    "feedback_bands": f"""WITH {_MARKED}, k AS (SELECT usefulness, explicit_false_positive AS e, o_orderpriority AS category, {_SEV}[o_custkey % 5 + 1] AS severity, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS confidence FROM a JOIN orders ON o_orderkey = finding_id),
 b AS (SELECT usefulness, e, unnest(['category', 'severity', 'confidence']) AS band, unnest([category, severity, confidence]) AS value FROM k)
 SELECT band, value, count(*) AS findings, count(*) FILTER (usefulness = 'positive') / count(*) AS positive_rate, count(*) FILTER (usefulness = 'negative') / count(*) AS negative_rate, count(*) FILTER (e > 0) AS false_positives FROM b GROUP BY 1, 2""",
     "candidate_verdicts": f"""WITH {_MARKED} SELECT finding_id, explicit_false_positive > 0 OR negative_reactions >= 2 OR (negative_reactions > 0 AND finding_code_unchanged) AS false_positive,
