@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from findweave.operators.matching import first_by
 from findweave.operators.ranking import partition_ranked
@@ -73,6 +74,15 @@ def reusable_run(runs: DataFrame, identity: str) -> DataFrame:
     return fit.orderBy(F.desc(F.col("status") == "succeeded"), F.desc("completed_at"), "id").limit(1)
 
 
+def reusable_runs(runs: DataFrame) -> DataFrame:
+    """Of every identity the run that ``reusable_run`` gives, in one pass; identities without one are left out."""
+    done = F.col("status") == "succeeded"
+    first = F.max_by(F.struct("id", "status"), F.struct(done.alias("done"), F.col("completed_at").isNotNull().alias("known"), "completed_at", F.col("place")))
+    last_id = Window.partitionBy("identity", done, "completed_at").orderBy(F.desc("id"))
+    fit = runs.where(F.col("status").isin("succeeded", "running") & F.col("identity").isNotNull()).withColumn("place", F.row_number().over(last_id))
+    return fit.groupBy("identity").agg(first.alias("run")).select("identity", "run.id", "run.status")
+
+
 def analysis_status(executions: DataFrame, key: str) -> DataFrame:
     """Per run: succeeded if nothing failed (skips count as success), partial if some succeeded, else failed."""
     bad, ok = F.count_if(F.col("status") == "failed"), F.count_if(F.col("status") == "succeeded")
