@@ -44,12 +44,12 @@ def admit(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cost: str,
     return packed.select(*keys, F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("r")).select(*keys, "r.*")
 
 
-def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Callable, step: Callable, added: str, left_out: Sequence[str] = ()) -> DataFrame:
+def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Callable, step: Callable, added: str, left_out: Sequence[str] = (), dealt: bool = False) -> DataFrame:
     """Rows with the columns ``added`` (a schema string) that ``step(state, row)`` returns as a tuple.
 
     Rows of a key come one after the other in order, and ``begin()`` makes a key's state. Keys are
-    exchanged and sorted once and then streamed, so that many small keys cost no call each and a
-    task holds one batch and one key's state.
+    exchanged (unless ``dealt``: they are already dealt out by key) and sorted once and then streamed,
+    so that many small keys cost no call each and a task holds one batch and one key's state.
     """
     names = [f.split()[0] for f in added.split(", ")]
 
@@ -65,7 +65,7 @@ def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Ca
             yield pdf.drop(columns=list(left_out)).assign(**{n: pd.Series([o[i] for o in out], index=pdf.index, dtype=object) for i, n in enumerate(names)})
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in left_out] + [added])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return (rows if dealt else rows.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def suppress_overlaps(rows: DataFrame, target: Sequence[str], ratio: float = 0.6, exempt: Sequence[str] = ("parent_symbol",)) -> DataFrame:
@@ -91,51 +91,83 @@ def suppress_overlaps(rows: DataFrame, target: Sequence[str], ratio: float = 0.6
     return folded(rows, target, ["ord"], dict, lambda kept, c: (verdict(kept, c),), "verdict string")
 
 
-def fill_budget(rows: DataFrame, target: Sequence[str], max_tokens: int, max_lines: int, item_tokens: int, item_lines: int, reserve: float = 0.35, per_relationship: int = 3) -> DataFrame:
-    """Context candidates with ``taken``, ``first``, ``last``, ``content``, ``tokens`` and ``truncated`` under token and line budgets.
-
-    ``rows``: target columns, ord, relationship, is_target, start, anchor (or null), lines (those of
-    the candidate's range; null if the file has none of it), which the result leaves out. Candidates
-    are served in order. A target may use its reserved share; other relationships are capped. What
-    is too long is cut to a window around its anchor, once for the lines and once, in proportion,
-    for the tokens. Candidates that aren't taken are the dropped ones.
-    """
+def _served(max_tokens: int, max_lines: int, item_tokens: int, item_lines: int, reserve: float, per_relationship: int) -> tuple[Callable, Callable]:
+    """``begin()`` and ``serve(left, candidate, lengths)`` -> (offset, lines, tokens) of what is taken, or None."""
     of_target, of_others = (max(item_lines, int(max_lines * reserve)), max(item_tokens, int(max_tokens * reserve))), (item_lines, item_tokens)
 
-    def window(c, size: int) -> tuple[int, int, str]:
-        spare = len(c.lines) - size
+    def window(c, lengths: list[int], size: int) -> tuple[int, int, int]:
+        spare = len(lengths) - size
         if spare <= 0:
-            first, size = 0, len(c.lines)
+            first, size = 0, len(lengths)
         else:
             anchor = 0 if pd.isna(c.anchor) else int(c.anchor) - c.start
             first = min(max(anchor - size // 2, 0), spare)
-        return first, size, "\n".join(c.lines[first : first + size])
+        return first, size, sum(lengths[first : first + size]) + size - 1
 
     def begin() -> dict:
         return {"tokens": max_tokens, "lines": max_lines, "used": Counter()}
 
-    def step(left: dict, c) -> tuple:
+    def serve(left: dict, c, lengths: list[int] | None) -> tuple[int, int, int] | None:
         line_cap, token_cap = of_target if c.is_target else of_others
         line_cap, token_cap = min(line_cap, left["lines"]), min(token_cap, left["tokens"])
         free = c.is_target or left["used"][c.relationship] < per_relationship
-        if free and line_cap >= 1 and token_cap >= 1 and c.lines is not None and len(c.lines):
-            first, size, text = window(c, line_cap)
-            cost = -(-len(text) // 4)
+        if free and line_cap >= 1 and token_cap >= 1 and lengths:
+            first, size, chars = window(c, lengths, line_cap)
+            cost = -(-chars // 4)
             if cost > token_cap:
-                first, size, text = window(c, max(1, int(size * (token_cap / cost))))
-                cost = -(-len(text) // 4)
-            if text:
+                first, size, chars = window(c, lengths, max(1, int(size * (token_cap / cost))))
+                cost = -(-chars // 4)
+            if chars:
                 left["tokens"] -= cost
                 left["lines"] -= size
                 left["used"][c.relationship] += 1
-                return True, c.start + first, c.start + first + size - 1, text, cost, size < len(c.lines)
-        return False, None, None, None, 0, False
+                return first, size, cost
+        return None
+
+    return begin, serve
+
+
+def plan_budget(rows: DataFrame, target: Sequence[str], max_tokens: int, max_lines: int, item_tokens: int, item_lines: int, reserve: float = 0.35, per_relationship: int = 3, dealt: bool = False) -> DataFrame:
+    """``fill_budget`` without contents: ``rows`` have the lines' ``lengths`` (code points) instead of ``lines``.
+
+    Only lengths are shuffled, never texts; contents are the lines ``first`` to ``last`` of the file.
+    """
+    begin, serve = _served(max_tokens, max_lines, item_tokens, item_lines, reserve, per_relationship)
+
+    def step(left: dict, c) -> tuple:
+        got = serve(left, c, None if c.lengths is None else c.lengths.tolist())
+        if got is None:
+            return False, None, None, 0, False
+        first, size, cost = got
+        return True, c.start + first, c.start + first + size - 1, cost, size < len(c.lengths)
+
+    return folded(rows, target, ["ord"], begin, step, "taken boolean, first long, last long, tokens long, truncated boolean", ["lengths"], dealt)
+
+
+def fill_budget(rows: DataFrame, target: Sequence[str], max_tokens: int, max_lines: int, item_tokens: int, item_lines: int, reserve: float = 0.35, per_relationship: int = 3) -> DataFrame:
+    """Context candidates with ``taken``, ``first``, ``last``, ``content``, ``tokens`` and ``truncated`` under token and line budgets.
+
+    ``rows``: target columns, ord, relationship, is_target, start, anchor (or null), lines (those of
+    the candidate's range; null if the file has none of it), which the result leaves out. Candidates
+    are served in order. A target may use its reserved share; other relationships are capped. What
+    is too long is cut to a window around its anchor, once for the lines and once, in proportion,
+    for the tokens. Candidates that aren't taken are the dropped ones. Lines are shuffled with their
+    candidates; where many candidates share files, ``plan_budget`` moves lengths only.
+    """
+    begin, serve = _served(max_tokens, max_lines, item_tokens, item_lines, reserve, per_relationship)
+
+    def step(left: dict, c) -> tuple:
+        got = serve(left, c, None if c.lines is None else list(map(len, c.lines)))
+        if got is None:
+            return False, None, None, None, 0, False
+        first, size, cost = got
+        return True, c.start + first, c.start + first + size - 1, "\n".join(c.lines[first : first + size]), cost, size < len(c.lines)
 
     return folded(rows, target, ["ord"], begin, step, "taken boolean, first long, last long, content string, tokens long, truncated boolean", ["lines"])
 
 
 def budget_totals(filled: DataFrame, target: Sequence[str]) -> DataFrame:
-    """Per target the taken and dropped candidates, tokens and lines of ``fill_budget``."""
+    """Per target the taken and dropped candidates, tokens and lines of ``fill_budget`` or ``plan_budget``."""
     taken = F.col("taken")
     return filled.groupBy(*target).agg(F.count_if(taken).alias("taken"), F.count_if(~taken).alias("dropped"), F.sum("tokens").alias("tokens"), F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)).alias("lines"))
 

@@ -163,6 +163,20 @@ def test_context_budget(spark):
     assert (small["first"], small["last"], small["truncated"]) == (1, 20, False)
 
 
+def test_budget_moves_lengths_only(spark):
+    from findweave.plans import context
+
+    cols = "t int, ord int, relationship string, is_target boolean, start int, anchor int, lines array<string>"
+    rows = [(k // 9, k % 9, "ab"[k % 2], k % 9 == 0, k % 5, k % 7 * 3 if k % 3 else None, None if k % 8 == 7 else ["\u00e9x" * (k * j % 40) for j in range(k % 23)]) for k in range(180)]
+    filled = spark.createDataFrame(rows, cols)
+    shown = ["t", "ord", "taken", "first", "last", "tokens", "truncated"]
+    full = ranking.fill_budget(filled, ["t"], 90, 20, 60, 8, 0.35, 2).select(*shown)
+    bare = ranking.plan_budget(filled.withColumn("lengths", F.transform("lines", F.length)).drop("lines"), ["t"], 90, 20, 60, 8, 0.35, 2).select(*shown)
+    assert sorted(map(str, bare.collect())) == sorted(map(str, full.collect()))
+    plan = context.context_totals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+
+
 def test_review_candidates(spark):
     added = spark.createDataFrame([("a", 2), ("a", 3), ("a", 50), ("a", 111)], "path string, line int")
     symbols = spark.createDataFrame([("a", "outer", 1, 10), ("a", "inner", 2, 4)], "path string, id string, start int, end int")
