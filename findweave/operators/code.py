@@ -96,11 +96,15 @@ def test_regions(targets: DataFrame, tests: DataFrame, symbols: DataFrame) -> Da
 
     ``targets``: target, path, name; ``tests``: test_path, source_path; ``symbols``: path, name, start, end.
     """
-    pairs = targets.join(tests, targets["path"] == tests["source_path"]).select("target", F.lower("name").alias("wanted"), "test_path")
+    # targets with the same wants in the same files see the same tests: symbols are chosen once for each such profile
+    wants = targets.groupBy("target").agg(F.sort_array(F.collect_set(F.struct("path", F.lower("name").alias("wanted")))).alias("profile"))
+    profiles = wants.select("profile").distinct().select("profile", F.explode("profile").alias("w")).select("profile", "w.*")
+    pairs = profiles.join(tests, profiles["path"] == tests["source_path"]).select("profile", "wanted", "test_path")
     s = symbols.select(F.col("path").alias("test_path"), F.col("name").alias("symbol"), "start", "end")
     j = pairs.join(s, "test_path", "left")
     best = F.min_by(F.struct("symbol", "start", "end"), F.struct(~F.contains(F.lower("symbol"), F.col("wanted")), F.col("start"), F.col("symbol")))
-    return j.groupBy("target", "test_path").agg(best.alias("b")).select("target", "test_path", "b.symbol", F.coalesce("b.start", F.lit(1)).alias("start"), F.coalesce("b.end", F.lit(30)).alias("end"))
+    chosen = j.groupBy("profile", "test_path").agg(best.alias("b")).select("profile", "test_path", "b.symbol", F.coalesce("b.start", F.lit(1)).alias("start"), F.coalesce("b.end", F.lit(30)).alias("end"))
+    return wants.join(chosen, "profile").select("target", "test_path", "symbol", "start", "end")
 
 
 def import_regions(imports: DataFrame, symbols: DataFrame) -> DataFrame:
