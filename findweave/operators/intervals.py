@@ -80,9 +80,12 @@ def attached(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: st
     return left.join(ids, left_id, "left").withColumn(name, F.coalesce(name, F.array().cast(ids.schema[name].dataType)))
 
 
-def _split(df: DataFrame, keys: Sequence[str], long_key: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of keys with up to ``long_key`` rows, and of the others (None if there are none)."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("__size")).where(F.col("__size") > long_key)
+def _split(df: DataFrame, keys: Sequence[str], long_key: int, given: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with up to ``long_key`` rows, and of the others (None if there are none).
+
+    A key for which the aggregate ``given`` doesn't hold stays with the first.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__size"), (F.lit(True) if given is None else given).alias("__given")).where((F.col("__size") > long_key) & F.col("__given"))
     if sizes.isEmpty():
         return df, None
     long = sizes.select(F.struct(*keys).alias("__key"))

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from findweave.operators import scan
+from findweave.operators.intervals import LONG_KEY, _split
+from findweave.session import materialize
+
 
 def partition_ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], mappable: Column, max_inline: int, max_summary: int, reported: Column | None = None) -> DataFrame:
     """Rows with ``disposition``: already_reported, inline, summary or omitted.
@@ -27,21 +34,62 @@ def partition_ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[Colum
     return flagged.withColumn("disposition", disposition).drop("__known", "__map", "__inline", "__rest")
 
 
-def admit(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cost: str, budget: int, row: Sequence[str]) -> DataFrame:
-    """Rows with ``admitted`` and ``used``: each is taken in order if it still fits the key's budget."""
-    item = F.struct(*order, *[F.col(c) for c in dict.fromkeys([cost, *row]) if c not in order])
-    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    names = list(dict.fromkeys([*order, cost, *row]))
-    inner = F.struct(*[F.col(n) for n in names], F.lit(True).alias("admitted"), F.lit(0).cast("long").alias("used"))
-    kind = rows.select(F.array(inner).alias("k")).schema["k"].dataType.simpleString()
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("out"))
+def _admitted_in_turn(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``df`` with admitted and used: keys are dealt out, sorted and streamed against their ``__left``; one number is held."""
+    schema = T.StructType([*df.schema.fields, T.StructField("admitted", T.BooleanType()), T.StructField("used", T.LongType())])
+
+    def run(batches):
+        key, used = None, 0
+        for batch in batches:
+            admitted, sums = [], []
+            columns = [batch.column(n).to_pylist() for n in (*keys, "__cost", "__left")]
+            for *now, cost, left in zip(*columns, strict=True):
+                if now != key:
+                    key, used = now, 0
+                fits = None if cost is None else used + cost <= left
+                used += cost if fits else 0
+                admitted.append(fits)
+                sums.append(used)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, pa.bool_()), pa.array(sums, pa.int64())], names=[*batch.schema.names, "admitted", "used"])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *by).mapInArrow(run, schema)
 
-    def step(a, x):
-        fits = a["used"] + x[cost] <= budget
-        used = F.when(fits, a["used"] + x[cost]).otherwise(a["used"])
-        return F.struct(used.alias("used"), F.concat(a["out"], F.array(F.struct(*[x[n].alias(n) for n in names], fits.alias("admitted"), used.alias("used")))).alias("out"))
 
-    return packed.select(*keys, F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("r")).select(*keys, "r.*")
+def _admitted_by_rounds(rows: DataFrame, keys: Sequence[str], by: Sequence[str], budget: int, long_key: int) -> DataFrame:
+    """``rows`` with admitted and used, for keys of any size whose costs aren't negative.
+
+    In each round the rows up to the first that doesn't fit are taken by running sums; of the others
+    those that cost more than is left then are refused for good, as less and less is left, and the rest
+    go on. Once a key's rest is small, it is streamed. A round takes a row of each key at least.
+    """
+    base = scan.numbered(rows, keys, [F.col(b) for b in by])
+    places = [scan.KEY, scan.PART, scan.NUMBER]
+    rest, taken = base.where("__cost IS NOT NULL").select(*keys, *places, "__cost", F.lit(budget).cast("long").alias("__left")), []
+    while not rest.groupBy(*keys).count().where(F.col("count") > long_key).isEmpty():
+        summed = materialize(scan.running_sum(rest, F.col("__cost"), "__sum"), "summed")
+        fits = F.col("__sum") <= F.col("__left")
+        taken.append(summed.where(fits).select(scan.NUMBER))
+        left = summed.groupBy(F.col(scan.KEY).alias("__key")).agg((F.max("__left") - F.coalesce(F.max(F.when(fits, F.col("__sum"))), F.lit(0))).alias("__now"))
+        over = summed.where(~fits).join(left, F.col(scan.KEY).eqNullSafe(F.col("__key"))).where("__cost <= __now")
+        rest = materialize(over.select(*keys, *places, "__cost", F.col("__now").alias("__left")), "rest")
+    taken.append(_admitted_in_turn(rest, keys, [scan.NUMBER]).where("admitted").select(scan.NUMBER))
+    admitted = reduce(DataFrame.unionByName, taken).withColumn("admitted", F.lit(True))
+    marked = base.join(admitted, scan.NUMBER, "left").withColumn("admitted", F.when(F.col("__cost").isNotNull(), F.coalesce("admitted", F.lit(False))))
+    return scan.running_sum(marked, F.when(F.col("admitted"), F.col("__cost")).otherwise(F.lit(0)), "used")
+
+
+def admit(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cost: str, budget: int, row: Sequence[str], long_key: int = LONG_KEY) -> DataFrame:
+    """Rows with ``admitted`` and ``used``: each is taken in order if it still fits the key's budget.
+
+    Keys with up to ``long_key`` rows, and those with a negative cost, are streamed in order; longer
+    ones are split over tasks. A row without a cost is neither taken nor refused.
+    """
+    by = list(dict.fromkeys([*order, cost, *row]))
+    given = rows.select(*dict.fromkeys([*keys, *by])).withColumn("__cost", F.col(cost).cast("long"))
+    short, long = _split(given, keys, long_key, F.coalesce(F.min("__cost"), F.lit(0)) >= 0)
+    columns = [*dict.fromkeys([*keys, *by]), "admitted", "used"]
+    out = _admitted_in_turn(short.withColumn("__left", F.lit(budget).cast("long")), keys, by).select(*columns)
+    return out if long is None else out.unionByName(_admitted_by_rounds(long, keys, by, budget, long_key).select(*columns))
 
 
 def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Callable, step: Callable, added: str, left_out: Sequence[str] = (), dealt: bool = False) -> DataFrame:

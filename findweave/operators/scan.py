@@ -55,6 +55,18 @@ def last_before(rows: DataFrame, value: Column, name: str, inclusive: bool = Fal
     return met.withColumn(name, F.coalesce(name, F.when(F.col(KEY).eqNullSafe(F.col("carry_key")), F.col("carry")))).drop("scan_value", "carry_key", "carry")
 
 
+def running_sum(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` (with the columns of ``numbered``) with ``name``: the sum of ``value`` over the rows of the key up to each."""
+    frame = Window.partitionBy(PART, KEY).orderBy(NUMBER).rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("scan_value", value)
+    sums = held.groupBy(PART, KEY).agg(F.sum("scan_value").alias("scan_sum"))
+    # one row per key and partition
+    before = F.sum("scan_sum").over(Window.partitionBy(KEY).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
+    carried = sums.select(PART, F.col(KEY).alias("carry_key"), F.coalesce(before, F.lit(0)).alias("carry"))
+    met = held.withColumn(name, F.coalesce(F.sum("scan_value").over(frame), F.lit(0))).alias("a").join(carried.alias("b"), (F.col(f"a.{PART}") == F.col(f"b.{PART}")) & F.col(KEY).eqNullSafe(F.col("carry_key")))
+    return met.select("a.*", "carry").withColumn(name, F.col(name) + F.col("carry")).drop("scan_value", "carry")
+
+
 def reached(nodes: DataFrame, node: str, following: str, first: str) -> DataFrame:
     """(node): the nodes that ``first`` ones reach by following pointers, themselves included.
 

@@ -177,6 +177,21 @@ def test_budget_moves_lengths_only(spark):
     assert plan.count("RepartitionByExpression") == 1
 
 
+def test_admission_of_long_keys(spark):
+    """The same by rounds as row by row, with costs of nothing, missing ones, a null key and a key with a negative cost."""
+    rows = [(None if k % 5 == 0 else "abcd"[k % 4], k * 7919 % 1009, None if k % 97 == 0 else -3 if k == 402 else k * k % 61 * (k % 3)) for k in range(1009)]
+    want, used = [], {}
+    for key, place, cost in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        fits = None if cost is None else used.get(key, 0) + cost <= 900
+        used[key] = used.get(key, 0) + (cost if fits else 0)
+        want.append((key, place, cost, fits, used[key]))
+    given_rows = spark.createDataFrame(rows, "k string, at int, cost int").repartition(5)
+    for long_key in (10_000, 20):
+        got = ranking.admit(given_rows, ["k"], ["at"], "cost", 900, ["at"], long_key)
+        assert got.columns == ["k", "at", "cost", "admitted", "used"]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_review_candidates(spark):
     added = spark.createDataFrame([("a", 2), ("a", 3), ("a", 50), ("a", 111)], "path string, line int")
     symbols = spark.createDataFrame([("a", "outer", 1, 10), ("a", "inner", 2, 4)], "path string, id string, start int, end int")
