@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from findweave.session import materialize
+
 #: Comments, raw and plain strings, characters, directives, numbers, names with their scopes, blanks, single signs.
 TOKEN = "|".join((
     r"/\*[\s\S]*?(?:\*/|\z)", r"//(?:[^\n\\]++|\\[\s\S])*+", r'R"([^()\\\s"]{0,16})\([\s\S]*?\)\1"', r'"(?:[^"\\\n]++|\\[\s\S])*+"?', r"[0-9][\w.']*+",
@@ -39,6 +41,13 @@ _MACRO = r"^\s*#\s*define\s+([A-Za-z_]\w*)(?!\w|\()"
 COLUMNS = ("relative_path", "entry", "name", "qualified_name", "kind", "parent", "start_line", "end_line", "target", "content_hash", "signature", "visibility")
 
 
+#: What is kept of a segment.
+SEGMENT = (
+    "relative_path", "language", "segment", "head", "calls", "at", "line", "end", "end_line", "end_at", "head_at", "directive", "parens", "braces", "least", "last", "close", "close_line", "close_at",
+    "what", "local", "keyword", "typedef",
+)
+
+
 def _tokens(files: DataFrame) -> DataFrame:
     """Significant tokens with line, offset, brace level, segment and neighbours."""
     c, here = F.col, Window.partitionBy("relative_path").orderBy("pos")
@@ -142,8 +151,10 @@ def parse_clike(files: DataFrame) -> DataFrame:
     """
     c = F.col
     files = files.where(F.col("language").isin("c", "cpp") & F.col("content").isNotNull()).select("relative_path", "language", F.decode("content", "utf-8").alias("text"))
-    files = files.repartition("relative_path")  # texts are shuffled here, not their tokens
-    s = _scoped(_classified(_segments(_tokens(files))))
+    # texts are shuffled here, not their tokens; small as they are, they aren't coalesced, as tokens are many times their size
+    files = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "relative_path")
+    # written once: the scopes read segments five times, and each time all tokens would be made and sorted anew
+    s = _scoped(materialize(_classified(_segments(_tokens(files))).select(*SEGMENT), "segments"))
     in_c = c("language") == "c"
     inner = F.get("scope", F.size("scope") - 1)
     named = lambda chain: F.array_join(F.array_compact(F.transform(chain, lambda x: x["local"])), "::")

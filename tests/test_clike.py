@@ -128,3 +128,16 @@ def test_parsers_by_language(spark):
     more = languages.parsed(df, {**languages.PARSERS, "go": go})
     assert ("c.go", "symbol", "x") in {(r["relative_path"], r["entry"], r["name"]) for r in more.collect()}
     assert languages.unsupported(df).collect() == [("c.go", "go")]
+
+
+def test_segments_are_made_once(spark, monkeypatch):
+    """Scopes read segments several times; the tokens aren't made anew for each, and few bytes of text still fill all partitions."""
+    from findweave.sources import clike
+
+    made, write = [], clike.materialize
+    monkeypatch.setattr(clike, "materialize", lambda df, label: made.append((label, df.rdd.getNumPartitions())) or write(df, label))
+    files = spark.createDataFrame([(f"f{k}.c", "c", bytearray(b"int f(int a) { return g(a); }\n")) for k in range(40)], "relative_path string, language string, content binary")
+    found = clike.parse_clike(files)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 0
+    assert made == [("segments", int(spark.conf.get("spark.sql.shuffle.partitions")))]
+    assert found.where("entry = 'symbol'").count() == found.where("entry = 'call'").count() == 40
