@@ -62,6 +62,8 @@ LONG_WORD = 64
 FILTER_BITS = 24
 #: Words whose hashes are kept, and words that are counted at a time; counts that a task holds before it hands them on.
 CACHE, MOST_HELD = 400_000, 2_000_000
+#: Tasks that count contexts, at most, for each slot of the cluster.
+TASKS_A_SLOT = 2
 #: Parts that the instances of a pattern are dealt out into.
 SALT = 32
 FOUND = 0.5
@@ -328,7 +330,9 @@ def count_contexts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
         hashes, totals = counted()
         yield told()
 
-    counted_ = rows.select("text").mapInArrow(run, "hash long, total long").groupBy("hash").agg(F.sum("total").alias("total"))
+    # a context is told once by each task that meets it: few tasks, so that rows follow the contexts, not contexts times partitions
+    few = TASKS_A_SLOT * rows.sparkSession.sparkContext.defaultParallelism
+    counted_ = rows.select("text").coalesce(few).mapInArrow(run, "hash long, total long").groupBy("hash").agg(F.sum("total").alias("total"))
     return counted_.join(keyed(patterns), "hash").select("pattern", "total")
 
 

@@ -723,3 +723,14 @@ def test_packed_numbers_and_strings():
         items = [bytes(rng.integers(0, 256, k % 9, np.uint8)) for k in range(n)]
         assert _blocks.grow_strings(_blocks.shrink_strings(items)) == items
         assert (_blocks.unpack_codes(_blocks.pack_codes([small[:3].astype(np.uint32), small[3:].astype(np.uint32)])) == small).all()
+
+
+def test_pii_counts_are_told_by_few_tasks(spark):
+    """Many partitions with the same contexts give the same totals, and not a row of counts from each."""
+    from findweave.llm import pii
+
+    patterns = spark.createDataFrame([("before:call",), ("after:now",), ("before2:please call",), ("before:never",)], "pattern string")
+    rows = spark.range(400).selectExpr("'please call me now or call' AS text").repartition(100)
+    counted = pii.count_contexts(rows, patterns)
+    assert {tuple(r) for r in counted.collect()} == {("before:call", 400), ("after:now", 400), ("before2:please call", 400)}
+    assert f"Repartition {pii.TASKS_A_SLOT * spark.sparkContext.defaultParallelism}, false" in counted._jdf.queryExecution().optimizedPlan().toString()
