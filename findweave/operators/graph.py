@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findweave.operators.ranking import capped
-from findweave.session import materialize
+from findweave.session import drop_materialized, materialize, materialized
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a_id", b: str = "b_id") -> DataFrame:
@@ -16,8 +16,9 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a
 
     Labels spread along edges and then jump to their label's label, so the number of rounds grows
     with the logarithm of a component's diameter; rounds go on until no label changes. Each round is
-    written to the shared folder.
+    written to the shared folder, and the one before it dropped; at the end the edges are, too.
     """
+    spark, first = edges.sparkSession, materialized(edges.sparkSession)
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = materialize(both.union(both.select("v", "u")).distinct(), "edges")
     touched = both.select(F.col("u").alias(node)).distinct()
@@ -29,8 +30,10 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a
         jump = near.select(F.col(node).alias("next"), F.col("next").alias("far"))
         after = near.join(jump, "next", "left").select(node, F.coalesce("far", "next").alias("root"), "old")
         after = materialize(after, "labels")
+        drop_materialized(spark, first + 1, keep=1)
         changed = not after.where("root <> old").isEmpty()
         labels = after.select(node, "root")
+    drop_materialized(spark, first, keep=1)
     return nodes.select(node).join(labels, node, "left").select(node, F.coalesce("root", node).alias("root"))
 
 

@@ -192,6 +192,16 @@ def test_admission_of_long_keys(spark):
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_components_keep_one_table(spark):
+    from findweave.session import materialized
+
+    before = materialized(spark)
+    edges = spark.range(60).selectExpr("id AS a_id", "id + 1 AS b_id").where("a_id % 20 <> 19")
+    found = graph.components(spark.range(60), edges)
+    assert materialized(spark) == before + 1
+    assert {r["id"]: r["root"] for r in found.collect()} == {k: k // 20 * 20 for k in range(60)}
+
+
 def test_review_candidates(spark):
     added = spark.createDataFrame([("a", 2), ("a", 3), ("a", 50), ("a", 111)], "path string, line int")
     symbols = spark.createDataFrame([("a", "outer", 1, 10), ("a", "inner", 2, 4)], "path string, id string, start int, end int")
