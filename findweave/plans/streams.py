@@ -63,7 +63,7 @@ def stream_reactions(spark, d):
     """Polled snapshots of two reactions a comment, one of them a bot's now and then, in deliveries out of order."""
     k = c("event_id")
     rows = _delivered(spark, d, [c("user_id").alias("comment_id"), c("ts").alias("polled_at"), F.array(k % 3, k % 5 + 3).alias("reaction_ids"), F.array(F.lit("User"), _pick(k, "User", "Bot", "User")).alias("actor_types")])
-    return ingest.settled_in_turn(rows, "reactions", lambda s: ingest.reaction_changes(s, delay=DELAY))
+    return ingest.ordered_reactions(spark, ingest.in_turn(rows, "reactions", lambda s, path: ingest.reactions_in_order(s, DELAY, path)))
 
 
 def stream_counters(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from findweave.session import shared_path
 
@@ -239,11 +240,11 @@ def counted_append(events: DataFrame, identity: Sequence[str], path: str) -> Dat
     return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state")
 
 
-def reaction_changes(snapshots: DataFrame, comment: str = "comment_id", delay: str | None = None) -> DataFrame:
+def reaction_changes(snapshots: DataFrame, comment: str = "comment_id") -> DataFrame:
     """Added and removed reactions from polled snapshots of a comment's reactions; bots are left out.
 
-    ``snapshots``: comment id, polled_at, reaction_ids (all that are active), actor_types alike. With
-    a ``delay`` polls are put in the order of their time first, across batches.
+    ``snapshots``: comment id, polled_at, reaction_ids (all that are active), actor_types alike. Polls
+    of a batch are put in the order of their time; ``reactions_in_order`` does it across batches.
     """
     schema = f"{comment} long, reaction_id long, event_type string, polled_at timestamp"
 
@@ -251,9 +252,6 @@ def reaction_changes(snapshots: DataFrame, comment: str = "comment_id", delay: s
         now = frozenset(int(i) for i, kind in zip(row.reaction_ids, row.actor_types, strict=True) if kind != "Bot")
         return now, [*[(i, "reaction_added", row.polled_at) for i in sorted(now - active)], *[(i, "reaction_removed", row.polled_at) for i in sorted(active - now)]]
 
-    if delay is not None:
-        return in_order(snapshots.select(comment, "polled_at", "reaction_ids", "actor_types"), comment, "polled_at", (), delay, schema, frozenset(), change)
-
     def step(keys: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         active = frozenset(kept.get[0]) if kept.exists else frozenset()
         out = []
@@ -264,3 +262,48 @@ def reaction_changes(snapshots: DataFrame, comment: str = "comment_id", delay: s
         yield pd.DataFrame(out, columns=[comment, "reaction_id", "event_type", "polled_at"])
 
     return snapshots.groupBy(comment).applyInPandasWithState(step, schema, "active array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def reactions_in_order(snapshots: DataFrame, delay: str, path: str, comment: str = "comment_id") -> DataStreamWriter:
+    """What ``reaction_changes`` gives, with polls put in the order of their time across batches; see ``ordered_reactions``.
+
+    A poll waits in a table until the newest one is ``delay`` ahead of it, so one that comes late is
+    still put in its place; what comes later than that is dropped. A comment's last poll that has
+    passed is kept beside those that wait. Each batch owns its folders and overwrites them when it
+    runs again.
+    """
+    behind = int(pd.Timedelta(delay) / pd.Timedelta(1, "us"))
+    people = F.filter(F.arrays_zip(F.col("reaction_ids").alias("id"), F.col("actor_types").alias("kind")), lambda r: ~r["kind"].eqNullSafe("Bot"))
+    active = F.array_sort(F.array_distinct(F.transform(people, lambda r: r["id"].cast("long"))))
+    uneven = F.size("reaction_ids") != F.size("actor_types")
+    active = F.when(uneven, F.raise_error(F.lit("a reaction without an actor type, or the reverse"))).otherwise(active)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        polls = batch.select(F.col(comment).cast("long").alias(comment), F.unix_micros("polled_at").alias("at"), active.alias("active"), F.lit(False).alias("passed"))
+        newest = batch.agg(F.max(F.unix_micros("polled_at"))).first()[0]
+        if number:
+            old = spark.read.parquet(f"{path}/newest/batch={number - 1}").first()[0]
+            kept = spark.read.schema(polls.schema).parquet(f"{path}/kept/batch={number - 1}")
+            polls = kept.unionByName(polls if old is None else polls.where(F.col("at") > old - behind))
+            newest = max((x for x in (old, newest) if x is not None), default=None)
+        until = F.lit(None if newest is None else newest - behind).cast("long")
+        own = Window.partitionBy(comment).orderBy(F.desc("passed"), "at", "active")
+        due = polls.where(F.col("passed") | (F.col("at") <= until))
+        due = due.withColumn("before", F.coalesce(F.lag("active").over(own), F.array().cast("array<long>"))).withColumn("last", F.lead("at").over(own).isNull())
+        event = lambda ids, kind: F.transform(ids, lambda i: F.struct(i.alias("reaction_id"), F.lit(kind).alias("event_type")))
+        events = F.concat(event(F.array_except("active", "before"), "reaction_added"), event(F.array_except("before", "active"), "reaction_removed"))
+        found = due.where(~F.col("passed")).select(comment, F.explode(events).alias("e"), F.timestamp_micros("at").alias("polled_at")).select(comment, "e.*", "polled_at")
+        found.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        rest = polls.where(~F.col("passed") & F.coalesce(F.col("at") > until, F.lit(True)))
+        rest.unionByName(due.where("last").select(comment, "at", "active", F.lit(True).alias("passed"))).write.mode("overwrite").parquet(f"{path}/kept/batch={number}")
+        spark.range(1).select(F.lit(newest).cast("long").alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={number}")
+        past = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kept/batch={number - 2}")  # the batch before this one may run again, none before it
+        past.getFileSystem(spark._jsc.hadoopConfiguration()).delete(past, True)
+
+    return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state")
+
+
+def ordered_reactions(spark: SparkSession, path: str, comment: str = "comment_id") -> DataFrame:
+    """All changes that ``reactions_in_order`` has stored."""
+    return spark.read.schema(f"{comment} long, reaction_id long, event_type string, polled_at timestamp").parquet(f"{path}/rows/batch=*")

@@ -48,3 +48,30 @@ def test_counters_of_each_run(spark):
     got = [tuple(r[c] for c in ingest.COUNTERS) for r in spark.read.parquet(f"{path}/counters").where("observed > 0").orderBy("batch").collect()]
     assert got == [(3, 2, 1, 1, 1), (2, 1, 1, 0, 0), (1, 0, 1, 0, 0)]
     assert spark.read.parquet(f"{path}/rows").count() == 3
+
+
+def test_late_polls_of_reactions_are_put_in_order_by_windows(spark):
+    day = lambda n: f"2024-01-{n:02d} 00:00:00"
+    polls = lambda *rows: spark.createDataFrame(rows, "comment_id long, polled_at string, reaction_ids array<long>, actor_types array<string>").withColumn("polled_at", F.col("polled_at").cast("timestamp"))
+    parts = [
+        polls((1, day(5), [1, 2], ["User", "Bot"]), (2, day(5), [7], [None])),
+        polls((1, day(9), [3, 3], ["User", "User"]), (2, day(9), [], [])),
+        polls((1, day(7), [1, 3], ["User", "User"]), (2, day(1), [8], ["User"])),  # one in time, one five days too late
+        polls((None, "2024-03-01 00:00:00", None, None)),
+    ]
+    start = lambda s, path: ingest.reactions_in_order(s, "5 days", path)
+    read = lambda parts: ingest.ordered_reactions(spark, ingest.in_turn(parts, "reactions", start)).orderBy("comment_id", "polled_at", "reaction_id").collect()
+    got = [(r["comment_id"], r["reaction_id"], r["event_type"].removeprefix("reaction_"), r["polled_at"].day) for r in read(parts)]
+    assert got == [(1, 1, "added", 5), (1, 3, "added", 7), (1, 1, "removed", 9), (2, 7, "added", 5), (2, 7, "removed", 9)]
+    assert read(parts[:1]) == []  # all wait
+
+
+def test_polls_of_reactions_need_no_python_for_each_comment(spark, monkeypatch, tmp_path):
+    from findweave.plans import streams
+
+    def none(*_, **__):
+        raise AssertionError("a call of Python for each comment and batch")
+
+    monkeypatch.setattr(ingest, "in_order", none)
+    spark.range(40).selectExpr("id AS event_id", "timestamp_micros(id * 1000000) AS ts", "id % 3 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert streams.stream_reactions(spark, str(tmp_path)).count() > 0
