@@ -62,6 +62,8 @@ LONG_WORD = 64
 FILTER_BITS = 24
 #: Words whose hashes are kept, and words that are counted at a time; counts that a task holds before it hands them on.
 CACHE, MOST_HELD = 400_000, 2_000_000
+#: Words of whole texts that are looked up in contexts at a time.
+AT_ONCE = 50_000
 #: Tasks that count contexts, at most, for each slot of the cluster.
 TASKS_A_SLOT = 2
 #: Parts that the instances of a pattern are dealt out into.
@@ -80,8 +82,9 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _ACCESS = re.compile(r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|api_?key|access_?key|token)\x20?[=:]\x20?[\"']?(?=[^\s\"',;]*[0-9])([^\s\"',;]{8,})")
 _MARKED = re.compile(rb"[0-9@]")
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _DIGIT_BYTE = re.compile(r"[0-9]"), re.compile(rb"[0-9]")
 _EDGE = ".,;:!?\"'()[]{}<>*$%&#|="
+_EDGE_BYTES = _EDGE.encode()
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
 
 
@@ -232,7 +235,8 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(norm(word.decode("utf-8", "replace")))
+        plain = len(word) <= LONG_WORD and word.isascii()  # then bytes do as characters
+        self[word] = h = xxhash.xxh3_64_intdigest(word.strip(_EDGE_BYTES).lower() or word if plain else norm(word.decode("utf-8", "replace")))
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -260,17 +264,25 @@ def pattern_hashes(patterns: list[str]) -> np.ndarray:
     return np.where(kinds == "before", _before(first), np.where(kinds == "after", _after(first), _before2(first, second)))
 
 
-def _places(hashes: np.ndarray) -> list[np.ndarray]:
-    other = _mix(hashes + _U(1))
-    return [(h >> _U(shift) & _PLACES).astype(np.int64) for h in (hashes, other) for shift in (0, FILTER_BITS)]
+def _place(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The first to fourth of the places of each hash in the filter."""
+    h = _mix(hashes + _U(1)) if number > 1 else hashes
+    return (h >> _U(number % 2 * FILTER_BITS) & _PLACES).astype(np.int64)
 
 
 def within(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which of the hashes may be among those that the filter was made of."""
-    out = np.ones(len(hashes), bool)
-    for place in _places(hashes):
-        out &= bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
-    return out
+    """Positions, ascending, of the hashes that may be among those that the filter was made of."""
+    left = np.arange(len(hashes))
+    for number in range(4):  # nearly all are out after the first place
+        place = _place(hashes[left], number)
+        left = left[bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
+    return left
+
+
+def _neighbours(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts of ``sizes`` words, one after the other: positions of the words that have one, and two, behind them in their text."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    return np.flatnonzero(text[1:] == text[:-1]), np.flatnonzero(text[2:] == text[:-2])
 
 
 def keyed(patterns: DataFrame) -> DataFrame:
@@ -289,7 +301,7 @@ def filter_of(patterns: DataFrame) -> np.ndarray:
     def run(batches):
         for batch in batches:
             hashes = pattern_hashes(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_places(hashes))), pa.int32())], names=["place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_place(hashes, k) for k in range(4)])), pa.int32())], names=["place"])
 
     set_bits = patterns.select("pattern").mapInArrow(run, "place int").groupBy(F.expr("place div 8").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, place % 8)")).alias("bits")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
@@ -307,7 +319,10 @@ def count_contexts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
         def counted():
             """What was met so far, each context once."""
-            met = np.concatenate(held) if held else np.zeros(0, _U)
+            h = np.concatenate([*held, np.zeros(0, _U)])
+            # the last word of a text stands before nothing, the first after nothing
+            one, two = _neighbours([len(x) for x in held])
+            met = np.concatenate([_before(h[one]), _after(h[one + 1]), _before2(h[two], h[two + 1])])
             met, n = np.unique(met[within(met, bits)], return_counts=True)
             both, at = np.unique(np.concatenate([hashes, met]), return_inverse=True)
             return both, np.bincount(at, np.concatenate([totals, n]), len(both)).astype(np.int64)
@@ -317,10 +332,8 @@ def count_contexts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
         for batch in batches:
             for raw in texts_of(batch.column(0)):
-                h = known.of(raw.split())
-                # the last word of a text stands before nothing, the first after nothing
-                held += [_before(h[:-1]), _after(h[1:]), _before2(h[:-2], h[1:-1])]
-                size += len(h)
+                held.append(known.of(raw.split()))
+                size += len(held[-1])
                 if size >= CACHE:
                     hashes, totals = counted()
                     held, size = [], 0
@@ -336,6 +349,28 @@ def count_contexts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     return counted_.join(keyed(patterns), "hash").select("pattern", "total")
 
 
+def free_hits(words: list[bytes], sizes: list[int], known: _Words, bits: np.ndarray) -> dict[int, list[str]]:
+    """Contexts in the filter of the tokens that may be free instances, by the token's position.
+
+    ``words``: those of texts of ``sizes`` words, one after the other. Tokens with a digit and those
+    that hold an e-mail are none, so where only seeds stand in a context no text is read further.
+    """
+    named = lambda w: norm(w.decode("utf-8", "replace"))
+    h, (one, two), out = known.of(words), _neighbours(sizes), {}
+    before, after, before2 = one[within(_before(h[one]), bits)], one[within(_after(h[one + 1]), bits)], two[within(_before2(h[two], h[two + 1]), bits)]
+    met = np.unique(np.concatenate([before + 1, after, before2 + 2])).tolist()
+    free = {i for i in met if not _DIGIT_BYTE.search(words[i]) and not (b"@" in words[i] and emails(words[i].decode("utf-8", "replace")))}
+    for at, ahead, pattern in (
+        (before, 1, lambda i: "before:" + named(words[i])),
+        (after, 0, lambda i: "after:" + named(words[i + 1])),
+        (before2, 2, lambda i: f"before2:{named(words[i])} {named(words[i + 1])}"),
+    ):
+        for i in at.tolist():
+            if i + ahead in free:
+                out.setdefault(i + ahead, []).append(pattern(i))
+    return out
+
+
 def free_instances(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, digest, start, end, value, pattern) of the tokens without digits in contexts of ``patterns``, seeds apart."""
     shared = rows.sparkSession.sparkContext.broadcast(filter_of(patterns))
@@ -343,28 +378,33 @@ def free_instances(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def run(batches):
         bits, known = shared.value, _Words()
-        named = lambda w: norm(w.decode("utf-8", "replace"))
-        for batch in batches:
-            out = []
-            for doc_id, raw, mark in zip(batch.column(0), texts_of(batch.column(1)), batch.column(2), strict=True):
-                words = raw.split()
-                h = known.of(words)
-                hits: dict[int, list[str]] = {}
-                for i in np.flatnonzero(within(_before(h[:-1]), bits)).tolist():
-                    hits.setdefault(i + 1, []).append("before:" + named(words[i]))
-                for i in np.flatnonzero(within(_after(h[1:]), bits)).tolist():
-                    hits.setdefault(i, []).append("after:" + named(words[i + 1]))
-                for i in np.flatnonzero(within(_before2(h[:-2], h[1:-1]), bits)).tolist():
-                    hits.setdefault(i + 2, []).append(f"before2:{named(words[i])} {named(words[i + 1])}")
-                if not hits:
-                    continue
+
+        def met(texts: list[tuple[int | None, bytes, bytes]], words: list[bytes], sizes: list[int]):
+            ends, found, out = np.cumsum(sizes), {}, []
+            for i, patterns in free_hits(words, sizes, known, bits).items():
+                k = int(np.searchsorted(ends, i, side="right"))
+                found.setdefault(k, {})[i - int(ends[k]) + sizes[k]] = patterns
+            for k, of in found.items():
+                doc_id, raw, mark = texts[k]
                 text = raw.decode("utf-8", "replace")
                 tokens = [m.span() for m in _TOKEN.finditer(text)]
                 seeds = sorted(base_spans(text) + secrets(text), key=lambda s: s[1]) if _MARKED.search(raw) else []
                 for i, (left, right) in enumerate(_free(tokens, seeds, text)):
-                    if i in hits and left < right and not _DIGIT.search(text, *tokens[i]):
-                        out += [(doc_id.as_py(), mark.as_py(), left, right, text[left:right].lower(), p) for p in hits[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, fields.values(), strict=True)], names=list(fields))
+                    if i in of and left < right:
+                        out += [(doc_id, mark, left, right, text[left:right].lower(), p) for p in of[i]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, fields.values(), strict=True)], names=list(fields))
+
+        for batch in batches:
+            texts, words, sizes = [], [], []
+            for doc_id, raw, mark in zip(batch.column(0), texts_of(batch.column(1)), batch.column(2), strict=True):
+                own = raw.split()
+                texts.append((doc_id.as_py(), raw, mark.as_py()))
+                words += own
+                sizes.append(len(own))
+                if len(words) >= AT_ONCE:
+                    yield met(texts, words, sizes)
+                    texts, words, sizes = [], [], []
+            yield met(texts, words, sizes)
 
     met = rows.select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, digest binary, start int, end int, value string, pattern string")
     return met.join(patterns.select("pattern"), "pattern")
