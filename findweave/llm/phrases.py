@@ -9,8 +9,8 @@ their counts.
 The merge by key has two steps, so that rare phrases, which are nearly all, never travel as text.
 First the intervals of all shards meet by the leading bits of a hash, in buckets, and every shard is told which of
 its intervals have ``MIN_COUNT`` occurrences or more in all shards together; phrases that share
-them can only be let through too many. Then the shards write those phrases out, and their counts are
-summed by the phrase itself, which is exact. Parts of a phrase occur at least as often as it does, so
+them can only be let through too many. Then the shards write those phrases out, packed by bucket, and
+their counts are summed by the phrase itself, which is exact. Parts of a phrase occur at least as often as it does, so
 these counts hold all that scores need.
 
 Defined results: null and empty texts have no words; a null language counts as ``und``, together
@@ -22,10 +22,13 @@ columns never take part; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -214,23 +217,50 @@ def _answers(asked: DataFrame, least: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, "shard long, bucket int, kept binary")
 
 
+_WRITTEN = "bucket int, langs array<string>, sizes array<int>, phrases binary, counts binary"
+
+
 def _written(shards: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """(lang, phrase, length, f): the phrases that the answers let through, with their counts in each shard."""
+    """(bucket, langs, sizes, phrases, counts): the phrases of a shard that the answers let through, packed by bucket.
+
+    A bucket's phrases are in order, ``sizes`` of each language, as ordered texts pack best.
+    """
 
     def run(shard: pa.Table, told: pa.Table) -> pa.Table:
         row = shard.to_pylist()[0]
         words, langs, codes = _decoded(row)
         hashes, at, lengths, counts = hashed(words, langs, codes)
-        size = np.bincount(_bucket_of(hashes, buckets), minlength=buckets)
+        of = _bucket_of(hashes, buckets)
+        size = np.bincount(of, minlength=buckets)
         first, kept = np.cumsum(size) - size, np.zeros(len(hashes), bool)
         for bucket, bits in zip(told["bucket"].to_pylist(), told["kept"].to_pylist(), strict=True):
             kept[first[bucket] : first[bucket] + size[bucket]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=size[bucket])
-        at, lengths, counts = at[kept], lengths[kept], counts[kept]
+        at, lengths, counts, of = at[kept], lengths[kept], counts[kept], of[kept].tolist()
         phrases = [b" ".join([words[c - 1] for c in codes[a : a + n].tolist()]) for a, n in zip(at.tolist(), lengths.tolist(), strict=True)]
-        out = [pa.array([langs[c - 1] for c in codes[at].tolist()], pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())]
-        return pa.Table.from_arrays(out, names=["lang", "phrase", "length", "f"])
+        spoken, out = [langs[c - 1] for c in codes[at].tolist()], []
+        for bucket, mine in groupby(sorted(range(len(of)), key=lambda i: (of[i], spoken[i], phrases[i])), key=of.__getitem__):
+            mine = list(mine)
+            named = Counter(spoken[i] for i in mine)
+            out.append((bucket, list(named), list(named.values()), shrink_strings([phrases[i] for i in mine]), shrink(counts[mine])))
+        kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ([],) * 5, kinds, strict=True)], names=["bucket", "langs", "sizes", "phrases", "counts"])
+
+    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, _WRITTEN)
+
+
+def _summed(written: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, length, f): the counts of all shards by the phrase itself, where they come to ``least``."""
+
+    def run(group: pa.Table) -> pa.Table:
+        langs = pa.array([lang for names, sizes in zip(group["langs"].to_pylist(), group["sizes"].to_pylist(), strict=True) for lang, n in zip(names, sizes, strict=True) for _ in range(n)], pa.string())
+        phrases = pa.chunked_array([pa.array(grow_strings(p.as_py()), pa.binary()) for p in group["phrases"]])
+        each = pa.table({"lang": langs, "phrase": phrases, "n": np.concatenate([grow(c.as_py()) for c in group["counts"]])})
+        total = each.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        total = total.filter(pc.greater_equal(total["n_sum"], least))
+        phrase = total["phrase"].cast(pa.string())
+        return pa.table({"lang": total["lang"], "phrase": phrase, "length": pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32()), "f": total["n_sum"]})
 
-    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, "lang string, phrase string, length int, f long")
+    return written.groupBy("bucket").applyInArrow(run, "lang string, phrase string, length int, f long")
 
 
 def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = MIN_COUNT, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +272,7 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     buckets = 32 + words // BUCKET_WORDS
     narrow = shards.drop("totals")
     kept = _written(narrow, _answers(_asked(narrow, buckets, key_bits(words)), least), buckets)
-    return materialize(kept.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases"), totals
+    return materialize(_summed(kept, least), "phrases"), totals
 
 
 def scored(found: DataFrame) -> DataFrame:

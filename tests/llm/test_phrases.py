@@ -114,3 +114,15 @@ def test_shared_keys_let_phrases_through_but_not_into_the_result(spark, monkeypa
 
 def test_key_bits_follow_the_words():
     assert [phrases.key_bits(n) for n in (0, 135_000_000, 27 * 10**12, 2**62)] == [32, 33, 50, 64]
+
+
+def test_phrases_travel_packed_by_bucket(spark):
+    """A shard sends a row per bucket, not one per phrase, and the sums are those of the phrases."""
+    rows = [(k % 2 and "en" or "de", f"a b c d{k % 7} e") for k in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    shards = phrases.materialize(docs.mapInArrow(lambda batches: phrases._code(batches, 40), phrases._SHARD), "shards").drop("totals")
+    written = phrases.materialize(phrases._written(shards, phrases._answers(phrases._asked(shards, 2, 32), 2), 2), "written")
+    assert written.groupBy("bucket").count().count() == 2 and written.count() <= 2 * shards.count()
+    got = {(r["lang"], r["phrase"]): (r["length"], r["f"]) for r in phrases._summed(written, 2).collect()}
+    want = Counter((lang, " ".join(t.split()[i : i + n])) for lang, t in rows for n in (1, 2, 3, 4) for i in range(6 - n))
+    assert got == {(lang, p): (len(p.split()), n) for (lang, p), n in want.items() if n >= 2}
