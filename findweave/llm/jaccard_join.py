@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findweave.llm._blocks import digest, grow, grow_wide, narrow, shrink, shrink_wide, texts_of
-from findweave.llm.near_dedup import _U, _WordHashes, components, links_between, shingles, verify
+from findweave.llm.near_dedup import BATCH, _U, _WordHashes, components, links_between, shingles, verify
 from findweave.session import materialize
 
 WIDTH = 5
@@ -106,7 +106,8 @@ def _asked(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block, sizes, codes, tokens in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "codes", "tokens")), strict=True):
+            for k in range(batch.num_rows):  # a block of some megabytes at a time
+                block, sizes, codes, tokens = (batch.column(c)[k].as_py() for c in ("block", "sizes", "codes", "tokens"))
                 listed = np.cumsum(grow_wide(tokens).view(_U), dtype=_U)
                 if not len(listed):
                     continue
@@ -156,7 +157,7 @@ def _prefixes(blocks: DataFrame, answers: DataFrame, threshold: float) -> DataFr
         rows = np.concatenate([grow(r) for _, r in told]) if told else np.zeros(0, np.int64)
         place = np.empty(len(listed), np.int64)
         place[np.lexsort((listed, rows))] = np.arange(len(listed))  # the corpus' order, as far as this block goes
-        codes, out, start = _codes(row["codes"], row["sizes"]), [], 0
+        codes, out, tokens_, places, start = _codes(row["codes"], row["sizes"]), [], [], [], 0
         for node, doc_id, size in zip(row["nodes"], row["ids"], row["sizes"], strict=True):
             own, start = codes[start : start + size], start + size
             if not size or doc_id is None or size - np.count_nonzero(rows[own] > 1) >= (n := prefix_length(size, threshold)):
@@ -166,9 +167,14 @@ def _prefixes(blocks: DataFrame, answers: DataFrame, threshold: float) -> DataFr
             tokens = listed[own].view(np.int64)
             whole = hashlib.blake2b(size.to_bytes(8, "little") + tokens.tobytes(), digest_size=16).digest()
             _, once = np.unique(tokens[where], return_index=True)
-            out.append((node, size, whole, [{"token": t, "place": p} for t, p in zip(tokens[where][once].tolist(), where[once].tolist(), strict=True)]))
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ([],) * 4, kinds, strict=True)], names=["node", "size", "whole", "shared"])
+            out.append((node, size, whole))
+            tokens_.append(tokens[where][once])
+            places.append(where[once].astype(np.int32))
+        # numbers stay in arrays: as Python's they would take many times the memory
+        flat = [np.concatenate([np.zeros(0, k), *x]) for x, k in ((tokens_, np.int64), (places, np.int32))]
+        shared = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens_)]), pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["token", "place"]))
+        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ([],) * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)]
+        return pa.Table.from_arrays([*columns, shared], names=["node", "size", "whole", "shared"])
 
     payload = blocks.select("block", "nodes", "ids", "sizes", "codes", "tokens")
     return payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _PREFIX)
@@ -197,17 +203,30 @@ def _expanded(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return at_tokens.unionByName(members.join(several, "group").select(F.lit(1).alias("band"), F.col("group").alias("hash"), "rep"))
 
 
+def _hashed_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, size, bag) of (rep, text) batches, some ``BATCH`` hashes at a time."""
+    table = _WordHashes()
+
+    def told(reps, found):
+        return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(map(len, found), pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "size", "bag"])
+
+    for batch in batches:
+        reps, found, size = [], [], 0
+        for rep, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            reps.append(rep)
+            found.append(shingle_set(text, table))
+            size += len(found[-1])
+            if size >= BATCH:
+                yield told(reps, found)
+                reps, found, size = [], [], 0
+        yield told(reps, found)
+
+
 def sets_of(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, size, bag) of the texts of ``reps`` (doc_id, digest, rep): whole sets of hashes."""
 
-    def hashed(batches):
-        table = _WordHashes()
-        for batch in batches:
-            found = [shingle_set(t, table) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "size", "bag"])
-
     found = rows.join(reps.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    return found.select("rep", "text").mapInArrow(hashed, "rep long, size int, bag binary")
+    return found.select("rep", "text").mapInArrow(_hashed_sets, "rep long, size int, bag binary")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from duck import connect, rows_of, sql_rows
 
@@ -106,3 +107,13 @@ def test_codes_of_a_block():
         steps = np.concatenate([np.diff(s, prepend=0) for s in sets])
         assert jaccard_join._codes(shrink(steps), [len(s) for s in sets]).tolist() == np.concatenate(sets).tolist()
     assert [jaccard_join.prefix_length(n) for n in (1, 4, 5, 10, 100)] == [1, 1, 2, 3, 21]
+
+
+def test_sets_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BATCH", 20)
+    texts = [" ".join(f"w{k}x{i}" for i in range(k)) for k in (0, 3, 14, 14, 9, 40, 6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["rep", "text"])
+    out = list(jaccard_join._hashed_sets([batch, batch.slice(0, 0)]))
+    assert [b.column(0).to_pylist() for b in out] == [[0, 1, 2, 3], [4, 5], [6], []]
+    table = jaccard_join._WordHashes()
+    assert [(r["rep"], r["size"], r["bag"]) for b in out for r in b.to_pylist()] == [(k, len(s), s.tobytes()) for k, s in enumerate(jaccard_join.shingle_set(t.encode(), table) for t in texts)]
