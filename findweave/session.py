@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a task of ``materialize`` holds on the heap before it writes them out as a row group.
+ROW_GROUP_BYTES = 4 << 20
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks: UTC, AQE on, few shuffle partitions."""
@@ -47,11 +50,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage and survives lost executors: the files live in the folder that all
-    executors share, unlike a local checkpoint.
+    executors share, unlike a local checkpoint. Row groups are small, as every running task holds
+    one while it writes, and again when the table is read.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
